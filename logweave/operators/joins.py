@@ -25,19 +25,20 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], at_most: int) ->
     return rows.join(table, keys)
 
 
-def semi_join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """Rows whose key is in ``groups``, where ``weight`` counts the rows of a key.
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Rows joined with a stored table of their groups, one row per key.
 
-    The few hot keys, whose number is bounded by their share, are broadcast, so
-    that no single task receives all rows of one of them.
+    ``weight`` tells how large a group is, and one group may hold most of the
+    rows. A small table is broadcast. Of a large one the hot groups are, whose
+    number is bounded by their share, so no task receives all rows of one of them.
     """
-    # The number of rows is an upper bound of the matching ones and costs no join.
-    threshold = rows.count() / HOT_SHARE
-    hot = groups.where(F.col(weight) > threshold).select(*keys)
-    cold = groups.where(F.col(weight) <= threshold).select(*keys)
-    return rows.join(F.broadcast(hot), keys, "left_semi").unionByName(
-        rows.join(F.broadcast(hot), keys, "left_anti").join(cold, keys, "left_semi")
-    )
+    if groups.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), keys).drop(weight)
+    total = groups.agg(F.sum(weight)).first()[0]
+    is_hot = F.col(weight) > total / HOT_SHARE
+    hot, cold = groups.where(is_hot).drop(weight), groups.where(~is_hot).drop(weight)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
 
 
 def entry_part(line_in_entry="line_in_entry"):

@@ -7,7 +7,7 @@ from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logweave.operators.joins import semi_join_groups, whole_entries
+from logweave.operators.joins import join_groups, whole_entries
 from logweave.session import store
 
 ORDER = ["sort_key", "file_ord", "entry_no", "line_in_entry"]
@@ -49,8 +49,8 @@ def _differs_somewhere(document: DataFrame, entries: DataFrame, groups: DataFram
     Per fingerprint and line number the smallest and the largest line must be
     equal; partial aggregation reduces the copies before the shuffle.
     """
-    repeated = groups.where("copies > 1")
-    suspects = semi_join_groups(entries, repeated, _PRINT, "copies")
+    repeated = groups.where("copies > 1").select(*_PRINT, "copies")
+    suspects = join_groups(entries, repeated, _PRINT, "copies")
     spread = (
         whole_entries(document, suspects, extra=["n_bytes", "print_a", "print_b"])
         .groupBy("n_bytes", "print_a", "print_b", "line_in_entry")
