@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from logweave.functions.timestamps import TimestampFormat
 from logweave.session import local_table
+from logweave.sources.listing import escape_glob
 
 # The built-in formats, in the order in which lines vote for them.
 BUILT_IN_FORMATS = [
@@ -50,22 +53,21 @@ def load_catalog(spark: SparkSession, path: str | None = None) -> FormatCatalog:
     if path is None:
         return FormatCatalog(list(BUILT_IN_FORMATS))
     try:
-        reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
-        rows = (
-            reader.schema("name string, pattern string")
-            .json(path)
-            .select("name", "pattern", F.monotonically_increasing_id().alias("at"))
-            .orderBy("at")
-            .collect()
-        )
-        if any(row.name is None or row.pattern is None for row in rows):
-            raise ValueError("an entry lacks its name or pattern")
-        formats = [TimestampFormat(row.name, row.pattern) for row in rows]
+        # A small settings file, read through Spark so that it may lie on any filesystem.
+        text = spark.read.text(escape_glob(path), wholetext=True).first()
+        entries, _ = json.JSONDecoder().raw_decode(text.value.lstrip() if text else "")
+        formats = [_entry(entry) for entry in entries]
         reason = "it defines no timestamp formats"
-    except (PySparkException, ValueError) as error:
+    except (PySparkException, Py4JJavaError, ValueError, TypeError) as error:
         formats = []
         reason = str(error).splitlines()[0]
     if formats:
         return FormatCatalog(formats)
     warning = f"could not use timestamp formats from {path}: {reason}; using built-in formats"
     return FormatCatalog(list(BUILT_IN_FORMATS), [warning])
+
+
+def _entry(entry) -> TimestampFormat:
+    if not isinstance(entry, dict) or not all(isinstance(entry.get(k), str) for k in ("name", "pattern")):
+        raise ValueError("an entry lacks its name or pattern")
+    return TimestampFormat(entry["name"], entry["pattern"])
