@@ -1,9 +1,8 @@
 """Timestamp patterns compiled to Column expressions.
 
 A pattern is a SimpleDateFormat-like string. It is turned, once and on the
-driver, into a single anchored regex plus a replacement template. The template
-lays the captured fields out in one fixed order (a *stamp*), so every format
-shares the same stamp -> sort key expression.
+driver, into a single anchored regex plus a replacement template that lays the
+captured fields out as the sort key, so most keys take one regex evaluation.
 """
 
 from __future__ import annotations
@@ -84,10 +83,16 @@ class TimestampFormat:
         return {field: number for number, field in enumerate(captured, start=1)}
 
     def _body(self, capture: bool) -> str:
-        parts = []
+        parts, seen = [], 0
         for token in self.tokens:
             field, regex, _ = _FIELDS.get(token, (None, java_literal(token), None))
-            parts.append(f"({regex})" if field and capture else regex)
+            seen += field is not None
+            if not (field and capture):
+                parts.append(regex)
+            elif self._groups[field] == seen:
+                parts.append(f"(?<{field}>{regex})")
+            else:
+                parts.append(f"({regex})")
         return "".join(parts)
 
     @cached_property
@@ -109,26 +114,46 @@ class TimestampFormat:
 
     @cached_property
     def _template(self) -> str:
-        def group(field, absent=""):
-            number = self._groups.get(field)
-            return absent if number is None else f"${number}"
+        """The key, with a month name or a 12-hour clock still to be filled in."""
+        def group(field, absent):
+            return "${" + field + "}" if field in self._groups else absent
 
-        clock = group("hour12") or group("hour")
-        half = ("h" + group("half")) if "hour12" in self._groups else ""
-        return "|".join(
-            [group("year", "0000"), group("day"), clock, group("minute"), group("second"),
-             half, group("month"), group("fraction")]
-        )
+        month = "00" if self._month_name else "${month}"
+        hour = "00" if "hour12" in self._groups else "${hour}"
+        fraction = ".${fraction}" + "0" * FRACTION_DIGITS if "fraction" in self._groups else ""
+        return f"{group('year', '0000')}-{month}-${{day}} {hour}:${{minute}}:${{second}}{fraction}"
+
+    @cached_property
+    def _month_name(self) -> bool:
+        return [t for t in self.tokens if t in ("MM", "MMM")][-1] == "MMM"
 
     def matches(self, line: Column) -> Column:
         return line.rlike(self.regex)
 
-    def stamp(self, line: Column) -> Column:
-        """The fields of a line known to match, as ``yyyy|dd|hh|mm|ss|half|month|fraction``."""
-        return F.regexp_replace(line, self.regex + "[\\s\\S]*+", self._template)
+    def matched_key(self, line: Column) -> Column:
+        """``YYYY-MM-DD HH:MM:SS``, and a 9-digit fraction if the format has one, for
+        a line known to match.
+
+        Built as text without range checks, so that odd but well-formed values
+        (month 99) still give a key.
+        """
+        # The rest of the line goes with (?s:.*+): a class such as [\s\S] is far slower in Java.
+        key = F.regexp_replace(line, self.regex + "(?s:.*+)", self._template)
+        if "fraction" in self._groups:
+            key = key.substr(1, 20 + FRACTION_DIGITS)
+        if self._month_name:
+            name = F.regexp_extract(line, self.regex, self._groups["month"])
+            key = F.overlay(key, _month_number(name), 6, 2)
+        if "hour12" in self._groups:
+            hour = F.regexp_extract(line, self.regex, self._groups["hour12"]).try_cast("int") % 12
+            if "half" in self._groups:
+                half = F.regexp_extract(line, self.regex, self._groups["half"])
+                hour = hour + F.when(F.upper(half) == "PM", 12).otherwise(0)
+            key = F.overlay(key, F.lpad(hour.cast("string"), 2, "0"), 12, 2)
+        return key
 
     def sort_key(self, line: Column) -> Column:
-        return F.when(self.matches(line), key_of_stamp(self.stamp(line)))
+        return F.when(self.matches(line), self.matched_key(line))
 
     def matched_span(self, line: Column) -> Column:
         """Bytes taken by the timestamp of a line known to match."""
@@ -141,28 +166,11 @@ class TimestampFormat:
         return F.when(self.matches(line), self.matched_span(line)).otherwise(0)
 
 
-def key_of_stamp(stamp: Column) -> Column:
-    """``YYYY-MM-DD HH:MM:SS`` plus, if the stamp has one, a 9-digit fraction.
-
-    Built as text without range checks, so that odd but well-formed values
-    (month 99) still give a key.
-    """
-    month_numbers = F.create_map(
-        *[F.lit(v) for name, number in MONTHS.items() for v in (name, f"{number:02d}")]
-    )
-    hour = stamp.substr(9, 2)
-    half = F.lower(stamp.substr(18, 2))
-    on_12h_clock = (hour.cast("int") % 12) + F.when(half == "hp", 12).otherwise(0)
-    hour24 = F.when(half.startswith("h"), F.lpad(on_12h_clock.cast("string"), 2, "0")).otherwise(hour)
-    month_text = F.substring_index(F.substring_index(stamp, "|", -2), "|", 1)
-    month = F.coalesce(F.try_element_at(month_numbers, F.lower(month_text)), month_text)
-    fraction = F.substring_index(stamp, "|", -1)
-    padded = F.rpad(fraction.substr(1, FRACTION_DIGITS), FRACTION_DIGITS, "0")
-    return F.concat(
-        stamp.substr(1, 4), F.lit("-"), month, F.lit("-"), stamp.substr(6, 2), F.lit(" "),
-        hour24, F.lit(":"), stamp.substr(12, 2), F.lit(":"), stamp.substr(15, 2),
-        F.when(fraction == "", "").otherwise(F.concat(F.lit("."), padded)),
+def _month_number(name: Column) -> Column:
+    numbers = F.create_map(
+        *[F.lit(v) for spelling, number in MONTHS.items() for v in (spelling, f"{number:02d}")]
     )
+    return F.try_element_at(numbers, F.lower(name))
 
 
 def _by_format(fmt_idx: Column, branches: list[Column]) -> Column:
@@ -173,9 +181,9 @@ def _by_format(fmt_idx: Column, branches: list[Column]) -> Column:
     )
 
 
-def stamp_for(formats: list[TimestampFormat], fmt_idx: Column, line: Column) -> Column:
-    """The stamp under the format numbered ``fmt_idx``; only that branch runs."""
-    return _by_format(fmt_idx, [fmt.stamp(line) for fmt in formats])
+def key_for(formats: list[TimestampFormat], fmt_idx: Column, line: Column) -> Column:
+    """The key under the format numbered ``fmt_idx``; only that branch runs."""
+    return _by_format(fmt_idx, [fmt.matched_key(line) for fmt in formats])
 
 
 def span_for(formats: list[TimestampFormat], fmt_idx: Column, line: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from logweave.functions.timestamps import key_of_stamp, matches_format, span_for, stamp_for
+from logweave.functions.timestamps import key_for, matches_format, span_for
 from logweave.operators.joins import attach
 from logweave.operators.staging import RUN_KEY, StagedLines, earlier_runs
 from logweave.session import store
@@ -47,8 +47,8 @@ def _carried(staged: StagedLines, formats_by_file: DataFrame) -> DataFrame:
         runs.where("last_header IS NOT NULL"), RUN_KEY, staged.n_pieces,
     ).where("pos = last_header")
     closed = closing_lines.withColumn(
-        "stamp", stamp_for(staged.formats, F.col("fmt_idx"), F.col("line"))
-    ).withColumn("closing_key", key_of_stamp(F.col("stamp")))
+        "closing_key", key_for(staged.formats, F.col("fmt_idx"), F.col("line"))
+    )
     headerless = runs.where("last_header IS NULL").withColumn("closing_key", F.lit(None).cast("string"))
     return (
         closed.select(*headerless.columns)
@@ -67,17 +67,14 @@ def build_document(staged: StagedLines, formats_by_file: DataFrame) -> DataFrame
     runs = store(_carried(staged, formats_by_file), "carried")
     lines = attach(staged.lines.drop("file"), runs, RUN_KEY, staged.n_pieces)
     header = matches_format(F.col("flags"), F.col("fmt_idx"))
-    stamped = lines.select(
+    keyed = lines.select(
         "*",
         header.alias("is_header"),
         (F.col("lines_before") + F.col("pos") - F.col("run_pos")).alias("line_no"),
-        F.when(header, stamp_for(staged.formats, F.col("fmt_idx"), F.col("line"))).alias("stamp"),
+        F.when(header, key_for(staged.formats, F.col("fmt_idx"), F.col("line"))).alias("key"),
         F.when(header, span_for(staged.formats, F.col("fmt_idx"), F.col("line")))
         .otherwise(0).alias("timestamp_length"),
     )
-    keyed = stamped.withColumn(
-        "key", F.when(F.col("is_header"), key_of_stamp(F.col("stamp")))
-    ).drop("stamp", "flags")
     so_far = (
         Window.partitionBy("file_ord", *RUN_KEY).orderBy("pos")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
