@@ -11,7 +11,7 @@ import re
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from logweave.functions.ascii import java_literal
 
@@ -190,14 +190,78 @@ def span_for(formats: list[TimestampFormat], fmt_idx: Column, line: Column) -> C
     return _by_format(fmt_idx, [fmt.matched_span(line) for fmt in formats])
 
 
-def match_flags(formats: list[TimestampFormat], line: Column) -> Column:
-    """One character per format, ``1`` where it matches; NULL when none does.
-
-    Most continuation lines are settled by the single combined regex.
+def _elements(fmt: TimestampFormat) -> list[tuple[str, str]]:
+    """What a pattern reads, step by step: a digit, a literal, a name, a run of digits."""
+    steps: list[tuple[str, str]] = []
+    for token in fmt.tokens:
+        field, _, width = _FIELDS.get(token, ("literal", token, 1))
+        if field == "literal":
+            steps.append(("literal", token))
+        elif field != "half" and width is not None:
+            steps += [("digit", "")] * width
+        else:
+            steps.append(("name", token) if token != "SSS" else ("digits", ""))
+    return steps
+
+
+def _first_characters(step: tuple[str, str]) -> set[str]:
+    kind, token = step
+    if kind == "literal":
+        return {token}
+    if kind in ("digit", "digits"):
+        return set("0123456789")
+    names = {"MMM": list(MONTHS), "EEE": WEEKDAYS, "a": ["am", "pm"]}[token]
+    return {c for name in names for c in (name[0], name[0].upper())}
+
+
+def _also_matches(first: TimestampFormat, other: TimestampFormat) -> str:
+    """Whether every (``1``), no (``0``) or some line (``?``) that matches ``first``
+    also matches ``other``, as far as the patterns alone tell."""
+    mine, others = _elements(first), _elements(other)
+    for step, other_step in zip(mine, others):
+        if step != other_step:
+            return "?" if _first_characters(step) & _first_characters(other_step) else "0"
+    return "1" if len(others) <= len(mine) else "?"
+
+
+def with_match_flags(lines: DataFrame, formats: list[TimestampFormat]) -> DataFrame:
+    """Add ``flags``: one character per format, ``1`` where it matches the line; NULL
+    when none does.
+
+    A single regex tells the first matching format of a line. Mostly that settles
+    the others: ``yyyy-MM-dd HH:mm:ss.SSS`` implies ``yyyy-MM-dd HH:mm:ss`` and rules
+    out ``dd/MMM/yyyy``. Only what the patterns leave open is tested line by line.
     """
-    any_format = "\\A(?:" + "|".join(fmt.body for fmt in formats) + ")"
-    flags = F.concat(*[F.when(fmt.matches(line), "1").otherwise("0") for fmt in formats])
-    return F.when(line.rlike(any_format), flags)
+    line = F.col("line")
+    taken = {step[1] for fmt in formats for step in _elements(fmt)[:1]}
+    mark = next(chr(c) for c in range(ord("|"), 0x10FFFF) if chr(c) not in taken)
+    # The group of the first matching format captures one character, the other groups nothing.
+    tests = "|".join(f"(?={fmt.body})((?s:.))" for fmt in formats)
+    template = mark.join(f"${i}" for i in range(1, len(formats) + 1)) + mark
+    marks = F.regexp_replace(line, f"\\A(?:{tests}|)(?s:.*+)", template)
+    settled = [
+        "0" * i + "1" + "".join(_also_matches(fmt, other) for other in formats[i + 1:])
+        for i, fmt in enumerate(formats)
+    ]
+    by_first = F.array(*[F.lit(flags) for flags in settled])
+    lines = lines.withColumn("marks", marks).withColumn(
+        "flags", F.get(by_first, F.length("marks") - F.length(F.ltrim("marks", F.lit(mark))))
+    ).drop("marks")
+    unsettled = [i for i in range(len(formats)) if any(flags[i] == "?" for flags in settled)]
+    if not unsettled:
+        return lines
+
+    def flag(i: int) -> Column:
+        known = F.col("flags").substr(i + 1, 1)
+        if i not in unsettled:
+            return known
+        tested = F.when(formats[i].matches(line), "1").otherwise("0")
+        return F.when(known == "?", tested).otherwise(known)
+
+    tested = F.concat(*[flag(i) for i in range(len(formats))])
+    return lines.withColumn(
+        "flags", F.when(F.contains("flags", F.lit("?")), tested).otherwise(F.col("flags"))
+    )
 
 
 def first_match(flags: Column) -> Column:

@@ -29,7 +29,7 @@ def file_formats(staged: StagedLines, sample_lines: int = SAMPLE_LINES) -> DataF
     line that matches anywhere decides.
     """
     heads = (
-        run_sizes(staged.pieces)
+        run_sizes(staged.pieces_by_file())
         .where(F.col("lines_before") < sample_lines)
         .select("file_ord", *RUN_KEY, "run_pos", "lines_before")
     )
@@ -42,7 +42,7 @@ def file_formats(staged: StagedLines, sample_lines: int = SAMPLE_LINES) -> DataF
         F.max(F.struct("votes", -F.col("fmt_idx"))).alias("best")
     )
     first = (
-        staged.pieces.where("flags IS NOT NULL")
+        staged.pieces_by_file().where("flags IS NOT NULL")
         .groupBy("file_ord")
         .agg(F.min_by("flags", F.struct("offset", "first_pos")).alias("flags"))
     )

@@ -19,7 +19,7 @@ def _runs(staged: StagedLines, formats_by_file: DataFrame) -> DataFrame:
     header = matches_format(F.col("flags"), F.col("fmt_idx"))
     header_line = F.col("lines_before") + F.col("last_header") - F.col("run_pos")
     return (
-        staged.pieces.join(formats_by_file.select("file_ord", "fmt_idx"), "file_ord", "left")
+        staged.pieces_by_file().join(formats_by_file.select("file_ord", "fmt_idx"), "file_ord", "left")
         .groupBy("file_ord", "file", "fmt_idx", "offset", *RUN_KEY)
         .agg(
             F.sum("n").alias("n_lines"),

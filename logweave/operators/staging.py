@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
-from logweave.functions.timestamps import TimestampFormat, match_flags
+from logweave.functions.timestamps import TimestampFormat, with_match_flags
 from logweave.session import store
 from logweave.sources.logs import LogSource, decoded_path
 
@@ -42,22 +42,23 @@ class StagedLines:
     units: DataFrame
     formats: list[TimestampFormat]
 
+    def pieces_by_file(self) -> DataFrame:
+        """The narrow table in the partitioning that all per-file steps share."""
+        return self.pieces.repartition("file_ord")
+
 
 def stage(source: LogSource, formats: list[TimestampFormat], run_bits: int = RUN_BITS) -> StagedLines:
     """Scan the files once. Later steps read the columns they need from the stored table."""
     position = F.monotonically_increasing_id()
-    lines = store(
-        source.lines.withColumn("pos", position).select(
-            "file",
-            F.xxhash64("file").alias("file_id"),
-            "block_start",
-            F.shiftright("pos", run_bits).alias("chunk"),
-            "pos",
-            match_flags(formats, F.col("line")).alias("flags"),
-            "line",
-        ),
-        "lines",
+    placed = source.lines.withColumn("pos", position).select(
+        "file",
+        F.xxhash64("file").alias("file_id"),
+        "block_start",
+        F.shiftright("pos", run_bits).alias("chunk"),
+        "pos",
+        "line",
     )
+    lines = store(with_match_flags(placed, formats), "lines")
     per_flags = lines.groupBy("file", *RUN_KEY, "flags").agg(
         F.count("*").alias("n"),
         F.min("pos").alias("first_pos"),

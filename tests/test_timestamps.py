@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from logweave.functions.timestamps import TimestampFormat, first_match, match_flags
+from logweave.functions.timestamps import TimestampFormat, first_match, with_match_flags
 from logweave.sources.catalog import BUILT_IN_FORMATS
 from tests import model
 
@@ -104,6 +104,29 @@ def test_first_matching_format(spark):
         ("", None),
     ]
     df = spark.createDataFrame(lines, "line string, name string")
-    flags = match_flags(BUILT_IN_FORMATS, F.col("line"))
-    for row in df.select("line", "name", first_match(flags).alias("i")).collect():
+    flagged = with_match_flags(df, BUILT_IN_FORMATS)
+    for row in flagged.select("line", "name", "flags", first_match(F.col("flags")).alias("i")).collect():
         assert (None if row.i is None else BUILT_IN_FORMATS[row.i].name) == row.name
+        if row.flags is not None:
+            hits = [model.match(f.pattern, row.line) is not None for f in BUILT_IN_FORMATS]
+            assert [c == "1" for c in row.flags] == hits, row.line
+
+
+AWKWARD = [
+    "MM-dd HH:mm:ss", "MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss", "MMM dd HH:mm:ss", "EEE MMM dd HH:mm:ss",
+    "|MM-dd HH:mm:ss", "}MM-dd HH:mm:ss", "SSS-MM-dd HH:mm:ss", "aMM-dd HH:mm:ss", "$MM-dd HH:mm:ss",
+    "MM-dd HH:mm:ssEEE", "MM-dd HH:mm:ssMMM", "MM-dd HH:mm:ssa",
+]
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_flags_of_overlapping_formats(spark, order):
+    """Formats that are prefixes of each other, or that only some lines tell apart."""
+    formats = [TimestampFormat(p, p) for p in AWKWARD[::order]]
+    tails = ["", ".5", "Mon", "mar", "mar.", "am", "x"]
+    heads = ["", "2026-", "Mar ", "mar. Jan ", "|", "}", "7-", "pm", "$", "Sat mai "]
+    stamps = ["01-02 03:04:05", "01 03:04:05", "01-02 03:04"]
+    lines = [(h + s + t,) for h in heads for s in stamps for t in tails]
+    for row in with_match_flags(spark.createDataFrame(lines, "line string"), formats).collect():
+        hits = "".join("1" if model.match(f.pattern, row.line) else "0" for f in formats)
+        assert (row.flags or "0" * len(formats)) == hits, row.line
