@@ -45,19 +45,35 @@ def entry_part(line_in_entry="line_in_entry"):
     return F.floor(F.col(line_in_entry) / PART_LINES)
 
 
-def whole_entries(document: DataFrame, entries: DataFrame, extra: list[str] | None = None) -> DataFrame:
+def whole_entries(
+    document: DataFrame, entries: DataFrame, extra: list[str] | None = None, at_most: int | None = None
+) -> DataFrame:
     """All lines of ``entries(file_ord, entry_no, n_lines)``.
 
-    An entry may hold any number of lines, so it is matched in parts of bounded size.
+    An entry may hold any number of lines. Unless the table of entries is known to
+    be small, it is therefore matched in parts of bounded size.
     """
     columns = ["file_ord", "entry_no", *(extra or [])]
+    how = "inner" if extra else "left_semi"
+    if at_most is not None and at_most <= BROADCAST_ROWS:
+        return document.join(F.broadcast(entries.select(*columns)), ["file_ord", "entry_no"], how)
+    last_part = F.floor((F.col("n_lines") - 1) / PART_LINES)
     parts = entries.select(
-        *columns,
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_lines") - 1) / PART_LINES))).alias("part"),
+        *columns, F.explode(F.sequence(F.lit(0).cast("bigint"), last_part)).alias("part")
     )
-    how = "inner" if extra else "left_semi"
     return (
         document.withColumn("part", entry_part())
         .join(parts, ["file_ord", "entry_no", "part"], how)
         .drop("part")
     )
+
+
+def without_entries(document: DataFrame, entries: DataFrame, kept: DataFrame, n_dropped: int) -> DataFrame:
+    """Lines that are not of ``entries`` but of ``kept``, its complement.
+
+    A short list of dropped entries is broadcast; otherwise the kept ones are matched.
+    """
+    if n_dropped <= BROADCAST_ROWS:
+        dropped = F.broadcast(entries.select("file_ord", "entry_no"))
+        return document.join(dropped, ["file_ord", "entry_no"], "left_anti")
+    return whole_entries(document, kept)

@@ -7,7 +7,7 @@ from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logweave.operators.joins import join_groups, whole_entries
+from logweave.operators.joins import join_groups, whole_entries, without_entries
 from logweave.session import store
 
 ORDER = ["sort_key", "file_ord", "entry_no", "line_in_entry"]
@@ -43,17 +43,16 @@ def _fingerprints(document: DataFrame, hash_a: Column, hash_b: Column) -> DataFr
     )
 
 
-def _differs_somewhere(document: DataFrame, entries: DataFrame, groups: DataFrame) -> bool:
+def _differ(document: DataFrame, suspects: DataFrame, n_suspects: int) -> bool:
     """Whether entries with one fingerprint differ in any line.
 
     Per fingerprint and line number the smallest and the largest line must be
     equal; partial aggregation reduces the copies before the shuffle.
     """
-    repeated = groups.where("copies > 1").select(*_PRINT, "copies")
-    suspects = join_groups(entries, repeated, _PRINT, "copies")
+    prints = ["n_bytes", "print_a", "print_b"]
     spread = (
-        whole_entries(document, suspects, extra=["n_bytes", "print_a", "print_b"])
-        .groupBy("n_bytes", "print_a", "print_b", "line_in_entry")
+        whole_entries(document, suspects, extra=prints, at_most=n_suspects)
+        .groupBy(*prints, "line_in_entry")
         .agg(F.min("line").alias("low"), F.max("line").alias("high"))
         .where("low <> high")
     )
@@ -67,25 +66,31 @@ def dedup_entries(
 ) -> DataFrame:
     """Keep the first entry, in merged order, of those with the same content.
 
-    Entries are grouped by fingerprint, and then compared line by line. If two
-    different entries share a fingerprint, everything is done again with another
-    seed, so the result is exact.
+    Entries are grouped by fingerprint, and those that share one are compared line
+    by line. If two of them differ, everything is done again with another seed, so
+    the result is exact. The document is read three times; store it beforehand if
+    it is costly to compute.
     """
-    document = store(document, "document")
     for seed in seeds or count():
         entries = store(
             _fingerprints(document, hashes(2 * seed), hashes(2 * seed + 1)), "fingerprints"
         )
         groups = store(
             entries.groupBy(*_PRINT).agg(
-                F.min(F.struct("sort_key", "file_ord", "entry_no")).alias("keep"),
+                F.min(F.struct("sort_key", "file_ord", "entry_no")).alias("first"),
                 F.count("*").alias("copies"),
             ),
             "copies",
         )
-        if not _differs_somewhere(document, entries, groups):
+        repeated = groups.where("copies > 1")
+        suspects = store(join_groups(entries, repeated, _PRINT, "copies"), "suspects")
+        n_suspects = suspects.count()
+        if n_suspects == 0:
+            return document
+        if not _differ(document, suspects, n_suspects):
             break
     else:
         raise RuntimeError("different entries shared a fingerprint under every seed")
-    keep = groups.select("keep.file_ord", "keep.entry_no", "n_lines")
-    return whole_entries(document, keep)
+    is_first = (F.col("file_ord") == F.col("first.file_ord")) & (F.col("entry_no") == F.col("first.entry_no"))
+    kept = groups.select("first.file_ord", "first.entry_no", "n_lines")
+    return without_entries(document, suspects.where(~is_first), kept, n_suspects)

@@ -64,12 +64,24 @@ def stage(source: LogSource, formats: list[TimestampFormat], run_bits: int = RUN
         F.min("pos").alias("first_pos"),
         F.max("pos").alias("last_pos"),
     )
+    units = source.units if source.units is not None else _path_order(lines)
     pieces = store(
         per_flags.withColumn("path", decoded_path(F.col("file")))
         .drop("file")
-        .join(source.units, "path")
+        .join(units, "path")
         .withColumn("offset", F.col("base") + F.col("block_start"))
         .drop("path", "base"),
         "pieces",
     )
-    return StagedLines(lines, pieces, pieces.count(), source.units, formats)
+    return StagedLines(lines, pieces, pieces.count(), units, formats)
+
+
+def _path_order(lines: DataFrame) -> DataFrame:
+    """Files in path order: one row per file, and no more than the scan itself listed."""
+    files = lines.select("file").distinct().select(decoded_path(F.col("file")).alias("path"))
+    return files.select(
+        "path",
+        F.col("path").alias("file"),
+        (F.row_number().over(Window.orderBy("path")) - 1).cast("bigint").alias("file_ord"),
+        F.lit(0).cast("bigint").alias("base"),
+    )

@@ -12,6 +12,7 @@ from logweave.operators.entries import build_document
 from logweave.operators.merge import dedup_entries
 from logweave.operators.sinks import write_merged
 from logweave.operators.staging import RUN_BITS, StagedLines, stage
+from logweave.session import store
 from logweave.sources.catalog import BUILT_IN_FORMATS
 from logweave.sources.logs import LogSource, read_files, read_merged, read_tree
 
@@ -40,7 +41,7 @@ def parse_logs(
     formats_by_file = file_formats(staged)
     document = build_document(staged, formats_by_file)
     if dedup:
-        document = dedup_entries(document)
+        document = dedup_entries(store(document, "document"))
     return ParsedLogs(document, staged, formats_by_file, source)
 
 

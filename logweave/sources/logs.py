@@ -27,11 +27,12 @@ class LogSource:
     ``lines``: ``file`` (as the scan spells it), ``block_start``, ``line``; rows of one
     block come in file order within their partition.
     ``units``: path -> the log it belongs to, its place in the merge, and the byte
-    offset of this path inside that log.
+    offset of this path inside that log. Without it, every file is a log of its
+    own and they are merged in path order.
     """
 
     lines: DataFrame
-    units: DataFrame
+    units: DataFrame | None
     problems: list[tuple[str, str]] = field(default_factory=list)
 
     def warnings(self) -> DataFrame:

@@ -21,6 +21,11 @@ GZIP_STATES = "path string, state string, reason string"
 RANGE_BYTES = 128 << 20
 _CHUNK = 1 << 20
 _BATCH_LINES = 1 << 15
+_MAX_TASKS = 20_000
+
+
+def _tasks(jobs: list) -> int:
+    return min(max(len(jobs), 1), _MAX_TASKS)
 
 
 def _open(path: str):
@@ -65,7 +70,7 @@ def _inflate(stream, state: dict) -> Iterator[bytes]:
 
 
 def gzip_states(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Label each gzip file by streaming it once, one file per task."""
+    """Label each gzip file by streaming it once, on the executors."""
 
     def label(batches):
         for batch in batches:
@@ -85,7 +90,7 @@ def gzip_states(spark: SparkSession, paths: list[str]) -> DataFrame:
             )
 
     table = local_table(spark, [(p,) for p in paths], "path string")
-    return table.repartition(max(1, len(paths))).mapInArrow(label, GZIP_STATES)
+    return table.repartition(_tasks(paths)).mapInArrow(label, GZIP_STATES)
 
 
 def _lines(chunks: Iterator[bytes]) -> Iterator[bytes]:
@@ -157,7 +162,7 @@ def read_raw(spark: SparkSession, plain: list[LogFile], gzipped: list[LogFile])
                     yield flush()
 
     table = local_table(spark, jobs, "path string, start bigint, end bigint, gzipped boolean")
-    lines = table.repartition(max(1, len(jobs))).mapInArrow(
+    lines = table.repartition(_tasks(jobs)).mapInArrow(
         read, "file string, block_start bigint, value binary"
     )
     return lines.selectExpr("file", "block_start", "CAST(value AS STRING) AS value")

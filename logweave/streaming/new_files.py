@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from logweave.functions.timestamps import TimestampFormat
 from logweave.operators.joins import join_groups
 from logweave.plans.merge_plan import parse_logs
-from logweave.sources.logs import LogSource, decoded_path, strip_cr
+from logweave.sources.logs import LogSource, strip_cr
 
 _LINES = (
     "file string, entry_no bigint, line_in_entry bigint, sort_key string, "
@@ -20,18 +20,6 @@ _LINES = (
 )
 
 
-def _units(lines: DataFrame) -> DataFrame:
-    """The files of one micro-batch, of which there are at most ``max_files``."""
-    path = decoded_path(F.col("file"))
-    files = lines.select("file").distinct().select(path.alias("path"))
-    return files.select(
-        "path",
-        F.col("path").alias("file"),
-        (F.row_number().over(Window.orderBy("path")) - 1).cast("bigint").alias("file_ord"),
-        F.lit(0).cast("bigint").alias("base"),
-    )
-
-
 def stream_new_files(
     spark: SparkSession, root: str, out: str, checkpoint: str,
     formats: list[TimestampFormat] | None = None, max_files: int = 1_000,
@@ -57,7 +45,7 @@ def stream_new_files(
     )
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_logs(LogSource(batch, _units(batch)), formats)
+        parsed = parse_logs(LogSource(batch, units=None), formats)
         parsed.document.drop("file_ord").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     writer = arriving.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)

@@ -15,7 +15,7 @@ from logweave.operators import search, stats
 from logweave.operators.changes import snapshot_diff
 from logweave.operators.detect import file_formats, format_report
 from logweave.operators.entries import entry_contents, entry_table
-from logweave.operators.merge import concat_logs, dedup_entries, merge_chronological
+from logweave.operators.merge import concat_logs, merge_chronological
 from logweave.operators.sinks import export_visible, write_merged
 from logweave.operators.staging import stage
 from logweave.plans.merge_plan import merge_directory, parse_logs, reread_merged
@@ -360,7 +360,7 @@ def merge_chronological_query(spark, sf_dir):
 
 @query
 def dedup_entries_query(spark, sf_dir):
-    document = dedup_entries(logs_of(spark, sf_dir).parse().document)
+    document = logs_of(spark, sf_dir).parse(dedup=True).document
     return document.select("sort_key", "file_ord", "entry_no", "line_in_entry", "line")
 
 
@@ -482,7 +482,7 @@ def visible_headers(spark, sf_dir):
 @query
 def level_counts(spark, sf_dir):
     """Levels of all entries of the merged, deduplicated logs."""
-    document = dedup_entries(logs_of(spark, sf_dir).parse().document)
+    document = logs_of(spark, sf_dir).parse(dedup=True).document
     return stats.level_counts(stats.visible_headers(document))
 
 
