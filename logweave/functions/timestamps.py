@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -167,27 +167,28 @@ class TimestampFormat:
 
 
 def _month_number(name: Column) -> Column:
-    numbers = F.create_map(
-        *[F.lit(v) for spelling, number in MONTHS.items() for v in (spelling, f"{number:02d}")]
-    )
-    return F.try_element_at(numbers, F.lower(name))
+    pairs = ", ".join(f"'{spelling}', '{number:02d}'" for spelling, number in MONTHS.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), F.lower(name))
 
 
-def _by_format(fmt_idx: Column, branches: list[Column]) -> Column:
-    return reduce(
-        lambda chain, item: chain.when(fmt_idx == item[0], item[1]),
-        list(enumerate(branches))[1:],
-        F.when(fmt_idx == 0, branches[0]),
-    )
+def key_for(formats: dict[int, TimestampFormat], fmt_idx: Column, line: Column) -> Column:
+    """The key under the format numbered ``fmt_idx``; only that branch runs.
+
+    Pass just the formats in use: with all of them the generated method grows
+    beyond what the JVM compiles, which costs more than the matching itself.
+    """
+    return _by_format(fmt_idx, {number: fmt.matched_key(line) for number, fmt in formats.items()})
 
 
-def key_for(formats: list[TimestampFormat], fmt_idx: Column, line: Column) -> Column:
-    """The key under the format numbered ``fmt_idx``; only that branch runs."""
-    return _by_format(fmt_idx, [fmt.matched_key(line) for fmt in formats])
+def span_for(formats: dict[int, TimestampFormat], fmt_idx: Column, line: Column) -> Column:
+    return _by_format(fmt_idx, {number: fmt.matched_span(line) for number, fmt in formats.items()})
 
 
-def span_for(formats: list[TimestampFormat], fmt_idx: Column, line: Column) -> Column:
-    return _by_format(fmt_idx, [fmt.matched_span(line) for fmt in formats])
+def _by_format(fmt_idx: Column, branches: dict[int, Column]) -> Column:
+    chosen = F.lit(None)
+    for number, branch in reversed(branches.items()):
+        chosen = F.when(fmt_idx == number, branch).otherwise(chosen)
+    return chosen
 
 
 def _elements(fmt: TimestampFormat) -> list[tuple[str, str]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from logweave.functions.timestamps import key_for, matches_format, span_for
+from logweave.functions.timestamps import TimestampFormat, key_for, matches_format, span_for
 from logweave.operators.joins import attach
 from logweave.operators.staging import RUN_KEY, StagedLines, earlier_runs
 from logweave.session import store
@@ -39,15 +39,22 @@ def _runs(staged: StagedLines, formats_by_file: DataFrame) -> DataFrame:
     )
 
 
-def _carried(staged: StagedLines, formats_by_file: DataFrame) -> DataFrame:
+def _formats_in_use(staged: StagedLines, runs: DataFrame) -> dict[int, TimestampFormat]:
+    """At most as many as the catalog has."""
+    numbers = runs.agg(F.collect_set("fmt_idx")).first()[0]
+    return {number: staged.formats[number] for number in sorted(numbers)}
+
+
+def _carried(
+    staged: StagedLines, runs: DataFrame, formats: dict[int, TimestampFormat]
+) -> DataFrame:
     """Runs with the sort key that is still open when they begin."""
-    runs = store(_runs(staged, formats_by_file), "runs")
     closing_lines = attach(
         staged.lines.select(*RUN_KEY, "pos", "line"),
         runs.where("last_header IS NOT NULL"), RUN_KEY, staged.n_pieces,
     ).where("pos = last_header")
     closed = closing_lines.withColumn(
-        "closing_key", key_for(staged.formats, F.col("fmt_idx"), F.col("line"))
+        "closing_key", key_for(formats, F.col("fmt_idx"), F.col("line")).cast("string")
     )
     headerless = runs.where("last_header IS NULL").withColumn("closing_key", F.lit(None).cast("string"))
     return (
@@ -64,15 +71,17 @@ def build_document(staged: StagedLines, formats_by_file: DataFrame) -> DataFrame
     ``entry_no`` 0 is the preamble, the lines before a file's first header, whose
     key is ``''``. One shuffle, by run; only run-sized groups meet in a task.
     """
-    runs = store(_carried(staged, formats_by_file), "carried")
-    lines = attach(staged.lines.drop("file"), runs, RUN_KEY, staged.n_pieces)
+    runs = store(_runs(staged, formats_by_file), "runs")
+    formats = _formats_in_use(staged, runs)
+    carried = store(_carried(staged, runs, formats), "carried")
+    lines = attach(staged.lines.drop("file"), carried, RUN_KEY, staged.n_pieces)
     header = matches_format(F.col("flags"), F.col("fmt_idx"))
     keyed = lines.select(
         "*",
         header.alias("is_header"),
         (F.col("lines_before") + F.col("pos") - F.col("run_pos")).alias("line_no"),
-        F.when(header, key_for(staged.formats, F.col("fmt_idx"), F.col("line"))).alias("key"),
-        F.when(header, span_for(staged.formats, F.col("fmt_idx"), F.col("line")))
+        F.when(header, key_for(formats, F.col("fmt_idx"), F.col("line"))).cast("string").alias("key"),
+        F.when(header, span_for(formats, F.col("fmt_idx"), F.col("line")))
         .otherwise(0).alias("timestamp_length"),
     )
     so_far = (
