@@ -6,40 +6,18 @@ from 0 in merged order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from logweave.functions.ascii import ascii_icontains, ascii_lower, ascii_lower_str, java_literal
 from logweave.operators.joins import whole_entries
 from logweave.operators.merge import ORDER
-from logweave.session import store
-
-# monotonically_increasing_id keeps the row's rank in its partition in the low bits.
-_RANK_MASK = (1 << 33) - 1
+from logweave.operators.numbering import with_number
 
 
 def number_lines(document: DataFrame, predicate: Column | None = None) -> DataFrame:
-    """Visible lines with ``doc_line_no``.
-
-    A range shuffle puts the partitions in document order. Each line is ranked in
-    its partition, and the table of partition sizes gives the rank to start from.
-    """
+    """Visible lines with their position ``doc_line_no``."""
     visible = document if predicate is None else document.where(predicate)
-    ranked = store(
-        visible.repartitionByRange(*ORDER)
-        .sortWithinPartitions(*ORDER)
-        .withColumn("piece", F.spark_partition_id())
-        .withColumn("rank", F.monotonically_increasing_id().bitwiseAND(F.lit(_RANK_MASK))),
-        "numbered",
-    )
-    # One row per partition of the range shuffle, so this table and its window stay tiny.
-    sizes = ranked.groupBy("piece").agg(F.count("*").alias("n"))
-    earlier = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("piece", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    return (
-        ranked.join(F.broadcast(starts), "piece")
-        .withColumn("doc_line_no", F.col("start") + F.col("rank"))
-        .drop("piece", "rank", "start")
-    )
+    return with_number(visible, ORDER, "doc_line_no")
 
 
 def line_counts(document: DataFrame, predicate: Column) -> DataFrame:

@@ -77,7 +77,7 @@ def stage(source: LogSource, formats: list[TimestampFormat], run_bits: int = RUN
 
 
 def _path_order(lines: DataFrame) -> DataFrame:
-    """Files in path order: one row per file, and no more than the scan itself listed."""
+    """Files in path order. Streams use this, whose batches hold a bounded number of files."""
     files = lines.select("file").distinct().select(decoded_path(F.col("file")).alias("path"))
     return files.select(
         "path",

@@ -6,11 +6,12 @@ that change later; ``LogStore.refresh`` does.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logweave.functions.timestamps import TimestampFormat
 from logweave.operators.joins import join_groups
+from logweave.operators.numbering import with_number
 from logweave.plans.merge_plan import parse_logs
 from logweave.sources.logs import LogSource, strip_cr
 
@@ -55,9 +56,5 @@ def stream_new_files(
 def streamed_document(spark: SparkSession, out: str) -> DataFrame:
     """The lines gathered so far, with files in path order."""
     lines = spark.read.schema(_LINES).parquet(out)
-    # One row per file, as many as the file index on the driver holds.
     files = lines.groupBy("file").agg(F.count("*").alias("n"))
-    ordered = files.withColumn(
-        "file_ord", (F.row_number().over(Window.orderBy("file")) - 1).cast("bigint")
-    )
-    return join_groups(lines, ordered, ["file"], weight="n")
+    return join_groups(lines, with_number(files, ["file"], "file_ord"), ["file"], weight="n")
