@@ -25,10 +25,16 @@ class LogFile:
 
 @dataclass
 class Listing:
-    """Files in merge order. ``skipped`` counts what could not be listed."""
+    """Files in merge order. ``skipped`` counts what could not be listed.
+
+    ``root`` is the folder a recursive scan may read instead of the single files,
+    without the paths in ``left_out``; it is None if that would find other files.
+    """
 
     files: list[LogFile] = field(default_factory=list)
     skipped: int = 0
+    root: str | None = None
+    left_out: list[str] = field(default_factory=list)
 
     def snapshot(self, spark: SparkSession) -> DataFrame:
         rows = [(f.path, f.mtime_us, f.length) for f in self.files]
@@ -64,16 +70,16 @@ class Exclusion:
     """
 
     def __init__(self, spark: SparkSession, output: str | None):
-        self._output = qualify(spark, output).rstrip("/") if output else None
-        self._local = local_path(self._output) if self._output else None
-        self._name = ascii_lower_str(os.path.basename(self._output)) if self._output else None
+        self.output = qualify(spark, output).rstrip("/") if output else None
+        self._local = local_path(self.output) if self.output else None
+        self._name = ascii_lower_str(os.path.basename(self.output)) if self.output else None
 
     def matches(self, path: str) -> bool:
-        if self._output is None:
+        if self.output is None:
             return False
         local = local_path(path)
         if self._local is None or local is None:
-            return path == self._output or path.startswith(self._output + "/")
+            return path == self.output or path.startswith(self.output + "/")
         if ascii_lower_str(os.path.basename(local)) != self._name:
             return False
         try:
@@ -93,6 +99,8 @@ def list_tree(
         listing = _walk_local(local, exclusion, include_hidden)
     else:
         listing = _list_remote(spark, qualified, exclusion)
+    if any(_hidden(part) for f in listing.files for part in f.path[len(qualified):].split("/")[:-1]):
+        listing.root = None  # a file below a hidden folder, which Spark's listing would skip
     listing.files.sort(key=lambda f: os.fsencode(f.path))
     return listing
 
@@ -103,21 +111,27 @@ def _hidden(name: str) -> bool:
 
 def _walk_local(root: str, exclusion: Exclusion, include_hidden: bool) -> Listing:
     """Links to folders are not followed, links to files are read."""
-    listing = Listing()
+    listing = Listing(root="file:" + root)
     pending = [root]
     while pending:
         try:
             entries = list(os.scandir(pending.pop()))
         except OSError:
             listing.skipped += 1
+            listing.root = None
             continue
         for entry in entries:
             path = "file:" + entry.path
-            if exclusion.matches(path) or (not include_hidden and _hidden(entry.name)):
+            if exclusion.matches(path):
+                listing.left_out.append(path)
+                continue
+            if not include_hidden and _hidden(entry.name):
                 continue
             try:
                 if entry.is_dir():
-                    if not entry.is_symlink():
+                    if entry.is_symlink():
+                        listing.root = None  # Spark's recursive listing would follow it
+                    else:
                         pending.append(entry.path)
                     continue
                 status = entry.stat()
@@ -141,7 +155,9 @@ def _list_remote(spark: SparkSession, root: str, exclusion: Exclusion) -> Listin
         .selectExpr("path", "unix_micros(modificationTime) AS mtime_us", "length")
     )
     files = [LogFile(r.path, r.mtime_us, r.length) for r in found.toLocalIterator()]
-    return Listing([f for f in files if not exclusion.matches(f.path)])
+    left_out = [exclusion.output] if exclusion.output else []
+    kept = [f for f in files if not exclusion.matches(f.path)]
+    return Listing(kept, root=root, left_out=left_out)
 
 
 def list_paths(spark: SparkSession, paths: list[str]) -> tuple[Listing, list[tuple[str, str]]]:

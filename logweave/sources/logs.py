@@ -10,13 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from logweave.functions.ascii import ascii_lower_str
 from logweave.session import local_table
 from logweave.sources.listing import (
-    WARNING_SCHEMA, LogFile, escape_glob, list_paths, list_tree,
+    WARNING_SCHEMA, Listing, LogFile, escape_glob, list_paths, list_tree,
 )
 from logweave.sources.rawfiles import gzip_states, read_raw
 
 # Suffixes Spark's text source would decode, other than .gz.
 _OTHER_CODECS = (".bz2", ".deflate", ".lz4", ".snappy", ".zst")
 
+# Up to this many paths are given one by one, and up to this many left out of a tree.
+_FEW_PATHS = 32
+_FEW_UNWANTED = 50
+
 UNIT_SCHEMA = "path string, file string, file_ord bigint, base bigint"
 
 
@@ -53,17 +57,22 @@ def _is_gzip(path: str) -> bool:
     return ascii_lower_str(path[-3:]) == ".gz"
 
 
-def _read_by_hand(path: str) -> bool:
+def _hidden_from_scan(path: str) -> bool:
     name = os.path.basename(path)
     hidden = name.startswith(".") or (name.startswith("_") and "=" not in name)
-    return hidden or name.endswith("._COPYING_") or name.endswith(_OTHER_CODECS)
+    return hidden or name.endswith("._COPYING_")
 
 
-def _text(spark: SparkSession, paths: list[str]) -> DataFrame:
+def _read_by_hand(path: str) -> bool:
+    return _hidden_from_scan(path) or path.endswith(_OTHER_CODECS)
+
+
+def _text(spark: SparkSession, paths: list[str], recursive: bool = False) -> DataFrame:
     # Only "\n" ends a line: the default would also split at a lone "\r".
     return (
         spark.read.option("lineSep", "\n")
         .option("ignoreMissingFiles", True)
+        .option("recursiveFileLookup", recursive)
         .text([escape_glob(p) for p in paths])
         .select(
             F.col("_metadata.file_path").alias("file"),
@@ -73,13 +82,37 @@ def _text(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
 
 
+def _encoded_path(spark: SparkSession, path: str) -> str:
+    return spark._jvm.org.apache.hadoop.fs.Path(path).toUri().toString()
+
+
+def _native(spark: SparkSession, paths: list[str], root: str | None, unwanted: list[str]) -> DataFrame:
+    """The files that Spark reads itself.
+
+    Many files of one tree are listed by Spark, in parallel, instead of being
+    checked path by path; conditions on the file path prune the listing.
+    """
+    if root is None or len(paths) <= _FEW_PATHS or len(unwanted) > _FEW_UNWANTED:
+        return _text(spark, paths)
+    lines = _text(spark, [root], recursive=True)
+    for path in unwanted:
+        encoded = _encoded_path(spark, path)
+        file = F.col("file")
+        lines = lines.where((file != encoded) & ~file.startswith(encoded + "/"))
+    return lines
+
+
 def _empty(spark: SparkSession) -> DataFrame:
     return local_table(spark, [], "file string, block_start bigint, value string")
 
 
-def read_lines(spark: SparkSession, files: list[LogFile], check_gzip: bool = True) -> LogSource:
+def read_lines(
+    spark: SparkSession, files: list[LogFile], check_gzip: bool = True, tree: Listing | None = None
+) -> LogSource:
     """Lines of ``files``, merged in the given order; a repeated file counts repeatedly.
 
+    ``tree`` is the listing they come from, if they are all of a directory tree.
+
     With ``check_gzip`` every gzip file is streamed once beforehand, so that a
     damaged one is left out with a warning instead of failing the scan.
     """
@@ -103,7 +136,10 @@ def read_lines(spark: SparkSession, files: list[LogFile], check_gzip: bool = Tru
     by_hand = {f.path for f in plain_raw + gzip_raw}
     native = [f.path for f in distinct if f.path not in by_hand and f.path not in left_out]
 
-    parts = [_text(spark, native)] if native else []
+    root = tree.root if tree else None
+    seen_by_scan = [p for p in [*by_hand, *left_out] if not _hidden_from_scan(p)]
+    unwanted = [*(tree.left_out if tree else []), *seen_by_scan]
+    parts = [_native(spark, native, root, unwanted)] if native else []
     if by_hand:
         parts.append(read_raw(spark, plain_raw, gzip_raw))
     lines = parts[0] if parts else _empty(spark)
@@ -131,7 +167,7 @@ def read_tree(
 ) -> LogSource:
     """Every file of a directory tree, in path order, but for the output in ``exclude``."""
     listing = list_tree(spark, root, exclude, include_hidden)
-    source = read_lines(spark, listing.files, check_gzip)
+    source = read_lines(spark, listing.files, check_gzip, tree=listing)
     source.problems = listing.problems(root) + source.problems
     return source
 

@@ -260,3 +260,33 @@ def test_lines_cross_splits(spark, tmp_path):
     assert "".join(r.line + "\n" for r in in_file) == content
     assert max(r.entry_no for r in in_file) == 2000
     assert path.endswith(os.path.basename(in_file[0].file))
+
+
+def test_a_large_tree_is_read_as_a_tree(spark, tmp_path):
+    """More files than are given one by one, with every kind of file to leave out."""
+    root = tmp_path / "logs x"
+    for i in range(40):
+        write(root, f"d {i % 3}/{i}.log", f"line {i}\n")
+    write(root, "merged.log/part-0.txt", "earlier output\n")
+    write(root, "merged.log.old", "kept\n")
+    write(root, "raw.zst", "raw\n")
+    write(root, "plain.gz", "plain\n")
+    write(root, "bad.gz", gzip.compress(b"x\n" * 9999)[:20] + b"\xff" * 30)
+    write(root, ".hidden", "hidden\n")
+    expected = sorted([f"line {i}" for i in range(40)] + ["kept", "raw", "plain", "hidden"])
+    output = str(root / "merged.log")
+    listing = list_tree(spark, str(root), output)
+    assert listing.root is not None and len(listing.left_out) == 1
+    source = read_tree(spark, str(root), exclude=output)
+    assert lines_of(source) == expected
+    assert [os.path.basename(p) for p, _ in source.problems] == ["bad.gz"]
+    parsed = parse_logs(source)
+    assert sorted(r.line for r in parsed.document.collect()) == expected
+    ranked = parsed.report().orderBy("file_ord").collect()
+    assert [r.file for r in ranked] == [f.path for f in listing.files if not f.path.endswith("bad.gz")]
+    os.symlink(root / "d 0", root / "again")
+    assert list_tree(spark, str(root), output).root is None
+    assert lines_of(read_tree(spark, str(root), exclude=output)) == expected
+    os.remove(root / "again")
+    write(root, "_below/a.log", "below\n")
+    assert lines_of(read_tree(spark, str(root), exclude=output)) == sorted([*expected, "below"])
