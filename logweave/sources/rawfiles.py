@@ -7,16 +7,23 @@ the executors in bounded batches; plain ones are cut into byte ranges.
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from logweave.session import local_table
+from logweave.sources import listing
 from logweave.sources.listing import LogFile, local_path
 
+# Ship these helpers with the tasks, so that executors need not have the package installed.
+cloudpickle.register_pickle_by_value(listing)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 GZIP_STATES = "path string, state string, reason string"
 RANGE_BYTES = 128 << 20
 _CHUNK = 1 << 20

@@ -1,6 +1,9 @@
 import gzip
 import json
 import os
+import subprocess
+import sys
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +67,26 @@ def test_odd_gzip_files(spark, tmp_path):
     assert first == "line 0"
 
 
+def test_executors_need_not_have_the_package(tmp_path):
+    """A session started elsewhere, whose Python workers cannot import it."""
+    write(tmp_path, "a.gz", gzip.compress(b"fine\n"))
+    write(tmp_path, ".b.log", "hidden\n")
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = (
+        f"import sys; sys.path.insert(0, {repo!r})\n"
+        "from logweave.session import local_session\n"
+        "from logweave.sources.logs import read_tree\n"
+        f"lines = read_tree(local_session(2), {str(tmp_path)!r}).lines\n"
+        "print(sorted(r.line for r in lines.collect()))\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH" and not k.startswith("PYSPARK_GATEWAY")}
+    done = subprocess.run(
+        [sys.executable, "-c", script], cwd=tempfile.mkdtemp(), env=env,
+        capture_output=True, text=True, timeout=120,
+    )
+    assert "['fine', 'hidden']" in done.stdout, done.stderr[-2000:]
+
+
 def test_tree_order_links_and_hidden_names(spark, tmp_path):
     root = tmp_path / "logs"
     for name in ["b.log", "a.log", "nested/c.log", "nested/deeper/no-suffix", ".hidden", "_x/y.log", "B.log"]:
