@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweave.llm import decontaminate, slots, url_trie
+from logweave.llm import decontaminate, packing, simhash, slots, url_trie
 from logweave.llm.common import fold, table
 
 URL_RULES = [
@@ -15,6 +15,14 @@ URL_RULES = [
 ]
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``bytes``: the stored map is edited until the shards' sizes are near equal."""
     return slots.assign(spark, table(spark, sf_dir, "documents"), 24).select(
@@ -32,6 +40,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
+    "op3_packing": op3_packing,
     "op5_sharding": op5_sharding,
     "op8_url_filter": op8_url_filter,
     "op10_decontamination": op10_decontamination,
