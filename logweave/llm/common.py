@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from logweave.session import scratch_path
+
 # Tasks get the functions of this package with their closures, so an executor
 # needs no copy of the repository.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -54,3 +56,10 @@ def to_numpy(df: DataFrame) -> dict[str, np.ndarray]:
 
 def texts(series: pd.Series) -> list[str]:
     return ["" if x is None else x for x in series]
+
+
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared scratch folder with strong compression and read it back."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -28,7 +28,6 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from logweave.llm import common
-from logweave.session import scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -134,10 +133,7 @@ def tokenise(docs: DataFrame, files: tuple[str, str], id_col: str, text_col: str
 
     found = rows.mapInPandas(run, f"row long, doc_id {kind}, n long, place long, ids binary")
     tie = F.xxhash64("row").bitwiseAND((1 << 31) - 1)
-    path = scratch_path(docs.sparkSession, "token-ids")
-    found.select("row", "doc_id", "n", F.shiftleft("place", 31).bitwiseOR(tie).alias("key"), "ids").write.option(
-        "compression", "zstd").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return common.store(found.select("row", "doc_id", "n", F.shiftleft("place", 31).bitwiseOR(tie).alias("key"), "ids"), "token-ids")
 
 
 def pack(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweave.llm import decontaminate, packing, simhash, slots, url_trie
+from logweave.llm import decontaminate, langid, packing, quality, simhash, slots, url_trie
 from logweave.llm.common import fold, table
 
 URL_RULES = [
@@ -23,6 +23,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = langid.train(docs, ~held_out)
+    judged = docs.select("doc_id", held_out.alias("held_out"), langid.identify(F.col("text"), model).alias("l"))
+    return judged.select("doc_id", "held_out", F.col("l.lang").alias("lang_pred"), "l.score", "l.accepted")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``bytes``: the stored map is edited until the shards' sizes are near equal."""
     return slots.assign(spark, table(spark, sf_dir, "documents"), 24).select(
@@ -30,6 +38,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    forest = quality.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = docs.select("doc_id", held_out.alias("held_out"), quality.score(F.col("text"), forest).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_trie.judge(spark, table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "filter.host", "filter.path", "filter.rule", "filter.verdict")
@@ -42,7 +58,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
+    "op4_language": op4_language,
     "op5_sharding": op5_sharding,
+    "op6_quality": op6_quality,
     "op8_url_filter": op8_url_filter,
     "op10_decontamination": op10_decontamination,
 }
