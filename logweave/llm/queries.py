@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweave.llm import decontaminate, langid, packing, quality, simhash, slots, url_trie
+from logweave.llm import decontaminate, langid, packing, quality, simhash, slots, toxicity, url_trie
 from logweave.llm.common import fold, table
 
 URL_RULES = [
@@ -46,6 +46,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_trie.judge(spark, table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "filter.host", "filter.path", "filter.rule", "filter.verdict")
@@ -61,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
+    "op7_toxicity": op7_toxicity,
     "op8_url_filter": op8_url_filter,
     "op10_decontamination": op10_decontamination,
 }
