@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweave.llm import decontaminate, langid, packing, quality, simhash, slots, toxicity, url_trie
+from logweave.llm import ann, decontaminate, langid, packing, ppm, quality, simhash, slots, toxicity, url_trie
 from logweave.llm.common import fold, table
 
 URL_RULES = [
@@ -15,6 +15,11 @@ URL_RULES = [
 ]
 
 
+def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ppm.score(docs, fold(F.col("doc_id"), 7) != 2)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,11 +64,16 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "filter.host", "filter.path", "filter.rule", "filter.verdict")
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ppm": op1_ppm,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op4_language": op4_language,
@@ -71,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
     "op8_url_filter": op8_url_filter,
+    "op9_neighbours": op9_neighbours,
     "op10_decontamination": op10_decontamination,
 }
 

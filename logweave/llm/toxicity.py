@@ -223,7 +223,9 @@ def train(docs: DataFrame, labels: DataFrame, trained: Column, *, label: str = "
     where = words.where("y = 1").join(F.broadcast(marks.select("word")), "word").select("word", "doc_id").toPandas()
     terms = cover({w: set(g) for w, g in where.groupby("word")["doc_id"]}, least)
     sure = marks.where((F.col("toxic") >= SURE_TEXTS) & (F.col("toxic") >= PURITY * (F.col("n") + 0.5)))
-    terms = sorted({*terms, *(r["word"] for r in sure.select("word").collect() if not r["word"].endswith("*"))})
+    stems = tuple(t[:-1] for t in terms if t.endswith("*"))
+    more = (r["word"] for r in sure.select("word").collect())
+    terms = sorted({*terms, *(w for w in more if not w.endswith("*") and not w.startswith(stems))})
 
     @F.pandas_udf("array<string>")
     def near(series: pd.Series) -> pd.Series:
