@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from logweave.llm import common
 from logweave.llm.components import components
@@ -65,14 +65,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Stored rows (doc_id, fp) with the fingerprint's bits as a signed long."""
+def fingerprint_of(text: Column, shingle: int = SHINGLE) -> Column:
+    """The fingerprint's bits as a signed long."""
 
     @F.pandas_udf("long")
     def of(series: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(x, shingle) for x in series], dtype=np.uint64).view(np.int64))
 
-    return store(docs.select(F.col(f"`{id_col}`").alias("doc_id"), of(F.col(f"`{text_col}`")).alias("fp")), "fingerprints")
+    return of(text)
 
 
 def chain_mask(start: int, length: int) -> int:
@@ -247,14 +247,29 @@ def link(fps: DataFrame) -> DataFrame:
     return links.union(pairs.mapInArrow(compare_blocks, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row."""
-    rows = fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle)
+def rooted(rows: DataFrame) -> DataFrame:
+    """Stored rows (fp, least, root): the distinct fingerprints of ``rows`` (doc_id, fp), their smallest id and component."""
     fps = store(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(link(fps.select("fp")), "simhash-components")
     placed = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    placed = store(placed, "simhash-roots")
+    return store(placed, "simhash-roots")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every row."""
+    rows = store(docs.select(F.col(f"`{id_col}`").alias("doc_id"), fingerprint_of(F.col(f"`{text_col}`"), shingle).alias("fp")), "fingerprints")
+    placed = rooted(rows)
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = placed.join(smallest, "root").select("fp", "component_id")
     return rows.join(of_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest id, null ids last."""
+    marked = common.store(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn(
+        "__fp", fingerprint_of(F.col(f"`{text_col}`"), shingle)), "fingerprinted")
+    rows = marked.select("__row", F.col(f"`{id_col}`").alias("doc_id"), F.col("__fp").alias("fp"))
+    first = F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "__row"))
+    kept = rows.join(rooted(rows.select("doc_id", "fp")).select("fp", "root"), "fp").groupBy("root").agg(first.alias("first"))
+    return marked.join(kept.select(F.col("first.__row").alias("__row")), "__row", "left_semi").drop("__row", "__fp")
