@@ -108,9 +108,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, *, id_col: s
     listed = sets.select("groups", F.explode("groups").alias("group")).join(items, "group").groupBy("groups").agg(
         F.sort_array(F.collect_set("item_id")).alias("items"))
     listed = listed.select("groups", F.size("items").cast("long").alias("n"), F.sha2(F.array_join("items", ","), 256).alias("sha"))
-    return per_doc.join(listed, "groups", "left").select(
+    # Documents without a hit share one key, the empty set, and need no join.
+    clean = per_doc.where(F.size("groups") == 0).select(
+        "doc_id", "n_words", "n_hit", F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"),
+        F.lit(False).alias("contaminated"), "row")
+    hit = per_doc.where(F.size("groups") > 0).join(listed, "groups", "left").select(
         "doc_id", "n_words", "n_hit", F.coalesce("n", F.lit(0).cast("long")).alias("n_items"),
-        F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "row")
+        F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.lit(True).alias("contaminated"), "row")
+    return clean.union(hit)
 
 
 def _hit_spans(docs: DataFrame, benchmark: DataFrame, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
