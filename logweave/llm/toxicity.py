@@ -1,7 +1,8 @@
 """Toxicity: Levenshtein automata over a lexicon trie, with context windows.
 
 The lexicon is learned by covering: of the words and stems that mark toxic labelled texts, the one that covers most texts
-not yet covered is taken, until too few are left; words that are plainly toxic join it as well. Its terms form a trie. A token is matched by its Levenshtein
+not yet covered is taken, until too few are left; words that are plainly toxic join it as well. Evidence is counted
+by the words that a term follows, so copies of a text are no evidence. Its terms form a trie. A token is matched by its Levenshtein
 automaton (one bit set of positions per number of edits) run along the trie's edges, so all terms within the
 edit budget are found in one walk. A term allows one edit from five letters on and two from nine on; shorter ones only
 an edit that puts a sign or digit in a letter's place. Pieces of the terms that survive so many edits filter tokens first.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import re
 import sys
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,15 +35,15 @@ from logweave.llm import common, quality
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SAMPLE = 20_000
+SAMPLE = 10_000
 #: Words considered for the lexicon, at most; those with the most toxic texts.
 CANDIDATES = 2_000
 LEAST_TEXTS = 3
 #: A term adds at least this share of the toxic texts, and this share of its texts is toxic.
 LEAST_SHARE = 0.01
 PURITY = 0.9
-STEMS = range(4, 9)
-#: A word in so many toxic texts joins the lexicon even if other terms cover them.
+STEMS = range(4, 8)
+#: A word found after so many different words in toxic texts joins the lexicon even if other terms cover those texts.
 SURE_TEXTS = 6
 WINDOW = 80
 _TOKEN = re.compile(r"[^\W_][^\s\"'.,;:?()\[\]{}<>|/«»“”„]*")
@@ -184,11 +186,19 @@ class Model:
 
 
 def words_in(series: pd.Series) -> pd.Series:
-    """Each text's distinct words of four letters or more, and their stems marked by ``*``."""
+    """Each text's words of four letters or more and their stems (marked by ``*``), each after a space with
+    the class (of 256) of the word before it."""
     out = []
     for text in common.texts(series):
-        words = {w.strip(_EDGE) for w in _TOKEN.findall(text.lower())}
-        out.append([w for w in words if len(w) >= 4] + sorted({w[:n] + "*" for w in words for n in STEMS if n < len(w)}))
+        units, before = set(), ""
+        for token in _TOKEN.findall(text.lower()):
+            word = token.strip(_EDGE)
+            if len(word) >= 4:
+                place = f" {zlib.crc32(before.encode()) & 255}"
+                units.add(word + place)
+                units.update(word[:n] + "*" + place for n in STEMS if n < len(word))
+            before = word
+        out.append(sorted(units))
     return pd.Series(out)
 
 
@@ -209,23 +219,36 @@ def cover(covered_by: dict[str, set], least: int = LEAST_TEXTS) -> list[str]:
     return terms
 
 
+def learn_terms(rows: DataFrame) -> list[str]:
+    """Words and stems (``term*``) of the lexicon, from labelled rows (doc_id, text, y)."""
+    units = rows.select("doc_id", "y", F.explode(F.pandas_udf(words_in, "array<string>")("text")).alias("unit"))
+    words = units.select("doc_id", "y", "unit", F.substring_index("unit", " ", 1).alias("word"))
+    # Evidence is the words that a term follows, not the texts it is in: copies of a text add nothing.
+    places = words.groupBy("unit", "word").agg(F.avg("y").alias("y"))
+    counts = places.groupBy("word").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n"))
+    toxic = rows.where("y = 1").count()
+    least = max(LEAST_TEXTS, int(toxic * LEAST_SHARE))
+    marks = counts.where((F.col("toxic") >= least) & (F.col("toxic") >= PURITY * F.col("n"))).orderBy(
+        F.desc("toxic"), "word").limit(CANDIDATES)
+    where = words.join(F.broadcast(marks.select("word")), "word").select("word", "doc_id", "y").distinct().toPandas()
+    pure = where.groupby("word")["y"].mean()
+    pure = set(pure.index[pure >= PURITY])
+    terms = cover({w: set(g) for w, g in where[(where["y"] == 1) & where["word"].isin(pure)].groupby("word")["doc_id"]}, least)
+    # Short stems first, so that longer ones and words that they include are left out.
+    sure = marks.where((F.col("toxic") >= SURE_TEXTS) & (F.col("toxic") >= PURITY * (F.col("n") + 0.5))).select("word")
+    for word in sorted((r["word"] for r in sure.collect() if r["word"] in pure), key=lambda w: (not w.endswith("*"), len(w), w)):
+        if not word.rstrip("*").startswith(tuple(t[:-1] for t in terms if t.endswith("*"))):
+            terms.append(word)
+    terms = sorted(set(terms))
+    return terms
+
+
 def train(docs: DataFrame, labels: DataFrame, trained: Column, *, label: str = "toxic", bound: int = SAMPLE,
           id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn from the labelled rows for which ``trained`` (a condition on the labels' id) holds."""
     rows = common.store(quality.labelled_texts(
         docs, quality.sample_labels(labels, label, trained, bound), id_col, text_col), "toxicity-sample")
-    words = rows.select("doc_id", "y", F.explode(F.pandas_udf(words_in, "array<string>")("text")).alias("word"))
-    counts = words.groupBy("word").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n"))
-    toxic = rows.where("y = 1").count()
-    least = max(LEAST_TEXTS, int(toxic * LEAST_SHARE))
-    marks = counts.where((F.col("toxic") >= least) & (F.col("toxic") >= PURITY * F.col("n"))).orderBy(
-        F.desc("toxic"), "word").limit(CANDIDATES)
-    where = words.where("y = 1").join(F.broadcast(marks.select("word")), "word").select("word", "doc_id").toPandas()
-    terms = cover({w: set(g) for w, g in where.groupby("word")["doc_id"]}, least)
-    sure = marks.where((F.col("toxic") >= SURE_TEXTS) & (F.col("toxic") >= PURITY * (F.col("n") + 0.5)))
-    stems = tuple(t[:-1] for t in terms if t.endswith("*"))
-    more = (r["word"] for r in sure.select("word").collect())
-    terms = sorted({*terms, *(w for w in more if not w.endswith("*") and not w.startswith(stems))})
+    terms = learn_terms(rows)
 
     @F.pandas_udf("array<string>")
     def near(series: pd.Series) -> pd.Series:
