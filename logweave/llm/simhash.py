@@ -40,6 +40,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHINGLE = 4
 LIMIT = 4
 SEED = 42
+#: The ring: widths of the segments and their first bits.
 WIDTHS = (13, 13, 13, 13, 12)
 OFFSETS = (0, 13, 26, 39, 52)
 RING = len(WIDTHS)

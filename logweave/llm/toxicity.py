@@ -234,11 +234,16 @@ def learn_terms(rows: DataFrame) -> list[str]:
     pure = where.groupby("word")["y"].mean()
     pure = set(pure.index[pure >= PURITY])
     terms = cover({w: set(g) for w, g in where[(where["y"] == 1) & where["word"].isin(pure)].groupby("word")["doc_id"]}, least)
-    # Short stems first, so that longer ones and words that they include are left out.
-    sure = marks.where((F.col("toxic") >= SURE_TEXTS) & (F.col("toxic") >= PURITY * (F.col("n") + 0.5))).select("word")
-    for word in sorted((r["word"] for r in sure.collect() if r["word"] in pure), key=lambda w: (not w.endswith("*"), len(w), w)):
-        if not word.rstrip("*").startswith(tuple(t[:-1] for t in terms if t.endswith("*"))):
+    sure = {r["word"]: r["toxic"] for r in marks.where(
+        (F.col("toxic") >= SURE_TEXTS) & (F.col("toxic") >= PURITY * (F.col("n") + 0.5))).collect() if r["word"] in pure}
+    terms += [w for w in sure if not w.endswith("*")]
+    # A stem joins if no single term under it explains nearly all of it; then it stands for the words under it.
+    for word in sorted((w for w in sure if w.endswith("*")), key=lambda w: (len(w), w)):
+        under = [t for t in terms if t.startswith(word[:-1])]
+        if max((sure.get(t, sure[word]) for t in under), default=0) < PURITY * sure[word]:
             terms.append(word)
+    stems = [t for t in terms if t.endswith("*")]
+    terms = [t for t in terms if not any(t != x and t.startswith(x[:-1]) for x in stems)]
     terms = sorted(set(terms))
     return terms
 
