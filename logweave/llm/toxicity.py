@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 import sys
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,6 +47,8 @@ STEMS = range(4, 8)
 #: A word found after so many different words in toxic texts joins the lexicon even if other terms cover those texts.
 SURE_TEXTS = 6
 WINDOW = 80
+#: Tokens whose look-up a task remembers, and places of words that it counts, before it starts anew.
+REMEMBERED = 300_000
 _TOKEN = re.compile(r"[^\W_][^\s\"'.,;:?()\[\]{}<>|/«»“”„]*")
 _RUN = re.compile(r"(.)\1\1+")
 _EDGE = "!*$@#%&+-=~^`_\\…"
@@ -67,6 +70,8 @@ class Lexicon:
         self.stems = {t[:-1] for t in terms if t.endswith("*")}
         self.stem_sizes = sorted({len(t) for t in self.stems})
         self.harmless = frozenset(harmless)
+        self.clean: set[str] = set()
+        self.known: dict[str, tuple[str, int]] = {}
         self.trie: dict = {}
         # Of a term's budget + 1 pieces one survives whole: at the front, at the back, or inside.
         front, back, inside = set(), set(), set()
@@ -128,28 +133,43 @@ class Lexicon:
                     walk.append((child, (n0, n1, n2)))
         return best
 
+    def look_up(self, token: str) -> tuple[str, int] | None:
+        """The term that the token stands for and the number of edits."""
+        hit = None
+        for n in self.stem_sizes:
+            if token[:n] in self.stems:
+                hit = (token[:n] + "*", 0)
+        shortest, longest = self.shortest, self.longest
+        if len(token) < shortest or (len(token) > longest and token.isalpha() and not _RUN.search(token)):
+            return hit
+        plain = token.strip(_EDGE)
+        if len(plain) > longest:
+            plain = _RUN.sub(r"\1", plain)
+        if shortest <= len(plain) <= longest and plain not in self.harmless and self.possible(plain):
+            found = self.find(plain)
+            if found is None and _RUN.search(plain):
+                found = self.find(_RUN.sub(r"\1", plain))
+            hit = found or hit
+        return hit
+
+    def hits(self, tokens: set[str]) -> dict[str, tuple[str, int]]:
+        """The tokens that stand for a term; what was looked up before is remembered, within a bound."""
+        if len(self.clean) + len(self.known) > REMEMBERED:
+            self.clean, self.known = set(), {}
+        out = {}
+        for token in tokens - self.clean:
+            hit = self.known.get(token) or self.look_up(token)
+            if hit:
+                out[token] = self.known[token] = hit
+            else:
+                self.clean.add(token)
+        return out
+
     def matches(self, text: str) -> list[tuple[str, str, int, bool]]:
         """(term, token, edits, quoted) of every match in the text."""
         low = text.lower()
         tokens = _TOKEN.findall(low)
-        hits: dict[str, tuple[str, int]] = {}
-        shortest, longest, stems, sizes = self.shortest, self.longest, self.stems, self.stem_sizes
-        for token in set(tokens):
-            for n in sizes:
-                if token[:n] in stems:
-                    hits[token] = (token[:n] + "*", 0)
-            size = len(token)
-            if size < shortest or (size > longest and token.isalpha() and not _RUN.search(token)):
-                continue
-            plain = token.strip(_EDGE)
-            if len(plain) > longest:
-                plain = _RUN.sub(r"\1", plain)
-            if shortest <= len(plain) <= longest and plain not in self.harmless and self.possible(plain):
-                found = self.find(plain)
-                if found is None and _RUN.search(plain):
-                    found = self.find(_RUN.sub(r"\1", plain))
-                if found:
-                    hits[token] = found
+        hits = self.hits(set(tokens))
         if not hits:
             return []
         return [(*hits[m.group()][:1], m.group(), hits[m.group()][1], quoted(low, *m.span()))
@@ -185,21 +205,32 @@ class Model:
     chance: dict[str, float]
 
 
-def words_in(series: pd.Series) -> pd.Series:
-    """Each text's words of four letters or more and their stems (marked by ``*``), each after a space with
-    the class (of 256) of the word before it."""
-    out = []
-    for text in common.texts(series):
-        units, before = set(), ""
-        for token in _TOKEN.findall(text.lower()):
-            word = token.strip(_EDGE)
-            if len(word) >= 4:
-                place = f" {zlib.crc32(before.encode()) & 255}"
-                units.add(word + place)
-                units.update(word[:n] + "*" + place for n in STEMS if n < len(word))
-            before = word
-        out.append(sorted(units))
-    return pd.Series(out)
+def words_in(text: str | None) -> set[tuple[str, int]]:
+    """A text's words of four letters or more, each with the class (of 256) of the word before it."""
+    found, before = set(), ""
+    for token in _TOKEN.findall((text or "").lower()):
+        word = token.strip(_EDGE)
+        if len(word) >= 4:
+            found.add((word, before))
+        before = word
+    return {(word, zlib.crc32(before.encode()) & 255) for word, before in found}
+
+
+def count_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts and toxic texts by word and place, added up within the task."""
+    def frame() -> pd.DataFrame:
+        return pd.DataFrame([(w, p, y, n) for (w, p), (y, n) in seen.items()], columns=["word", "place", "toxic", "n"])
+
+    seen: dict[tuple[str, int], tuple[float, int]] = {}
+    for batch in batches:
+        for text, y in zip(batch["text"], batch["y"]):
+            for unit in words_in(text):
+                toxic, n = seen.get(unit, (0.0, 0))
+                seen[unit] = toxic + y, n + 1
+            if len(seen) > REMEMBERED:
+                yield frame()
+                seen = {}
+    yield frame()
 
 
 def near_words(series: pd.Series, lexicon: Lexicon) -> pd.Series:
@@ -221,21 +252,36 @@ def cover(covered_by: dict[str, set], least: int = LEAST_TEXTS) -> list[str]:
 
 def learn_terms(rows: DataFrame) -> list[str]:
     """Words and stems (``term*``) of the lexicon, from labelled rows (doc_id, text, y)."""
-    units = rows.select("doc_id", "y", F.explode(F.pandas_udf(words_in, "array<string>")("text")).alias("unit"))
-    words = units.select("doc_id", "y", "unit", F.substring_index("unit", " ", 1).alias("word"))
+    words = rows.select("text", "y").mapInPandas(count_places, "word string, place int, toxic double, n long")
+    words = words.groupBy("word", "place").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    cut = f"transform(filter(sequence({STEMS[0]}, {STEMS[-1]}), i -> i < length(word)), i -> concat(substring(word, 1, i), '*'))"
     # Evidence is the words that a term follows, not the texts it is in: copies of a text add nothing.
-    places = words.groupBy("unit", "word").agg(F.avg("y").alias("y"))
+    places = words.withColumn("word", F.explode(F.concat(F.array("word"), F.expr(cut)))).groupBy("word", "place").agg(
+        (F.sum("toxic") / F.sum("n")).alias("y"))
     counts = places.groupBy("word").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n"))
     toxic = rows.where("y = 1").count()
     least = max(LEAST_TEXTS, int(toxic * LEAST_SHARE))
     marks = counts.where((F.col("toxic") >= least) & (F.col("toxic") >= PURITY * F.col("n"))).orderBy(
-        F.desc("toxic"), "word").limit(CANDIDATES)
-    where = words.join(F.broadcast(marks.select("word")), "word").select("word", "doc_id", "y").distinct().toPandas()
+        F.desc("toxic"), "word").limit(CANDIDATES).collect()
+    names = frozenset(r["word"] for r in marks)
+
+    @F.pandas_udf("array<string>")
+    def marks_in(series: pd.Series) -> pd.Series:
+        out = []
+        for text in common.texts(series):
+            plain = {token.strip(_EDGE) for token in set(_TOKEN.findall(text.lower()))}
+            found = plain & names
+            for n in STEMS:
+                found |= {w[:n] + "*" for w in plain if len(w) > n} & names
+            out.append(sorted(w for w in found if len(w) >= 4))
+        return pd.Series(out)
+
+    where = rows.select("doc_id", "y", F.explode(marks_in("text")).alias("word")).distinct().toPandas()
     pure = where.groupby("word")["y"].mean()
     pure = set(pure.index[pure >= PURITY])
     terms = cover({w: set(g) for w, g in where[(where["y"] == 1) & where["word"].isin(pure)].groupby("word")["doc_id"]}, least)
-    sure = {r["word"]: r["toxic"] for r in marks.where(
-        (F.col("toxic") >= SURE_TEXTS) & (F.col("toxic") >= PURITY * (F.col("n") + 0.5))).collect() if r["word"] in pure}
+    sure = {r["word"]: r["toxic"] for r in marks
+            if r["toxic"] >= SURE_TEXTS and r["toxic"] >= PURITY * (r["n"] + 0.5) and r["word"] in pure}
     terms += [w for w in sure if not w.endswith("*")]
     # A stem joins if no single term under it explains nearly all of it; then it stands for the words under it.
     for word in sorted((w for w in sure if w.endswith("*")), key=lambda w: (len(w), w)):
@@ -256,16 +302,19 @@ def train(docs: DataFrame, labels: DataFrame, trained: Column, *, label: str = "
     terms = learn_terms(rows)
 
     @F.pandas_udf("array<string>")
-    def near(series: pd.Series) -> pd.Series:
-        return near_words(series, Lexicon(terms))
+    def near(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lexicon = Lexicon(terms)
+        for series in batches:
+            yield near_words(series, lexicon)
 
     spelled = rows.select("y", F.explode(near("text")).alias("word")).groupBy("word").agg(F.avg("y").alias("y"))
     harmless = [r["word"] for r in spelled.where("y < 0.5").select("word").orderBy("word").collect()]  # of the bounded sample
 
     @F.pandas_udf("string")
-    def kinds(series: pd.Series) -> pd.Series:
+    def kinds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lexicon = Lexicon(terms, harmless)
-        return pd.Series([kind_of(lexicon.matches(x)) for x in common.texts(series)])
+        for series in batches:
+            yield pd.Series([kind_of(lexicon.matches(x)) for x in common.texts(series)])
 
     seen = {r["kind"]: (r["n"], r["toxic"]) for r in rows.groupBy(kinds("text").alias("kind")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("toxic")).collect()}  # five kinds
@@ -277,13 +326,14 @@ def score(text: Column, model: Model) -> Column:
     """Chance that the text is toxic; more matches move it up within its kind's gap to 1."""
 
     @F.pandas_udf("double")
-    def of(series: pd.Series) -> pd.Series:
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lexicon = Lexicon(model.terms, model.harmless)
-        out = np.empty(len(series))
-        for i, x in enumerate(common.texts(series)):
-            found = lexicon.matches(x)
-            chance = model.chance[kind_of(found)]
-            out[i] = min(1.0, chance + (1 - chance) * 0.01 * min(10, len(found)))
-        return pd.Series(out)
+        for series in batches:
+            out = np.empty(len(series))
+            for i, x in enumerate(common.texts(series)):
+                found = lexicon.matches(x)
+                chance = model.chance[kind_of(found)]
+                out[i] = min(1.0, chance + (1 - chance) * 0.01 * min(10, len(found)))
+            yield pd.Series(out)
 
     return of(text)
