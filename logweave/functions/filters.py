@@ -57,7 +57,7 @@ def _compile(text: str, test: Callable[[str], Column]) -> Column | None:
         return None
     groups = parse_filter(text)
     if not groups:
-        raise InvalidFilter(f'filter has no usable terms: "{text}"')
+        raise InvalidFilter(f'nothing to search for in "{text}"')
 
     def term(t: Term) -> Column:
         return ~test(t.text) if t.negate else test(t.text)
@@ -81,7 +81,7 @@ def regexp_filter(text: str, line: Column | str = "line") -> Column:
             java = to_java_regex(pattern)
             _check_compiles(java)
         except InvalidRegex as error:
-            raise InvalidFilter(f'invalid regexp: "{text}" ({error})') from error
+            raise InvalidFilter(f'a term of "{text}" is no regular expression: {error}') from error
         return column.rlike(java)
 
     compiled = _compile(text, test)

@@ -6,7 +6,7 @@ from 0 in merged order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logweave.functions.ascii import ascii_icontains, ascii_lower, ascii_lower_str, java_literal
 from logweave.operators.joins import whole_entries
@@ -63,21 +63,12 @@ def find_spans(numbered: DataFrame, term: str) -> DataFrame:
     hits = numbered.where(ascii_icontains(F.col("line"), term))
     pieces = F.split(ascii_lower(F.col("line")), java_literal(needle), -1)
     width = len(needle.encode())
-    gaps = hits.select(
-        "doc_line_no",
-        F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda gap: F.octet_length(gap)).alias("gaps"),
-    )
+    lengths = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda gap: F.octet_length(gap))
+    gaps = hits.select("doc_line_no", F.posexplode(lengths).alias("i", "gap"))
     # start of occurrence i = all gaps up to i, plus i earlier occurrences
-    ends = F.aggregate(
-        "gaps",
-        F.array().cast("array<int>"),
-        lambda done, gap: F.concat(
-            done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)) + width, F.lit(0)) + gap)
-        ),
-    )
-    return gaps.select("doc_line_no", F.explode(ends).alias("start")).withColumn(
-        "length", F.lit(width)
-    )
+    so_far = Window.partitionBy("doc_line_no").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.sum("gap").over(so_far) + F.col("i") * width
+    return gaps.select("doc_line_no", start.cast("int").alias("start"), F.lit(width).alias("length"))
 
 
 def slice_lines(numbered: DataFrame, first: int, last: int) -> DataFrame:

@@ -19,7 +19,7 @@ from logweave.operators.joins import join_groups
 from logweave.operators.merge import dedup_entries
 from logweave.operators.sinks import write_merged
 from logweave.plans.merge_plan import parse_logs
-from logweave.session import local_table
+from logweave.session import local_table, store
 from logweave.sources.catalog import BUILT_IN_FORMATS
 from logweave.sources.listing import Listing, LogFile, list_tree
 from logweave.sources.logs import read_lines
@@ -124,9 +124,10 @@ class LogStore:
             )
         ]
         files = local_table(spark, current, "file string, gen bigint, file_ord bigint, length bigint")
-        lines = spark.read.schema(_LINES).parquet(f"{self._dir}/lines")
+        live = sorted(set(self._gens.values()))  # other generations are not scanned
+        lines = spark.read.schema(_LINES).parquet(f"{self._dir}/lines").where(F.col("gen").isin(live))
         document = join_groups(lines, files, ["file", "gen"], weight="length").drop("gen")
-        return dedup_entries(document) if self.dedup else document
+        return dedup_entries(store(document, "refreshed")) if self.dedup else document
 
 
 def watch(store: LogStore, rounds: int | None = None, interval: float = POLL_SECONDS) -> Iterator[Refresh]:

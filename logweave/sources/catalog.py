@@ -63,7 +63,7 @@ def load_catalog(spark: SparkSession, path: str | None = None) -> FormatCatalog:
         reason = str(error).splitlines()[0]
     if formats:
         return FormatCatalog(formats)
-    warning = f"could not use timestamp formats from {path}: {reason}; using built-in formats"
+    warning = f"{path} is not used as a catalog ({reason}); the default formats apply"
     return FormatCatalog(list(BUILT_IN_FORMATS), [warning])
 
 

@@ -9,7 +9,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.functions.ascii import ascii_lower_str
 from logweave.session import local_table
 
 SNAPSHOT_SCHEMA = "path string, mtime_us bigint, length bigint"
@@ -66,13 +65,16 @@ def escape_glob(path: str) -> str:
 class Exclusion:
     """Leaves out the output of an earlier run, whether a file or a folder of parts.
 
-    Local paths are compared by identity, so another spelling or a link still counts.
+    Local paths are compared by device and inode, so a link or another spelling still counts.
     """
 
     def __init__(self, spark: SparkSession, output: str | None):
         self.output = qualify(spark, output).rstrip("/") if output else None
         self._local = local_path(self.output) if self.output else None
-        self._name = ascii_lower_str(os.path.basename(self.output)) if self.output else None
+        try:
+            self._inode = _inode(self._local) if self._local else None
+        except OSError:  # not written yet
+            self._inode = None
 
     def matches(self, path: str) -> bool:
         if self.output is None:
@@ -80,14 +82,17 @@ class Exclusion:
         local = local_path(path)
         if self._local is None or local is None:
             return path == self.output or path.startswith(self.output + "/")
-        if ascii_lower_str(os.path.basename(local)) != self._name:
-            return False
         try:
-            return os.path.samefile(local, self._local)
+            return self._inode is not None and _inode(local) == self._inode
         except OSError:
             return False
 
 
+def _inode(path: str) -> tuple[int, int]:
+    found = os.stat(path)
+    return found.st_dev, found.st_ino
+
+
 def list_tree(
     spark: SparkSession, root: str, exclude: str | None = None, include_hidden: bool = True
 ) -> Listing:
@@ -140,7 +145,12 @@ def _walk_local(root: str, exclusion: Exclusion, include_hidden: bool) -> Listin
             except OSError:
                 listing.skipped += 1
                 continue
-            if stat_module.S_ISREG(status.st_mode):
+            if not stat_module.S_ISREG(status.st_mode):
+                continue
+            if not os.access(entry.path, os.R_OK):
+                listing.skipped += 1
+                listing.left_out.append(path)
+            else:
                 listing.files.append(LogFile(path, status.st_mtime_ns // 1000, status.st_size))
     return listing
 
@@ -181,11 +191,11 @@ def _stat_local(path: str) -> tuple[int, int] | str:
     try:
         status = os.stat(path)
     except OSError as error:
-        return f"could not open file: {error.strerror}"
+        return f"not readable: {error.strerror}"
     if not stat_module.S_ISREG(status.st_mode):
-        return "could not open file: not a regular file"
+        return "not readable: not a regular file"
     if not os.access(path, os.R_OK):
-        return "could not open file: Permission denied"
+        return "not readable: Permission denied"
     return status.st_mtime_ns // 1000, status.st_size
 
 
@@ -193,8 +203,8 @@ def _stat_remote(spark: SparkSession, path: str) -> tuple[int, int] | str:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     filesystem = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not filesystem.exists(hadoop_path):
-        return "could not open file: no such file"
+        return "not readable: no such file"
     status = filesystem.getFileStatus(hadoop_path)
     if not status.isFile():
-        return "could not open file: not a regular file"
+        return "not readable: not a regular file"
     return status.getModificationTime() * 1000, status.getLen()

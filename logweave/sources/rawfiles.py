@@ -90,7 +90,7 @@ def gzip_states(spark: SparkSession, paths: list[str]) -> DataFrame:
                             pass
                     rows.append((path, end["end"], None))
                 except (zlib.error, OSError) as error:
-                    rows.append((path, "unreadable", f"could not read file: {error}"))
+                    rows.append((path, "unreadable", f"damaged content: {error}"))
             yield pa.RecordBatch.from_pydict(
                 {name: [row[i] for row in rows] for i, name in enumerate(["path", "state", "reason"])},
                 schema=pa.schema([(n, pa.string()) for n in ("path", "state", "reason")]),

@@ -7,20 +7,14 @@ from logweave.functions.levels import level_of
 from logweave.functions.regex import InvalidRegex, to_java_regex
 
 GRAMMAR = [
-    ("error", "error"),
-    ("error timeout", "error,timeout"),
-    ("error && timeout", "error,timeout"),
-    ("error || timeout", "error | timeout"),
-    ("error && !timeout", "error,!timeout"),
-    ("! timeout", "!timeout"),
-    ("!!timeout", "timeout"),
-    ('"connection refused"', "connection refused"),
-    ('"connection refused" && !timeout', "connection refused,!timeout"),
-    ("error   ", "error"),
-    ('"still open', "still open"),
-    ("!", ""),
-    ("&&", ""),
-    ("   ", ""),
+    ('disk && "no space left" || !retry gave', "disk,no space left | !retry,gave"),
+    ('!"user 7" shard', "!user 7,shard"),
+    ("  shard   7 && ", "shard,7"),
+    ("!!!shard", "!shard"),
+    ('|| "', ""),
+    ("shard && || 7", "shard | 7"),
+    ('"open until the end ||', "open until the end ||"),
+    ("\t!\t", ""),
     ('a "||" b', "a | b"),
     ('"!x"', "!x"),
     ("! && x", "!x"),

@@ -51,18 +51,17 @@ def rendered_timestamp(service: Column) -> Column:
     return text
 
 
-def event_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(event_id, service, header)`` for every event."""
+def event_headers(spark: SparkSession, sf_dir: str, layout: int | None = None) -> DataFrame:
+    """``(event_id, service, header)`` for every event, in its service's layout or in the one given."""
     events = read_table(spark, sf_dir, "events").withColumn("service", F.col("user_id") % SERVICES)
-    return events.select(
-        "*", F.concat(rendered_timestamp(F.col("service")), F.expr(BODY_SQL)).alias("header")
-    )
+    stamp = rendered_timestamp(F.col("service") if layout is None else F.lit(layout))
+    return events.select("*", F.concat(stamp, F.expr(BODY_SQL)).alias("header"))
 
 
-def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log_lines(spark: SparkSession, sf_dir: str, layout: int | None = None) -> DataFrame:
     """``(file, pos, line)``: the lines of all log files."""
     segment = F.lpad(F.floor(F.col("event_id") / ROTATE_EVENTS).cast("string"), 6, "0")
-    events = event_headers(spark, sf_dir).withColumn("segment", segment)
+    events = event_headers(spark, sf_dir, layout).withColumn("segment", segment)
     own = events.withColumn(
         "file", F.concat(F.lit("svc-"), F.col("service"), F.lit("-"), F.col("segment"), F.lit(".log"))
     )

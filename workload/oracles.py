@@ -24,15 +24,17 @@ def _has(text: str, needle: str) -> str:
 
 # headers: one row per event. entries: one row per entry of each log file.
 # doc: one row per line, with its place in the merged document.
-_BASE = f"""
+def _base(layout: str = f"user_id % {SERVICES}") -> str:
+    """The tables below; ``layout`` is the number of the layout that an event is rendered in."""
+    return f"""
 WITH headers AS (
   SELECT *, user_id % {SERVICES} AS service,
          lpad(CAST(event_id // {ROTATE_EVENTS} AS VARCHAR), 6, '0') AS segment,
-         CASE user_id % {SERVICES} {_TIMESTAMP} END AS stamp,
-         CASE WHEN user_id % {SERVICES} IN (0, 4)
+         CASE {layout} {_TIMESTAMP} END AS stamp,
+         CASE WHEN {layout} IN (0, 4)
               THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || '000'
               ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS key,
-         CASE user_id % {SERVICES} {_TIMESTAMP} END || {BODY_SQL} AS header,
+         CASE {layout} {_TIMESTAMP} END || {BODY_SQL} AS header,
          (event_id % 7) * 1000000000 + event_id AS place
   FROM events
 ),
@@ -86,8 +88,8 @@ _EXPRESSION = (
 _REPORT = "CASE WHEN file LIKE 'zz-%' THEN 'logback' ELSE CASE CAST(substr(file, 5, 1) AS INT) " + _FORMAT + " END END"
 
 
-def _from_doc(select: str) -> str:
-    return _BASE + select
+def _from_doc(select: str, *layout: str) -> str:
+    return _base(*layout) + select
 
 
 def _hit(pick: str, ahead: str) -> str:
@@ -97,10 +99,8 @@ def _hit(pick: str, ahead: str) -> str:
     )
 
 
-def _key_oracle(service: int) -> str:
-    return _from_doc(
-        f"SELECT event_id, key AS sort_key, length(stamp) AS span FROM headers WHERE service = {service}"
-    )
+def _key_oracle(layout: int) -> str:
+    return _from_doc("SELECT event_id, key AS sort_key, length(stamp) AS span FROM headers", str(layout))
 
 
 _MONTH = "month(ts + to_months(CAST(event_id % 12 AS INT)))"
@@ -122,9 +122,9 @@ ORACLES: dict[str, str] = {
 , picked AS (
   SELECT file, row_number() OVER (ORDER BY file DESC) - 1 AS back FROM files
 ), ordered AS (
-  SELECT file, back // 2 AS file_ord FROM picked WHERE back % 2 = 0
+  SELECT file, back AS file_ord FROM picked
   UNION ALL
-  SELECT file, (SELECT count(*) FROM picked WHERE back % 2 = 0) FROM picked WHERE back = 0
+  SELECT file, (SELECT count(*) FROM picked) FROM picked WHERE back = 0
 )
 SELECT o.file_ord, o.file, count(*) AS n_lines, CAST(sum(strlen(line)) AS BIGINT) AS n_bytes
 FROM ordered o JOIN doc d ON o.file = d.file GROUP BY 1, 2"""),
@@ -141,8 +141,8 @@ FROM l GROUP BY file""",
     "read_tree_excluding": _from_doc("SELECT file, line FROM doc"),
     "input_warnings": _from_doc("""
 SELECT file, count(*) AS n_lines, CAST(NULL AS VARCHAR) AS skipped FROM doc GROUP BY file
-UNION ALL SELECT 'zz-damaged.log', NULL, 'could not read file'
-UNION ALL SELECT 'missing.log', NULL, 'could not open file'"""),
+UNION ALL SELECT 'zz-damaged.log', NULL, 'damaged content'
+UNION ALL SELECT 'missing.log', NULL, 'not readable'"""),
     "format_catalog": _from_doc("""
 , sampled AS (SELECT * FROM doc WHERE line_no < 2000)
 SELECT file,
@@ -154,7 +154,7 @@ FROM sampled GROUP BY file"""),
     "reread_merged": _from_doc("""
 SELECT row_number() OVER (ORDER BY sort_key, file_ord, entry_no, line_in_entry) - 1 AS doc_line_no,
        sort_key, line
-FROM doc WHERE file LIKE 'svc-0%' OR file LIKE 'zz-%'"""),
+FROM doc""", "0"),
     "write_merged": _from_doc("SELECT doc_line_no, line FROM doc"),
     "export_visible": _from_doc(
         f"SELECT row_number() OVER (ORDER BY doc_line_no) - 1 AS doc_line_no, line FROM doc WHERE {_EXPRESSION}"
@@ -185,14 +185,14 @@ SELECT file, {_REPORT} AS format,
 FROM doc GROUP BY file"""),
     "detect_format_late": _from_doc(f"SELECT file, {_REPORT} AS format, 0 AS votes, 'first_match' AS via FROM files"),
     "format_pinning": _from_doc("""
-, service0 AS (
-  SELECT *, CAST(entry_no > 0 AND event_id % 10 <> 0 AS INT) AS starts FROM entries WHERE file LIKE 'svc-0%'
+, cut AS (
+  SELECT *, CAST(entry_no > 0 AND event_id % 10 <> 0 AS INT) AS starts FROM entries
 ), grouped AS (
-  SELECT *, sum(starts) OVER (PARTITION BY file ORDER BY entry_no) AS grp FROM service0
+  SELECT *, sum(starts) OVER (PARTITION BY file ORDER BY entry_no) AS grp FROM cut
 )
 SELECT file, CAST(grp AS BIGINT) AS entry_no, max(CASE WHEN starts = 1 THEN sort_key END) AS sort_key,
        CAST(sum(len(lines)) AS BIGINT) AS n_lines
-FROM grouped WHERE grp > 0 GROUP BY file, grp"""),
+FROM grouped WHERE grp > 0 GROUP BY file, grp""", "0"),
     "format_report": _from_doc(f"SELECT file_ord, file, {_REPORT} AS format FROM files"),
     "group_entries": _from_doc("SELECT file_ord, entry_no, sort_key, len(lines) AS n_lines FROM entries"),
     "preamble_entry": _from_doc(
@@ -203,8 +203,7 @@ FROM grouped WHERE grp > 0 GROUP BY file, grp"""),
         " array_to_string(lines, chr(10)) || chr(10) AS content FROM entries"
     ),
     "concat_files": _from_doc("""
-SELECT file_ord, count(*) * CASE WHEN file_ord = 0 THEN 2 ELSE 1 END AS n_lines,
-       count(*) FILTER (WHERE line_in_entry = 0) * CASE WHEN file_ord = 0 THEN 2 ELSE 1 END AS n_entries
+SELECT file_ord, count(*) * 2 AS n_lines, count(*) FILTER (WHERE line_in_entry = 0) * 2 AS n_entries
 FROM doc GROUP BY file_ord"""),
     "merge_chronological": _from_doc("SELECT sort_key, file_ord, entry_no, line_in_entry, line FROM doc"),
     "dedup_entries": _from_doc(f"SELECT sort_key, file_ord, entry_no, line_in_entry, line FROM {_DEDUPED}"),
@@ -272,9 +271,9 @@ FROM visible"""),
     "snapshot_diff": _from_doc("""
 SELECT file, CASE WHEN file LIKE 'svc-0%' THEN 'removed' WHEN file LIKE 'svc-4%' THEN 'added'
                   WHEN file LIKE 'svc-2%' THEN 'modified' ELSE 'same' END AS status
-FROM files WHERE file LIKE 'svc-%'"""),
+FROM files"""),
     "refresh_incremental": _from_doc(f"""
-, kept AS (SELECT * FROM entries WHERE file LIKE 'svc-%' AND NOT {_CHANGED}),
+, kept AS (SELECT * FROM entries WHERE NOT {_CHANGED}),
 renumbered AS (
   SELECT file, sort_key, lines,
          CASE WHEN entry_no = 0 THEN 0

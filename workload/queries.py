@@ -55,9 +55,9 @@ def _tree_lines(spark: SparkSession, root: str, **options) -> DataFrame:
 
 @query
 def read_lines_query(spark, sf_dir):
-    """Every second log, given by path and in reverse order; the first one twice."""
+    """All logs, given by path and in reverse order; the first one twice."""
     listing = list_tree(spark, logs_of(spark, sf_dir).root, include_hidden=False)
-    paths = [f.path for f in reversed(listing.files)][::2]
+    paths = [f.path for f in reversed(listing.files)]
     source = read_files(spark, [*paths, paths[0]])
     parsed = parse_logs(source)
     return named(parsed.document).groupBy("file_ord", "file").agg(
@@ -144,8 +144,8 @@ def format_catalog(spark, sf_dir):
 
 @query
 def reread_merged_query(spark, sf_dir):
-    """A merged log in one format is read back as one log, in the same order."""
-    lines = log_lines(spark, sf_dir).where("file LIKE 'svc-0%' OR file LIKE 'zz-%'")
+    """All logs in one layout: their merged log is read back as one log, in the same order."""
+    lines = log_lines(spark, sf_dir, layout=0)
     root = write_logs(spark, sf_dir, lines=lines)
     merged = scratch_path(spark, "merged")
     write_merged(parse_logs(read_tree(spark, root, include_hidden=False)).document, merged)
@@ -182,15 +182,11 @@ def _written(spark: SparkSession, out: str) -> DataFrame:
 
 # ---- timestamps ----
 
-def _service_lines(spark: SparkSession, sf_dir: str, service: int) -> DataFrame:
-    return fixture.event_headers(spark, sf_dir).where(F.col("service") == service)
-
-
-def _key_query(name: str, service: int, pattern: str) -> None:
+def _key_query(name: str, layout: int, pattern: str) -> None:
+    """Keys of all events, rendered in one layout."""
     def run(spark, sf_dir):
         fmt = TimestampFormat(name, pattern)
-        lines = _service_lines(spark, sf_dir, service)
-        return lines.select(
+        return fixture.event_headers(spark, sf_dir, layout).select(
             "event_id", fmt.sort_key(F.col("header")).alias("sort_key"),
             fmt.span(F.col("header")).cast("bigint").alias("span"),
         )
@@ -299,8 +295,8 @@ def detect_format_late(spark, sf_dir):
 
 @query
 def format_pinning(spark, sf_dir):
-    """Every tenth header of the first service lacks its fraction, so it starts no entry."""
-    lines = log_lines(spark, sf_dir).where("file LIKE 'svc-0%'")
+    """All logs in one layout, where every tenth header lacks its fraction and so starts no entry."""
+    lines = log_lines(spark, sf_dir, layout=0)
     is_header = F.col("line").rlike("^2024-")
     tenth = F.regexp_extract("line", r"id=(\d+)", 1).cast("bigint") % 10 == 0
     short = F.concat(F.substring("line", 1, 19), F.col("line").substr(F.lit(27), F.length("line")))
@@ -344,7 +340,7 @@ def entry_content(spark, sf_dir):
 @query
 def concat_files(spark, sf_dir):
     document = logs_of(spark, sf_dir).document
-    doubled = concat_logs(document, document.where("file_ord = 0"))
+    doubled = concat_logs(document, document)
     return doubled.groupBy("file_ord").agg(
         F.count("*").alias("n_lines"), F.count_if(F.col("line_in_entry") == 0).alias("n_entries")
     )
@@ -503,8 +499,8 @@ def dir_snapshot(spark, sf_dir):
 
 
 def _changed_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Services 0 to 3, and later services 1 to 4 with half of the second one's lines."""
-    lines = log_lines(spark, sf_dir).where("file LIKE 'svc-%'")
+    """All logs but the last service's, and later all but the first one's with half of service 2's lines."""
+    lines = log_lines(spark, sf_dir)
     before = lines.where("file NOT LIKE 'svc-4%'")
     after = lines.where("file NOT LIKE 'svc-0%' AND NOT (file LIKE 'svc-2%' AND pos % 8 >= 4)")
     return before, after
