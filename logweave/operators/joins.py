@@ -42,7 +42,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str
 
 
 def entry_part(line_in_entry="line_in_entry"):
-    return F.floor(F.col(line_in_entry) / PART_LINES)
+    return F.expr(f"{line_in_entry} div {PART_LINES}")
 
 
 def whole_entries(
@@ -57,7 +57,7 @@ def whole_entries(
     how = "inner" if extra else "left_semi"
     if at_most is not None and at_most <= BROADCAST_ROWS:
         return document.join(F.broadcast(entries.select(*columns)), ["file_ord", "entry_no"], how)
-    last_part = F.floor((F.col("n_lines") - 1) / PART_LINES)
+    last_part = F.expr(f"(n_lines - 1) div {PART_LINES}")
     parts = entries.select(
         *columns, F.explode(F.sequence(F.lit(0).cast("bigint"), last_part)).alias("part")
     )

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logweave.functions.ascii import ascii_icontains, ascii_lower, ascii_lower_str, java_literal
-from logweave.operators.joins import whole_entries
+from logweave.operators import joins
 from logweave.operators.merge import ORDER
 from logweave.operators.numbering import with_number
+from logweave.session import store
 
 
 def number_lines(document: DataFrame, predicate: Column | None = None) -> DataFrame:
@@ -87,12 +88,13 @@ def tail_lines(document: DataFrame, n: int) -> DataFrame:
 
 def entry_context(document: DataFrame, predicate: Column) -> DataFrame:
     """All lines of the entries that have a line matching ``predicate``."""
-    hit = (
-        document.groupBy("file_ord", "entry_no")
-        .agg(F.count("*").alias("n_lines"), F.max(predicate).alias("hit"))
-        .where("hit")
-    )
-    return whole_entries(document, hit.drop("hit"))
+    entry = ["file_ord", "entry_no"]
+    hits = store(document.where(predicate).select(*entry).distinct(), "hits")
+    n_hits = hits.count()
+    if n_hits > joins.BROADCAST_ROWS:  # matched in parts, which takes the lengths of these entries
+        sizes = document.groupBy(*entry).agg(F.count("*").alias("n_lines"))
+        hits = sizes.join(hits, entry, "left_semi")
+    return joins.whole_entries(document, hits, at_most=n_hits)
 
 
 def entry_at(document: DataFrame, numbered: DataFrame, position: int) -> DataFrame:

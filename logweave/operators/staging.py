@@ -26,14 +26,13 @@ def earlier_runs() -> WindowSpec:
     return in_file.rowsBetween(Window.unboundedPreceding, -1)
 
 
-
 @dataclass
 class StagedLines:
     """``lines``: file, file_id, block_start, chunk, pos, flags, line.
 
     ``pos`` increases along each block; ``flags`` says which formats match.
-    ``pieces``: file_ord, file, run key, offset, flags, n, first_pos, last_pos, one
-    row per run and set of flags; ``n_pieces`` bounds the number of runs.
+    ``pieces``: file_ord, file, path, run key, offset, flags, n, first_pos, last_pos,
+    one row per run and set of flags; ``n_pieces`` bounds the number of runs.
     """
 
     lines: DataFrame
@@ -46,6 +45,15 @@ class StagedLines:
         """The narrow table in the partitioning that all per-file steps share."""
         return self.pieces.repartition("file_ord")
 
+    def unread(self) -> DataFrame:
+        """``(path, reason)`` of files that must give lines and gave none.
+
+        They were removed or closed to us after they had been listed.
+        """
+        listed = self.units.where("filled").select("path").distinct()
+        reason = F.lit("not read: it was gone or closed when it was scanned").alias("reason")
+        return listed.join(self.pieces.select("path"), "path", "left_anti").select("path", reason)
+
 
 def stage(source: LogSource, formats: list[TimestampFormat], run_bits: int = RUN_BITS) -> StagedLines:
     """Scan the files once. Later steps read the columns they need from the stored table."""
@@ -64,24 +72,13 @@ def stage(source: LogSource, formats: list[TimestampFormat], run_bits: int = RUN
         F.min("pos").alias("first_pos"),
         F.max("pos").alias("last_pos"),
     )
-    units = source.units if source.units is not None else _path_order(lines)
     pieces = store(
         per_flags.withColumn("path", decoded_path(F.col("file")))
         .drop("file")
-        .join(units, "path")
+        .join(source.units, "path")
         .withColumn("offset", F.col("base") + F.col("block_start"))
-        .drop("path", "base"),
+        .drop("base", "filled"),
         "pieces",
     )
-    return StagedLines(lines, pieces, pieces.count(), units, formats)
+    return StagedLines(lines, pieces, pieces.count(), source.units, formats)
 
-
-def _path_order(lines: DataFrame) -> DataFrame:
-    """Files in path order. Streams use this, whose batches hold a bounded number of files."""
-    files = lines.select("file").distinct().select(decoded_path(F.col("file")).alias("path"))
-    return files.select(
-        "path",
-        F.col("path").alias("file"),
-        (F.row_number().over(Window.orderBy("path")) - 1).cast("bigint").alias("file_ord"),
-        F.lit(0).cast("bigint").alias("base"),
-    )

@@ -30,7 +30,8 @@ class ParsedLogs:
         return format_report(self.staged, self.formats_by_file)
 
     def warnings(self) -> DataFrame:
-        return self.source.warnings()
+        """Every input that gave no lines although it should have, with the reason."""
+        return self.source.warnings().unionByName(self.staged.unread())
 
 
 def parse_logs(

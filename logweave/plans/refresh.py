@@ -96,7 +96,8 @@ class LogStore:
         parsed.document.drop("file_ord").write.mode("overwrite").parquet(
             f"{self._dir}/lines/gen={version}"
         )
-        failed = {path for path, _ in source.problems}
+        problems = [(r.path, r.reason) for r in parsed.warnings().toLocalIterator()]
+        failed = {path for path, _ in problems}  # tried again at the next refresh
         fresh = {f.path: version for f in todo if f.path not in failed}
         kept = {f.path: self._gens[f.path] for f in current.files if known.get(f.path) == f}
         gens = {**kept, **fresh}
@@ -109,7 +110,7 @@ class LogStore:
         self._gens = gens
         if self.output:
             write_merged(self.document(), self.output)
-        return Refresh("changed", [f.path for f in todo], current.problems(self.root) + source.problems)
+        return Refresh("changed", [f.path for f in todo], current.problems(self.root) + problems)
 
     def document(self) -> DataFrame:
         """The current lines of all current files, deduplicated if the store is set to."""

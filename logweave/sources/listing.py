@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import re
 import stat as stat_module
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from logweave.session import local_table
@@ -14,6 +16,8 @@ from logweave.session import local_table
 SNAPSHOT_SCHEMA = "path string, mtime_us bigint, length bigint"
 WARNING_SCHEMA = "path string, reason string"
 
+_LISTERS = 32  # folders of a remote tree that are listed at a time
+
 
 @dataclass(frozen=True)
 class LogFile:
@@ -27,13 +31,15 @@ class Listing:
     """Files in merge order. ``skipped`` counts what could not be listed.
 
     ``root`` is the folder a recursive scan may read instead of the single files,
-    without the paths in ``left_out``; it is None if that would find other files.
+    without the paths in ``left_out`` and those below ``left_out_folders``; it is None
+    if that would find other files.
     """
 
     files: list[LogFile] = field(default_factory=list)
     skipped: int = 0
     root: str | None = None
     left_out: list[str] = field(default_factory=list)
+    left_out_folders: list[str] = field(default_factory=list)
 
     def snapshot(self, spark: SparkSession) -> DataFrame:
         rows = [(f.path, f.mtime_us, f.length) for f in self.files]
@@ -103,7 +109,7 @@ def list_tree(
     if local is not None:
         listing = _walk_local(local, exclusion, include_hidden)
     else:
-        listing = _list_remote(spark, qualified, exclusion)
+        listing = _list_remote(spark, qualified, exclusion, include_hidden)
     if any(_hidden(part) for f in listing.files for part in f.path[len(qualified):].split("/")[:-1]):
         listing.root = None  # a file below a hidden folder, which Spark's listing would skip
     listing.files.sort(key=lambda f: os.fsencode(f.path))
@@ -128,7 +134,7 @@ def _walk_local(root: str, exclusion: Exclusion, include_hidden: bool) -> Listin
         for entry in entries:
             path = "file:" + entry.path
             if exclusion.matches(path):
-                listing.left_out.append(path)
+                (listing.left_out_folders if entry.is_dir() else listing.left_out).append(path)
                 continue
             if not include_hidden and _hidden(entry.name):
                 continue
@@ -155,19 +161,46 @@ def _walk_local(root: str, exclusion: Exclusion, include_hidden: bool) -> Listin
     return listing
 
 
-def _list_remote(spark: SparkSession, root: str, exclusion: Exclusion) -> Listing:
-    """Spark lists the tree in parallel; only names and sizes reach the driver,
-    which holds them for any file scan anyway."""
-    found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(escape_glob(root))
-        .selectExpr("path", "unix_micros(modificationTime) AS mtime_us", "length")
-    )
-    files = [LogFile(r.path, r.mtime_us, r.length) for r in found.toLocalIterator()]
-    left_out = [exclusion.output] if exclusion.output else []
-    kept = [f for f in files if not exclusion.matches(f.path)]
-    return Listing(kept, root=root, left_out=left_out)
+def _list_remote(
+    spark: SparkSession, root: str, exclusion: Exclusion, include_hidden: bool = True
+) -> Listing:
+    """Folders are listed level by level, many at a time, through the filesystem's own client.
+
+    Spark's listing would leave out hidden names and could not tell what it missed. Names and
+    sizes reach the driver, which holds them for any file scan anyway.
+    """
+    start = spark._jvm.org.apache.hadoop.fs.Path(root)
+    filesystem = start.getFileSystem(spark._jsc.hadoopConfiguration())
+    listing = Listing(root=root)
+
+    def children(folder) -> list | None:
+        try:
+            return list(filesystem.listStatus(folder))
+        except Py4JJavaError:  # no access, or removed since
+            return None
+
+    with ThreadPoolExecutor(_LISTERS) as pool:
+        level = [start]
+        while level:
+            folders, level = level, []
+            for found in pool.map(children, folders):
+                if found is None:
+                    listing.skipped += 1
+                    listing.root = None
+                    continue
+                for status in found:
+                    path = status.getPath()
+                    name = path.toString()
+                    if exclusion.matches(name):
+                        (listing.left_out_folders if status.isDirectory() else listing.left_out).append(name)
+                    elif not include_hidden and _hidden(path.getName()):
+                        continue
+                    elif status.isDirectory():
+                        level.append(path)
+                    elif status.isFile():
+                        mtime_us = status.getModificationTime() * 1000
+                        listing.files.append(LogFile(name, mtime_us, status.getLen()))
+    return listing
 
 
 def list_paths(spark: SparkSession, paths: list[str]) -> tuple[Listing, list[tuple[str, str]]]:

@@ -12,16 +12,12 @@ from logweave.session import local_table
 from logweave.sources.listing import (
     WARNING_SCHEMA, Listing, LogFile, escape_glob, list_paths, list_tree,
 )
-from logweave.sources.rawfiles import gzip_states, read_raw
+from logweave.sources.rawfiles import can_open, gzip_states, read_raw
 
 # Suffixes Spark's text source would decode, other than .gz.
 _OTHER_CODECS = (".bz2", ".deflate", ".lz4", ".snappy", ".zst")
 
-# Up to this many paths are given one by one, and up to this many left out of a tree.
-_FEW_PATHS = 32
-_FEW_UNWANTED = 50
-
-UNIT_SCHEMA = "path string, file string, file_ord bigint, base bigint"
+UNIT_SCHEMA = "path string, file string, file_ord bigint, base bigint, filled boolean"
 
 
 @dataclass
@@ -30,16 +26,16 @@ class LogSource:
 
     ``lines``: ``file`` (as the scan spells it), ``block_start``, ``line``; rows of one
     block come in file order within their partition.
-    ``units``: path -> the log it belongs to, its place in the merge, and the byte
-    offset of this path inside that log. Without it, every file is a log of its
-    own and they are merged in path order.
+    ``units``: path -> the log it belongs to, its place in the merge, the byte
+    offset of this path inside that log, and whether it must give lines.
     """
 
     lines: DataFrame
-    units: DataFrame | None
+    units: DataFrame
     problems: list[tuple[str, str]] = field(default_factory=list)
 
     def warnings(self) -> DataFrame:
+        """Files left out so far; ``ParsedLogs.warnings`` adds those that the scan did not find."""
         return local_table(self.lines.sparkSession, self.problems, WARNING_SCHEMA)
 
 
@@ -68,7 +64,8 @@ def _read_by_hand(path: str) -> bool:
 
 
 def _text(spark: SparkSession, paths: list[str], recursive: bool = False) -> DataFrame:
-    # Only "\n" ends a line: the default would also split at a lone "\r".
+    # Only "\n" ends a line: the default would also split at a lone "\r". A file that is gone when
+    # the scan runs does not end the job; staging reports it, as it gives none of the lines it must.
     return (
         spark.read.option("lineSep", "\n")
         .option("ignoreMissingFiles", True)
@@ -86,20 +83,21 @@ def _encoded_path(spark: SparkSession, path: str) -> str:
     return spark._jvm.org.apache.hadoop.fs.Path(path).toUri().toString()
 
 
-def _native(spark: SparkSession, paths: list[str], root: str | None, unwanted: list[str]) -> DataFrame:
+def _native(
+    spark: SparkSession, paths: list[str], root: str | None, unwanted: list[str], folders: list[str]
+) -> DataFrame:
     """The files that Spark reads itself.
 
-    Many files of one tree are listed by Spark, in parallel, instead of being
+    The files of one tree are listed by Spark, in parallel, instead of being
     checked path by path; conditions on the file path prune the listing.
     """
-    if root is None or len(paths) <= _FEW_PATHS or len(unwanted) > _FEW_UNWANTED:
+    if root is None:
         return _text(spark, paths)
     lines = _text(spark, [root], recursive=True)
-    for path in unwanted:
-        encoded = _encoded_path(spark, path)
-        file = F.col("file")
-        lines = lines.where((file != encoded) & ~file.startswith(encoded + "/"))
-    return lines
+    for path in folders:
+        lines = lines.where(~F.col("file").startswith(_encoded_path(spark, path) + "/"))
+    encoded = [_encoded_path(spark, path) for path in unwanted]
+    return lines.where(~F.col("file").isin(encoded)) if encoded else lines
 
 
 def _empty(spark: SparkSession) -> DataFrame:
@@ -121,9 +119,11 @@ def read_lines(
     plain_raw = [f for f in distinct if not _is_gzip(f.path) and _read_by_hand(f.path)]
     gzip_raw: list[LogFile] = []
     problems: list[tuple[str, str]] = []
+    filled = {f.path: f.length > 0 for f in distinct if not _is_gzip(f.path)}
     if gzip and check_gzip:
         states = {r.path: r for r in gzip_states(spark, [f.path for f in gzip]).toLocalIterator()}
         problems = [(f.path, states[f.path].reason) for f in gzip if states[f.path].state == "unreadable"]
+        filled |= {f.path: bool(states[f.path].n_bytes) for f in gzip}
         plain_raw += [f for f in gzip if states[f.path].state == "plain"]
         gzip_raw = [
             f for f in gzip
@@ -132,14 +132,20 @@ def read_lines(
         ]
     else:
         gzip_raw = [f for f in gzip if _read_by_hand(f.path)]
+    unreachable = [f for f in plain_raw + gzip_raw if not can_open(f.path)]
+    reason = "not readable: a name that Spark skips, on a filesystem that only Spark reads"
+    problems += [(f.path, reason) for f in unreachable]
     left_out = {path for path, _ in problems}
+    plain_raw = [f for f in plain_raw if f.path not in left_out]
+    gzip_raw = [f for f in gzip_raw if f.path not in left_out]
     by_hand = {f.path for f in plain_raw + gzip_raw}
     native = [f.path for f in distinct if f.path not in by_hand and f.path not in left_out]
 
     root = tree.root if tree else None
     seen_by_scan = [p for p in [*by_hand, *left_out] if not _hidden_from_scan(p)]
     unwanted = [*(tree.left_out if tree else []), *seen_by_scan]
-    parts = [_native(spark, native, root, unwanted)] if native else []
+    folders = tree.left_out_folders if tree else []
+    parts = [_native(spark, native, root, unwanted, folders)] if native else []
     if by_hand:
         parts.append(read_raw(spark, plain_raw, gzip_raw))
     lines = parts[0] if parts else _empty(spark)
@@ -147,7 +153,9 @@ def read_lines(
         lines = lines.unionByName(part)
     kept = [f.path for f in files if f.path not in left_out]
     units = local_table(
-        spark, [(path, path, position, 0) for position, path in enumerate(kept)], UNIT_SCHEMA
+        spark,
+        [(path, path, position, 0, filled.get(path, False)) for position, path in enumerate(kept)],
+        UNIT_SCHEMA,
     )
     lines = lines.select("file", "block_start", strip_cr(F.col("value")).alias("line"))
     return LogSource(lines, units, problems)
@@ -187,7 +195,7 @@ def read_merged(spark: SparkSession, path: str) -> LogSource:
     source = read_lines(spark, parts)
     bases, base = [], 0
     for part in parts:
-        bases.append((part.path, problems[0][0], 0, base))
+        bases.append((part.path, problems[0][0], 0, base, part.length > 0 and not _is_gzip(part.path)))
         base += part.length
     source.units = local_table(spark, bases, UNIT_SCHEMA)
     return source

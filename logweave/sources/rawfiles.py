@@ -10,6 +10,7 @@ from __future__ import annotations
 import sys
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -24,11 +25,12 @@ from logweave.sources.listing import LogFile, local_path
 cloudpickle.register_pickle_by_value(listing)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-GZIP_STATES = "path string, state string, reason string"
+GZIP_STATES = "path string, state string, reason string, n_bytes bigint"
 RANGE_BYTES = 128 << 20
 _CHUNK = 1 << 20
 _BATCH_LINES = 1 << 15
 _MAX_TASKS = 20_000
+_BOM = b"\xef\xbb\xbf"  # dropped at the start of a file, as Spark's text reader does
 
 
 def _tasks(jobs: list) -> int:
@@ -45,6 +47,23 @@ def _open(path: str):
     return filesystem.open_input_file(inner)
 
 
+@lru_cache(maxsize=64)
+def _has_client(store: str) -> bool:
+    from pyarrow import fs
+
+    try:
+        fs.FileSystem.from_uri(store + "/")
+    except (pa.ArrowException, OSError):
+        return False
+    return True
+
+
+def can_open(path: str) -> bool:
+    """Whether these readers have a client for the filesystem of ``path``."""
+    scheme, _, rest = path.partition("://")
+    return local_path(path) is not None or _has_client(f"{scheme}://{rest.split('/')[0]}")
+
+
 def _inflate(stream, state: dict) -> Iterator[bytes]:
     """Inflated chunks of a gzip stream with any number of members.
 
@@ -78,6 +97,9 @@ def _inflate(stream, state: dict) -> Iterator[bytes]:
 
 def gzip_states(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Label each gzip file by streaming it once, on the executors."""
+    schema = pa.schema([
+        ("path", pa.string()), ("state", pa.string()), ("reason", pa.string()), ("n_bytes", pa.int64()),
+    ])
 
     def label(batches):
         for batch in batches:
@@ -86,14 +108,14 @@ def gzip_states(spark: SparkSession, paths: list[str]) -> DataFrame:
                 end: dict = {}
                 try:
                     with _open(path) as stream:
-                        for _ in _inflate(stream, end):
-                            pass
-                    rows.append((path, end["end"], None))
+                        n_bytes = sum(len(chunk) for chunk in _inflate(stream, end))
+                    rows.append((path, end["end"], None, n_bytes))
+                except FileNotFoundError as error:
+                    rows.append((path, "unreadable", f"not readable: {error.strerror}", None))
                 except (zlib.error, OSError) as error:
-                    rows.append((path, "unreadable", f"damaged content: {error}"))
+                    rows.append((path, "unreadable", f"damaged content: {error}", None))
             yield pa.RecordBatch.from_pydict(
-                {name: [row[i] for row in rows] for i, name in enumerate(["path", "state", "reason"])},
-                schema=pa.schema([(n, pa.string()) for n in ("path", "state", "reason")]),
+                {name: [row[i] for row in rows] for i, name in enumerate(schema.names)}, schema=schema
             )
 
     table = local_table(spark, [(p,) for p in paths], "path string")
@@ -126,14 +148,26 @@ def _range_lines(path: str, start: int, end: int) -> Iterator[bytes]:
             if not skip_first:
                 if at >= end:
                     return
-                yield line
+                yield line.removeprefix(_BOM) if at == 0 else line
             skip_first = False
             at += len(line) + 1
 
 
 def _gzip_lines(path: str) -> Iterator[bytes]:
     with _open(path) as stream:
-        yield from _lines(_inflate(stream, {}))
+        for number, line in enumerate(_lines(_inflate(stream, {}))):
+            yield line.removeprefix(_BOM) if number == 0 else line
+
+
+def _unless_gone(lines: Iterator[bytes]) -> Iterator[bytes]:
+    """Nothing of a file that cannot be opened any more; staging then warns of it."""
+    try:
+        first = next(lines, None)
+    except (FileNotFoundError, PermissionError):
+        return
+    if first is not None:
+        yield first
+        yield from lines
 
 
 def read_raw(spark: SparkSession, plain: list[LogFile], gzipped: list[LogFile]) -> DataFrame:
@@ -160,7 +194,7 @@ def read_raw(spark: SparkSession, plain: list[LogFile], gzipped: list[LogFile])
                         schema=schema,
                     )
 
-                for line in source:
+                for line in _unless_gone(source):
                     pending.append(line)
                     if len(pending) == _BATCH_LINES:
                         yield flush()

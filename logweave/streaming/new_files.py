@@ -1,7 +1,7 @@
 """Parse new log files as they arrive, with Structured Streaming.
 
-The file source hands over each new file once, whole. It does not notice files
-that change later; ``LogStore.refresh`` does.
+The file source hands over the name of each new file once. It does not notice files
+that change later; ``LogStore.refresh`` does. It skips names that Spark takes as hidden.
 """
 
 from __future__ import annotations
@@ -13,46 +13,55 @@ from logweave.functions.timestamps import TimestampFormat
 from logweave.operators.joins import join_groups
 from logweave.operators.numbering import with_number
 from logweave.plans.merge_plan import parse_logs
-from logweave.sources.logs import LogSource, strip_cr
+from logweave.sources.listing import WARNING_SCHEMA, Exclusion, LogFile
+from logweave.sources.logs import read_lines
 
 _LINES = (
     "file string, entry_no bigint, line_in_entry bigint, sort_key string, "
     "timestamp_length int, line string"
 )
+_BINARY = "path string, modificationTime timestamp, length bigint, content binary"
+_WARNINGS = "_warnings"  # hidden from the scan of the lines
 
 
 def stream_new_files(
     spark: SparkSession, root: str, out: str, checkpoint: str,
     formats: list[TimestampFormat] | None = None, max_files: int = 1_000,
-    once: bool = False,
+    once: bool = False, exclude: str | None = None,
 ) -> StreamingQuery:
     """Append the parsed lines of new files below ``root`` to the folder ``out``.
 
     A micro-batch owns the folder ``batch=<id>`` and overwrites it when it is run
-    again, so a restart neither loses nor repeats lines. With ``once`` the query
-    stops after the files that are there now.
+    again, so a restart neither loses nor repeats lines. A file that cannot be read
+    gives a row of ``streamed_warnings`` and the stream goes on. ``exclude`` names the
+    output of an earlier run. With ``once`` the query stops after the files that are there now.
     """
+    # Names and sizes only: the content column is pruned, so the stream itself opens no file.
     arriving = (
-        spark.readStream.format("text")
-        .option("lineSep", "\n")
+        spark.readStream.format("binaryFile").schema(_BINARY)
         .option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", max_files)
         .load(root)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block_start"),
-            strip_cr(F.col("value")).alias("line"),
-        )
+        .selectExpr("path", "unix_micros(modificationTime) AS mtime_us", "length")
     )
+    exclusion = Exclusion(spark, exclude)
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_logs(LogSource(batch, units=None), formats)
+        found = [LogFile(r.path, r.mtime_us, r.length) for r in batch.collect()]  # at most max_files
+        files = sorted((f for f in found if not exclusion.matches(f.path)), key=lambda f: f.path)
+        parsed = parse_logs(read_lines(spark, files), formats)
         parsed.document.drop("file_ord").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        parsed.warnings().write.mode("overwrite").parquet(f"{out}/{_WARNINGS}/batch={batch_id}")
 
     writer = arriving.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def streamed_warnings(spark: SparkSession, out: str) -> DataFrame:
+    """Files that the stream could not read, and why."""
+    return spark.read.schema(WARNING_SCHEMA).parquet(f"{out}/{_WARNINGS}").select("path", "reason")
+
+
 def streamed_document(spark: SparkSession, out: str) -> DataFrame:
     """The lines gathered so far, with files in path order."""
     lines = spark.read.schema(_LINES).parquet(out)

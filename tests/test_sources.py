@@ -15,9 +15,9 @@ from logweave.operators.sinks import export_visible
 from logweave.functions.filters import substring_filter
 from logweave.sources import rawfiles
 from logweave.sources.catalog import BUILT_IN_FORMATS, load_catalog
-from logweave.sources.listing import Listing, LogFile, list_tree
+from logweave.sources.listing import Exclusion, Listing, LogFile, _list_remote, list_tree
 from logweave.sources.logs import decoded_path, read_files, read_lines, read_tree
-from logweave.streaming.new_files import stream_new_files, streamed_document
+from logweave.streaming.new_files import stream_new_files, streamed_document, streamed_warnings
 from tests.test_documents import merged_entries, write
 
 HEADER = "2026-08-06 14:23:0{} INFO {}\n"
@@ -272,6 +272,63 @@ def test_stream_takes_new_files_once(spark, tmp_path):
     assert entries[-1][1][1] == "\tat x"
 
 
+def test_a_damaged_file_does_not_stop_the_stream(spark, tmp_path):
+    root, out, checkpoint = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "offsets")
+    write(root, "a.log", HEADER.format(1, "a"))
+    write(root, "bad.gz", gzip.compress(b"x\n" * 9999)[:20] + b"\xff" * 30)
+    write(root, "merged.log", "earlier output\n")
+    for _ in range(2):
+        stream_new_files(
+            spark, str(root), out, checkpoint, max_files=1, once=True, exclude=str(root / "merged.log")
+        ).awaitTermination(120)
+        write(root, "late.log", HEADER.format(2, "late"))
+    lines = [r.line.split()[-1] for r in streamed_document(spark, out).orderBy("file_ord").collect()]
+    assert lines == ["a", "late"]
+    assert [os.path.basename(r.path) for r in streamed_warnings(spark, out).collect()] == ["bad.gz"]
+
+
+def test_files_that_vanish_after_the_listing_give_a_warning(spark, tmp_path):
+    names = ["a.log", "gone.log", ".gone.log", "gone.gz"]
+    for name in names:
+        text = HEADER.format(1, name).encode()
+        write(tmp_path, name, gzip.compress(text) if name.endswith(".gz") else text)
+    write(tmp_path, "empty.log", "")
+    write(tmp_path, "empty.gz", gzip.compress(b""))
+    source = read_tree(spark, str(tmp_path))
+    for name in names[1:]:
+        os.remove(tmp_path / name)
+    parsed = parse_logs(source)
+    assert [r.line.split()[-1] for r in parsed.document.collect()] == ["a.log"]
+    warned = sorted(os.path.basename(r.path) for r in parsed.warnings().collect())
+    assert warned == sorted(names[1:])
+
+
+def test_the_same_bytes_give_the_same_lines_under_any_name(spark, tmp_path):
+    content = b"\xef\xbb\xbf" + HEADER.format(1, "x").encode() + b"\xef\xbb\xbfsecond\n"
+    for name in ["a.log", ".b.log", "c.bz2", "plain.gz", "_d.gz"]:
+        whole = gzip.compress(content) if name == "_d.gz" else content
+        write(tmp_path, name, whole)
+    write(tmp_path, "e.gz", gzip.compress(content))
+    rows = read_tree(spark, str(tmp_path)).lines.groupBy("line").count().collect()
+    assert sorted(r["count"] for r in rows) == [6, 6]
+    assert HEADER.format(1, "x").rstrip("\n") in {r.line for r in rows}
+
+
+def test_a_tree_listed_by_the_filesystem_client(spark, tmp_path):
+    """The way remote trees are listed finds what the walk of the local disk finds."""
+    for name in ["b.log", ".hidden", "_x/c.log", "out/part-0", "d/e/f.log"]:
+        write(tmp_path, name, "x\n")
+    root = "file:" + str(tmp_path)
+    output = Exclusion(spark, str(tmp_path / "out"))
+    found = _list_remote(spark, root, output)
+    near = list_tree(spark, str(tmp_path), str(tmp_path / "out"))
+    assert sorted(f.path for f in found.files) == [f.path for f in near.files]
+    assert {f.path: f.length for f in found.files} == {f.path: f.length for f in near.files}
+    assert found.left_out_folders == near.left_out_folders and found.skipped == 0
+    assert {os.path.basename(f.path) for f in _list_remote(spark, root, output, False).files} == {"b.log", "f.log"}
+    assert _list_remote(spark, root + "/none", output).skipped == 1
+
+
 def test_lines_cross_splits(spark, tmp_path):
     """One file of many splits keeps its order and its entries."""
     content = "".join(HEADER.format(i % 10, i) + "\tat x\n" * (i % 5) for i in range(2000))
@@ -299,7 +356,7 @@ def test_a_large_tree_is_read_as_a_tree(spark, tmp_path):
     expected = sorted([f"line {i}" for i in range(40)] + ["kept", "raw", "plain", "hidden"])
     output = str(root / "merged.log")
     listing = list_tree(spark, str(root), output)
-    assert listing.root is not None and len(listing.left_out) == 1
+    assert listing.root is not None and len(listing.left_out_folders) == 1
     source = read_tree(spark, str(root), exclude=output)
     assert lines_of(source) == expected
     assert [os.path.basename(p) for p, _ in source.problems] == ["bad.gz"]

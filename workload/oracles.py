@@ -142,7 +142,9 @@ FROM l GROUP BY file""",
     "input_warnings": _from_doc("""
 SELECT file, count(*) AS n_lines, CAST(NULL AS VARCHAR) AS skipped FROM doc GROUP BY file
 UNION ALL SELECT 'zz-damaged.log', NULL, 'damaged content'
-UNION ALL SELECT 'missing.log', NULL, 'not readable'"""),
+UNION ALL SELECT 'missing.log', NULL, 'not readable'
+UNION ALL SELECT 'folder.log', NULL, 'not readable'
+UNION ALL SELECT 'zz-vanishing.log', NULL, 'not read'"""),
     "format_catalog": _from_doc("""
 , sampled AS (SELECT * FROM doc WHERE line_no < 2000)
 SELECT file,
@@ -272,6 +274,18 @@ FROM visible"""),
 SELECT file, CASE WHEN file LIKE 'svc-0%' THEN 'removed' WHEN file LIKE 'svc-4%' THEN 'added'
                   WHEN file LIKE 'svc-2%' THEN 'modified' ELSE 'same' END AS status
 FROM files"""),
+    "check_changes": _from_doc(f"""
+, before AS (
+  SELECT count(DISTINCT file) AS baseline_files, CAST(sum(strlen(line) + 1) AS BIGINT) AS baseline_bytes
+  FROM doc WHERE NOT (file LIKE 'svc-4%')
+),
+after AS (
+  SELECT count(DISTINCT file) AS baseline_files, CAST(sum(strlen(line) + 1) AS BIGINT) AS baseline_bytes
+  FROM doc WHERE NOT (file LIKE 'svc-0%') AND NOT {_CHANGED}
+)
+SELECT 'same' AS case_name, 'unchanged' AS status, * FROM before
+UNION ALL SELECT 'later', 'changed', * FROM after
+UNION ALL SELECT 'incomplete', 'inconclusive', * FROM before"""),
     "refresh_incremental": _from_doc(f"""
 , kept AS (SELECT * FROM entries WHERE NOT {_CHANGED}),
 renumbered AS (

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,7 +14,7 @@ from logweave.functions.filters import regexp_filter, substring_filter
 from logweave.functions.levels import level_of
 from logweave.functions.timestamps import TimestampFormat
 from logweave.operators import search, stats
-from logweave.operators.changes import snapshot_diff
+from logweave.operators.changes import check_changes, snapshot_diff
 from logweave.operators.detect import file_formats, format_report
 from logweave.operators.entries import entry_contents, entry_table
 from logweave.operators.merge import concat_logs, merge_chronological
@@ -106,16 +108,28 @@ def input_warnings(spark, sf_dir):
     root = write_logs(spark, sf_dir)
     damaged = f"{root}/name=zz-damaged.log/part-0.gz"
     _write_bytes(spark, damaged, b"\x1f\x8b\x08\x00" + bytes(6) + b"\xff\xff not deflate data")
+    vanishing = f"{root}/name=zz-vanishing.log/part-0.txt"
+    _write_bytes(spark, vanishing, b"gone before the scan\n")
     listing = list_tree(spark, root, include_hidden=False)
-    source = read_files(spark, [f.path for f in listing.files] + [f"{root}/name=missing.log/part-0.txt"])
-    usable = source.lines.groupBy(log_name(F.col("file")).alias("file")).agg(F.count("*").alias("n_lines"))
-    skipped = source.warnings().select(
+    folder = f"{root}/name=folder.log/part-0.txt"
+    _write_bytes(spark, f"{folder}/x.txt", b"")
+    missing = f"{root}/name=missing.log/part-0.txt"
+    source = read_files(spark, [*(f.path for f in listing.files), missing, folder])
+    _delete(spark, vanishing)
+    parsed = parse_logs(source)
+    usable = parsed.document.groupBy(log_name(F.col("file")).alias("file")).agg(F.count("*").alias("n_lines"))
+    skipped = parsed.warnings().select(
         log_name(F.col("path")).alias("file"), F.lit(None).cast("bigint").alias("n_lines"),
         F.substring_index("reason", ":", 1).alias("skipped"),
     )
     return usable.withColumn("skipped", F.lit(None).cast("string")).unionByName(skipped)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, False)
+
+
 def _write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     filesystem = target.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -518,6 +532,24 @@ def snapshot_diff_query(spark, sf_dir):
     return snapshot_diff(before, after).select(F.col("path").alias("file"), "status")
 
 
+@query
+def check_changes_query(spark, sf_dir):
+    """A listing compared with itself, with a later one, and with one that missed something."""
+    before, after = (
+        list_tree(spark, write_logs(spark, sf_dir, lines=lines), include_hidden=False)
+        for lines in _changed_lines(spark, sf_dir)
+    )
+    cases = {"same": before, "later": after, "incomplete": replace(after, skipped=1)}
+    outcomes = [(case, check_changes(before, listing)) for case, listing in cases.items()]
+    rows = [
+        outcome.baseline.snapshot(spark)
+        .agg(F.count("*").alias("baseline_files"), F.sum("length").alias("baseline_bytes"))
+        .select(F.lit(case).alias("case_name"), F.lit(outcome.status).alias("status"), "*")
+        for case, outcome in outcomes
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query
 def refresh_incremental(spark, sf_dir):
     """Logs are added and rewritten after the first merge; only those are parsed again."""
