@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
@@ -38,6 +39,8 @@ BITS = 8
 #: Ids that a range aims at, and the most ranges: beyond, ranges grow and their sort spills.
 RANGE_IDS = 1 << 22
 MAX_RANGES = 4096
+#: Rows that a task turns into Python values at a time.
+PORTION = 500
 
 
 def default_files() -> tuple[str, str]:
@@ -48,29 +51,39 @@ def default_files() -> tuple[str, str]:
 
 
 @functools.cache
-def _encoders(json_file: str, ranks_file: str):
+def _fast(ranks_file: str):
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     ranks = {}
     with open(ranks_file, "rb") as lines:
         for line in lines:
             token, rank = line.split()
             ranks[base64.b64decode(token)] = int(rank)
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    exact = Tokenizer.from_file(json_file)
-    special = [token.content for token in exact.get_added_tokens_decoder().values()]
-    return fast, exact, special
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@functools.cache
+def _exact(json_file: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(json_file)
 
 
-def encode(text: str, files: tuple[str, str]) -> np.ndarray:
-    """The text's ids and the end id. Both encoders hold the same vocabulary; only one knows special tokens."""
-    fast, exact, special = _encoders(*files)
+@functools.cache
+def special_tokens(json_file: str) -> tuple[str, ...]:
+    return tuple(token.content for token in _exact(json_file).get_added_tokens_decoder().values())
+
+
+def encode(text: str, files: tuple[str, str], special: tuple[str, ...]) -> np.ndarray:
+    """The text's ids and the end id. Both encoders hold the same vocabulary; only one knows the ``special`` tokens.
+
+    A worker loads that one when a text names such a token.
+    """
     if any(token in text for token in special):
-        ids = exact.encode(text, add_special_tokens=False).ids
+        ids = _exact(files[0]).encode(text, add_special_tokens=False).ids
     else:
-        ids = fast.encode_ordinary(text)
+        ids = _fast(files[1]).encode_ordinary(text)
     ids.append(END_ID)
     return np.array(ids, dtype=np.uint16)
 
@@ -116,22 +129,31 @@ def curve_place(vectors: np.ndarray) -> np.ndarray:
     return hilbert(np.clip(((unit + 1) * (1 << (BITS - 1))).astype(np.int64), 0, (1 << BITS) - 1))
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, so that a task holds the Python values and the results of those only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PORTION):
+            yield batch.slice(at, PORTION)
+
+
 def tokenise(docs: DataFrame, files: tuple[str, str], id_col: str, text_col: str) -> DataFrame:
     """Stored rows (row, doc_id, n, key, ids): ids as 16-bit numbers, ``key`` their place on the curve."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"),
                        common.text_or_empty(F.col(f"`{text_col}`")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at:at + 1000]
-                ids = [encode(text, files) for text in part["text"]]
-                vectors = np.array([projection()[x].mean(axis=0) for x in ids])
-                yield pd.DataFrame({"row": part["row"].to_numpy(), "doc_id": part["doc_id"].array, "n": [len(x) for x in ids],
-                                    "place": curve_place(vectors), "ids": [x.tobytes() for x in ids]})
+    special = special_tokens(files[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _portions(batches):
+            ids = [encode(text, files, special) for text in part.column("text").to_pylist()]
+            vectors = np.array([projection()[x].mean(axis=0) for x in ids])
+            yield pa.RecordBatch.from_pydict({
+                "row": part.column("row"), "doc_id": part.column("doc_id"),
+                "n": pa.array([len(x) for x in ids], pa.int64()), "place": pa.array(curve_place(vectors), pa.int64()),
+                "ids": pa.array([x.tobytes() for x in ids], pa.binary())})
 
-    found = rows.mapInPandas(run, f"row long, doc_id {kind}, n long, place long, ids binary")
+    found = rows.mapInArrow(run, f"row long, doc_id {kind}, n long, place long, ids binary")
     tie = F.xxhash64("row").bitwiseAND((1 << 31) - 1)
     return common.store(found.select("row", "doc_id", "n", F.shiftleft("place", 31).bitwiseOR(tie).alias("key"), "ids"), "token-ids")
 
@@ -157,20 +179,28 @@ def pack(
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
     kind = stored.schema["doc_id"].dataType.simpleString()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = first.copy()
-        for batch in batches:
-            out = []
-            for doc_id, n, ids, own in zip(batch["doc_id"], batch["n"], batch["ids"], batch["range"]):
+        for part in _portions(batches):
+            source, numbers, pieces = [], [], []
+            columns = (part.column(name).to_pylist() for name in ("n", "ids", "range"))
+            for row, (n, ids, own) in enumerate(zip(*columns)):
                 begin, end = int(at[own]), int(at[own]) + n
                 at[own] = end
                 ids = np.frombuffer(ids, dtype="<u2")
-                for place in range(begin, end, 1) if n == 1 else [begin, *range((begin // length + 1) * length, end, length)]:
+                for place in [begin, *range((begin // length + 1) * length, end, length)]:
                     stop = min((place // length + 1) * length, end)
                     piece = ids[place - begin:stop - begin].astype("<u4").tobytes()
-                    out.append((doc_id, place - begin, stop - place, zlib.crc32(piece), n, place // length, place % length, piece))
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+                    source.append(row)
+                    numbers.append((place - begin, stop - place, zlib.crc32(piece), n, place // length, place % length))
+                    pieces.append(piece)
+            yield pa.RecordBatch.from_pydict(
+                {"doc_id": part.column("doc_id").take(pa.array(source, pa.int64()))}
+                | {name: pa.array(column, pa.int64()) for name, column in zip(names, zip(*numbers))}
+                | {"ids": pa.array(pieces, pa.binary())})
 
     lined_up = ranged.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "key", "row")
-    return lined_up.mapInPandas(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
-                                     "sequence_id long, offset long, ids binary")
+    return lined_up.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
+                                    "sequence_id long, offset long, ids binary")
