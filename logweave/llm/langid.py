@@ -1,8 +1,8 @@
 """Language identification by nearest centroid.
 
 A text's vector counts its hashed letter 1- to 3-grams (of lower-cased UTF-8 bytes, all else as spaces), damped by the
-root, weighted by inverse document frequency and scaled to length one. Each language has ``CENTROIDS`` centroids,
-clustered from a bounded sample of its texts by spherical k-means. The nearest centroid by cosine names the
+root, weighted by inverse document frequency and scaled to length one. Each language has up to ``CENTROIDS`` centroids,
+clustered from a bounded sample of its texts by spherical k-means; outliers get none of their own. The nearest centroid by cosine names the
 language; a text whose similarity is below its centroid's rejection limit is rejected. The limit is
 ``SLACK`` times the similarity that 99 % of the centroid's own sampled texts reach.
 
@@ -32,6 +32,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 DIMS = 1 << 12
 CENTROIDS = 4
 SAMPLE = 1500
+#: A cluster with a smaller share of its language's sample is outliers.
+LEAST_SHARE = 0.05
 SLACK = 0.2
 UNKNOWN = "und"
 _ROUNDS = 12
@@ -81,16 +83,21 @@ class Centroids:
 
 
 def cluster(x: np.ndarray, k: int) -> np.ndarray:
-    """Spherical k-means from the texts that are farthest apart; no more centroids than texts."""
-    centre = [x.mean(axis=0)]
-    near = x @ centre[0]
-    while len(centre) < min(k, len(x)):
-        centre.append(x[near.argmin()])
-        near = np.maximum(near, x @ centre[-1])
-    centre = np.array(centre)
+    """Spherical k-means from k-means++ draws; clusters below ``LEAST_SHARE`` of the texts are given up."""
+    rng = np.random.default_rng(1)
+    chosen = [int(rng.integers(len(x)))]
+    near = x @ x[chosen[0]]
+    while len(chosen) < min(k, len(x)):
+        far = np.maximum(0, 1 - near.astype(float))
+        if far.sum() <= 1e-6:
+            break
+        chosen.append(int(rng.choice(len(x), p=far / far.sum())))
+        near = np.maximum(near, x @ x[chosen[-1]])
+    centre = x[chosen]
     for _ in range(_ROUNDS):
         own = (x @ centre.T).argmax(axis=1)
-        sums = np.array([x[own == j].sum(axis=0) if (own == j).any() else centre[j] for j in range(len(centre))])
+        size = np.bincount(own, minlength=len(centre))
+        sums = np.array([x[own == j].sum(axis=0) for j in range(len(centre)) if size[j] and size[j] >= LEAST_SHARE * len(x)])
         centre = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     return centre.astype(np.float32)
 

@@ -304,6 +304,18 @@ def test_language(spark, docs, empty):
     assert empty.select(langid.identify(F.col("text"), model)).count() == 0
 
 
+def test_centroids_of_two_varieties_with_outliers():
+    rng = np.random.default_rng(4)
+    north, south = "abcdefghij", "klmnopqrst"
+    texts = [" ".join("".join(rng.choice(list(v), 4)) for _ in range(60)) for v in [north] * 150 + [south] * 100]
+    texts += ["zz zz zz", "yyyy", "xvx xvx", "uu wu", "%"]
+    x = langid.vectors(texts, np.ones(langid.DIMS, np.float32))
+    centre = langid.cluster(x, langid.CENTROIDS)
+    own = (x @ centre.T).argmax(axis=1)
+    assert np.bincount(own, minlength=len(centre)).min() >= langid.LEAST_SHARE * len(x)
+    assert not set(own[:150]) & set(own[150:250])
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
