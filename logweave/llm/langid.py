@@ -3,8 +3,9 @@
 A text's vector counts its hashed letter 1- to 3-grams (of lower-cased UTF-8 bytes, all else as spaces), damped by the
 root, weighted by inverse document frequency and scaled to length one. Each language has up to ``CENTROIDS`` centroids,
 clustered from a bounded sample of its texts by spherical k-means; outliers get none of their own. The nearest centroid by cosine names the
-language; a text whose similarity is below its centroid's rejection limit is rejected. The limit is
-``SLACK`` times the similarity that 99 % of the centroid's own sampled texts reach.
+language; a text whose similarity is below its centroid's rejection limit is rejected. The limit lies halfway between the
+similarity that 99 % of the centroid's own sampled texts reach and the one that half of the other languages' texts reach;
+with one language it is ``ALONE`` times the former.
 
 Document frequencies cover all training documents: each task sums a vector of ``DIMS`` counts. What reaches the
 driver are those sums and about ``SAMPLE`` sparse vectors per language at most. Scoring is one pass, no shuffle.
@@ -34,7 +35,9 @@ CENTROIDS = 4
 SAMPLE = 1500
 #: A cluster with a smaller share of its language's sample is outliers.
 LEAST_SHARE = 0.05
-SLACK = 0.2
+ALONE = 0.6
+#: Texts of each language that the limits of the others are measured against.
+PROBES = 200
 UNKNOWN = "und"
 _ROUNDS = 12
 _LETTER = regex.compile(r"\p{L}")
@@ -102,6 +105,12 @@ def cluster(x: np.ndarray, k: int) -> np.ndarray:
     return centre.astype(np.float32)
 
 
+def rejection_limit(own: np.ndarray, others: np.ndarray) -> float:
+    """From the similarities of the centroid's own texts and of other languages' texts."""
+    low = float(np.quantile(own, 0.01))
+    return (low + min(low, float(np.median(others)))) / 2 if len(others) else ALONE * low
+
+
 def train(docs: DataFrame, trained: Column, *, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id",
           bound: int = SAMPLE, centroids: int = CENTROIDS) -> Centroids:
     """Learn from the documents for which ``trained`` holds and the language is not null."""
@@ -133,7 +142,7 @@ def train(docs: DataFrame, trained: Column, *, lang_col: str = "lang", text_col:
     for r in sums.collect():  # DIMS rows
         seen[r["slot"]] = r["n"]
     idf = np.log((1 + sum(sizes.values())) / (1 + seen)).astype(np.float32) + 1
-    centre, names, limit = [], [], []
+    centre, names, reached, probes = [], [], [], {}
     for lang in sorted(sizes):
         sample = found.where(F.col("lang") == lang).orderBy("draw").select("slots", "counts").toPandas()
         x = np.zeros((len(sample), DIMS), dtype=np.float32)
@@ -146,11 +155,13 @@ def train(docs: DataFrame, trained: Column, *, lang_col: str = "lang", text_col:
         own = cluster(x, centroids)
         similar = x @ own.T
         best = similar.argmax(axis=1)
-        for j in range(len(own)):
-            mine = similar[best == j, j]
+        probes[lang] = x[:PROBES].copy()
+        for j in np.unique(best):
             centre.append(own[j])
             names.append(lang)
-            limit.append(SLACK * float(np.quantile(mine, 0.01)) if len(mine) else 0.0)
+            reached.append(similar[best == j, j])
+    limit = [rejection_limit(mine, np.concatenate([np.empty(0)] + [x @ c for other, x in probes.items() if other != lang]))
+             for c, lang, mine in zip(centre, names, reached)]
     return Centroids(idf, np.array(centre, dtype=np.float32).reshape(-1, DIMS), names, np.array(limit))
 
 

@@ -304,6 +304,25 @@ def test_language(spark, docs, empty):
     assert empty.select(langid.identify(F.col("text"), model)).count() == 0
 
 
+def test_unseen_language_and_gibberish_are_rejected(spark):
+    spoken = {
+        "de": "der hund und die katze sind nicht im garten aber auf dem haus weil wir heute schon wieder gearbeitet haben".split(),
+        "en": WORDS,
+        "fr": "le chien est dans la maison avec une petite fille qui mange du pain pendant que nous parlons encore".split(),
+        "fi": "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan oikeuksiltaan heille annettu järki omatunto hello town dogs".split(),  # with loan words
+    }
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(spoken[lang], 40)), lang) for i in range(150) for lang in spoken]
+    rows += [(i, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(40)), "??") for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").cache()
+    for known in (["de", "en", "fr"], ["en"]):
+        model = langid.train(frame, (F.col("doc_id") < 100) & F.col("lang").isin(known))
+        got = frame.where("doc_id >= 100").select("lang", langid.identify(F.col("text"), model).alias("l")).collect()
+        right = Counter((r["lang"], r["l"]["accepted"], r["l"]["lang"] == r["lang"]) for r in got if r["lang"] in known)
+        assert right == {(lang, True, True): 50 for lang in known}
+        assert not any(r["l"]["accepted"] for r in got if r["lang"] not in known)
+
+
 def test_centroids_of_two_varieties_with_outliers():
     rng = np.random.default_rng(4)
     north, south = "abcdefghij", "klmnopqrst"
