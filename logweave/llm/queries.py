@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logweave.llm import ann, decontaminate, langid, packing, ppm, quality, simhash, slots, toxicity, url_trie
+from logweave.llm import (
+    alignment, ann, decontaminate, langid, mixing, packing, ppm, quality, simhash, slots, toxicity, url_trie, variants,
+)
 from logweave.llm.common import fold, table
 
 URL_RULES = [
@@ -72,6 +74,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "epochs")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _misspelt(doc_id: Column, run: Column) -> Column:
+    """The run, or in one of 31 cases, by a hash of document and run, the run without one code point."""
+    h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run))
+    at = (h % F.length(run)).cast("int")
+    return F.when(h % 31 == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))).otherwise(run)
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(variants.count_words(table(spark, sf_dir, "documents"), change=_misspelt))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ppm": op1_ppm,
     "op2_simhash": op2_simhash,
@@ -83,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_neighbours": op9_neighbours,
     "op10_decontamination": op10_decontamination,
+    "op11_mixing": op11_mixing,
+    "op12_alignment": op12_alignment,
+    "op13_variants": op13_variants,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -134,4 +158,69 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
 
-ORACLES: dict[str, str] = {"op8_url_filter": _OP8, "op10_decontamination": _OP10}
+_OP11 = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         (length(coalesce(text, '')) - length(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', ''))
+          + 1)::DOUBLE / (length(coalesce(text, '')) + 1) AS weight,
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE AS u
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS most,
+         [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS share
+  FROM sized GROUP BY source
+), levels AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER earlier, 0))
+            / (sum(share) OVER () - coalesce(sum(share) OVER earlier, 0)) AS level
+  FROM sources WINDOW earlier AS (ORDER BY most / share, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+  SELECT source, source_size, least(most, share * (SELECT level FROM levels WHERE most > level * share ORDER BY most / share, source LIMIT 1)) AS target FROM levels
+), placed AS (
+  SELECT doc_id, size, source_size, target, round(target)::BIGINT AS wanted,
+         sum(size) OVER (PARTITION BY s.source ORDER BY -ln(u) / weight, size, doc_id ROWS UNBOUNDED PRECEDING) - size AS ahead
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       (coalesce(wanted // nullif(source_size, 0), 0) * size + greatest(0, least(coalesce(wanted % nullif(source_size, 0), 0) - ahead, size)))::BIGINT AS taken
+FROM placed
+"""
+
+# crc32 bit by bit over a table made from its polynomial; near words meet in a pattern of a word without one place.
+_OP13 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda c, x: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+), counted AS (
+  SELECT run, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x, count(*) AS n FROM runs GROUP BY run, doc_id
+), hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+           list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM counted, crc
+), words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2
+), cut AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS form, max(other_n) AS form_n, any_value(n) AS n FROM near GROUP BY word
+), forms AS (
+  SELECT word, form, form_n FROM best WHERE form_n >= 10 * n
+), roots AS (
+  SELECT word, form AS root, 1 AS step FROM forms
+  UNION ALL SELECT r.word, f.form, step + 1 FROM roots r JOIN forms f ON r.root = f.word
+)
+SELECT w.word, f.form, coalesce(r.root, w.word) AS root, w.n, coalesce(b.n_near, 0) AS n_near, f.form_n
+FROM words w LEFT JOIN best b USING (word) LEFT JOIN forms f USING (word)
+LEFT JOIN (SELECT word, arg_max(root, step) AS root FROM roots GROUP BY word) r USING (word)
+"""
+
+ORACLES: dict[str, str] = {"op8_url_filter": _OP8, "op10_decontamination": _OP10, "op11_mixing": _OP11, "op13_variants": _OP13}
