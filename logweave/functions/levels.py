@@ -15,3 +15,16 @@ _LEVEL_REGEX = "(?i)(?<![A-Za-z0-9_])(" + "|".join(LEVELS) + ")(?![A-Za-z0-9_])"
 def level_of(header: Column) -> Column:
     word = F.upper(F.regexp_extract(header, _LEVEL_REGEX, 1))
     return F.when(word == "", NO_LEVEL).when(word == "WARNING", "WARN").otherwise(word)
+
+
+#: The labels in a fixed order, for tables that keep a level as its place here.
+LABELS = [NO_LEVEL, *(word for word in LEVELS if word != "WARNING")]
+
+
+def level_code(header: Column) -> Column:
+    """The place of a header's level in ``LABELS``."""
+    return F.array_position(F.array(*map(F.lit, LABELS)), level_of(header)).cast("int") - 1
+
+
+def label_of(code: Column) -> Column:
+    return F.get(F.array(*map(F.lit, LABELS)), code)

@@ -184,6 +184,27 @@ def span_for(formats: dict[int, TimestampFormat], fmt_idx: Column, line: Column)
     return _by_format(fmt_idx, {number: fmt.matched_span(line) for number, fmt in formats.items()})
 
 
+#: Digits of a fraction that a stamp allows for; one more is seen and kept.
+_STAMP_DIGITS = 17
+
+
+def _most_characters(fmt: TimestampFormat) -> int:
+    names = {"MMM": list(MONTHS), "EEE": WEEKDAYS, "a": ["am"]}
+    return sum(
+        _STAMP_DIGITS if token == "SSS" else max(map(len, names[token])) if token in names else len(token)
+        for token in fmt.tokens
+    )
+
+
+def stamp_of(formats: list[TimestampFormat], line: Column) -> Column:
+    """The start of a line from which keys and spans of all formats come out as from the whole line.
+
+    Only a run of digits is unbounded in a pattern; a line with a long one near its start is kept whole.
+    """
+    start = F.substring(line, 1, max(map(_most_characters, formats)))
+    return F.when(start.rlike(f"[0-9]{{{_STAMP_DIGITS}}}"), line).otherwise(start)
+
+
 def _by_format(fmt_idx: Column, branches: dict[int, Column]) -> Column:
     chosen = F.lit(None)
     for number, branch in reversed(branches.items()):

@@ -21,12 +21,15 @@ def run_sizes(pieces: DataFrame) -> DataFrame:
     )
 
 
-def file_formats(staged: StagedLines, sample_lines: int = SAMPLE_LINES) -> DataFrame:
+def file_formats(
+    staged: StagedLines, sample_lines: int = SAMPLE_LINES, resume: DataFrame | None = None
+) -> DataFrame:
     """``(file_ord, fmt_idx, votes, via)`` for files with a recognised format.
 
     Each sampled line votes for the first format that matches it; the most votes
     win and ties go to the earlier format. If no sampled line votes, the first
-    line that matches anywhere decides.
+    line that matches anywhere decides. A file in ``resume`` had its vote; without a format so far, its
+    first match decides.
     """
     heads = (
         run_sizes(staged.pieces_by_file())
@@ -46,12 +49,23 @@ def file_formats(staged: StagedLines, sample_lines: int = SAMPLE_LINES) -> DataF
         .groupBy("file_ord")
         .agg(F.min_by("flags", F.struct("offset", "first_pos")).alias("flags"))
     )
-    return first.join(best, "file_ord", "left").select(
+    found = first.join(best, "file_ord", "left").select(
         "file_ord",
         F.coalesce(-F.col("best.col2"), first_match(F.col("flags"))).alias("fmt_idx"),
         F.coalesce("best.votes", F.lit(0)).alias("votes"),
         F.when(F.col("best").isNotNull(), "vote").otherwise("first_match").alias("via"),
+        first_match(F.col("flags")).alias("first_idx"),
     )
+    if resume is None:
+        return found.drop("first_idx")
+    settled = resume.select("file_ord", F.col("fmt_idx").alias("settled_idx"), F.lit(True).alias("settled"))
+    pinned = F.col("settled_idx").isNotNull()
+    return found.join(settled, "file_ord", "full_outer").select(
+        "file_ord",
+        F.when(F.col("settled"), F.coalesce("settled_idx", "first_idx")).otherwise(F.col("fmt_idx")).alias("fmt_idx"),
+        F.when(F.col("settled"), F.lit(0)).otherwise(F.col("votes")).alias("votes"),
+        F.when(pinned, "earlier").when(F.col("settled"), "first_match").otherwise(F.col("via")).alias("via"),
+    ).where("fmt_idx IS NOT NULL")
 
 
 def format_report(staged: StagedLines, formats_by_file: DataFrame) -> DataFrame:

@@ -11,14 +11,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from logweave.functions.ascii import ascii_icontains, ascii_lower, ascii_lower_str, java_literal
 from logweave.operators import joins
 from logweave.operators.merge import ORDER
-from logweave.operators.numbering import with_number
-from logweave.session import store
+from logweave.operators.numbering import NumberedStore
+from logweave.session import local_table, store
+
+NUMBER = "doc_line_no"
+
+
+def store_lines(document: DataFrame, predicate: Column | None = None, path: str | None = None) -> NumberedStore:
+    """Write the visible lines in merged order, so that pages and searches read only the files they need."""
+    visible = document if predicate is None else document.where(predicate)
+    return NumberedStore.write(visible, ORDER, path)
 
 
 def number_lines(document: DataFrame, predicate: Column | None = None) -> DataFrame:
     """Visible lines with their position ``doc_line_no``."""
-    visible = document if predicate is None else document.where(predicate)
-    return with_number(visible, ORDER, "doc_line_no")
+    return store_lines(document, predicate).rows(NUMBER)
 
 
 def line_counts(document: DataFrame, predicate: Column) -> DataFrame:
@@ -27,27 +34,61 @@ def line_counts(document: DataFrame, predicate: Column) -> DataFrame:
     )
 
 
-def _hit_position(numbered: DataFrame, term: str, ahead: Column, pick) -> DataFrame:
-    """The nearest hit ``ahead`` or, wrapping around, the nearest one at all.
+Numbered = DataFrame | NumberedStore
 
-    NULL when nothing matches, or when there is no term.
-    """
-    hits = numbered.where(ascii_icontains(F.col("line"), term) & F.lit(term != ""))
-    position = F.col("doc_line_no")
-    return hits.agg(F.coalesce(pick(F.when(ahead, position)), pick(position)).alias("position"))
 
+def _hits(lines: DataFrame, term: str) -> DataFrame:
+    """No line is a hit when there is no term."""
+    return lines.where(ascii_icontains(F.col("line"), term) & F.lit(term != ""))
 
-def find_from(numbered: DataFrame, term: str, position: int) -> DataFrame:
+
+def _hit_position(numbered: Numbered, term: str, position: int, forward: bool) -> DataFrame:
+    """The nearest hit from ``position`` on or, wrapping around, the nearest one at all; NULL when nothing matches."""
+    if isinstance(numbered, NumberedStore):
+        return local_table(numbered.spark, [(nearest_hit(numbered, term, position, forward),)], "position bigint")
+    number, pick = F.col(NUMBER), F.min if forward else F.max
+    ahead = number >= position if forward else number <= position
+    return _hits(numbered, term).agg(F.coalesce(pick(F.when(ahead, number)), pick(number)).alias("position"))
+
+
+def nearest_hit(stored: NumberedStore, term: str, position: int, forward: bool = True) -> int | None:
+    """The nearest hit from ``position`` on, wrapping around.
+
+    Pieces are searched from there outwards, twice as many at a time, so a hit close by takes one small job and a term
+    that is nowhere a number of jobs that is logarithmic in the pieces.
+    """
+    zones = len(stored.zones)
+    if term == "" or not zones:
+        return None
+    own = stored.piece_of(position)
+    number, pick = F.col(NUMBER), F.min if forward else F.max
+    ahead = number >= position if forward else number <= position
+    # Piece numbers from the own one to the end, then around and back to the own one, whose other lines come last.
+    places = [*range(own, zones), *range(own + 1)] if forward else [*range(own, -1, -1), *range(zones - 1, own - 1, -1)]
+    turn = zones - own if forward else own + 1
+    at, width = 0, 1
+    while at < len(places):
+        end = min(at + width, turn if at < turn else len(places))
+        low, high = sorted((places[at], places[end - 1]))
+        lines = stored.pieces(low, high, NUMBER)
+        found = _hits(lines.where(ahead) if at == 0 else lines, term).agg(pick(number)).first()[0]
+        if found is not None:
+            return found
+        at, width = end, 2 * width
+    return None
+
+
+def find_from(numbered: Numbered, term: str, position: int) -> DataFrame:
     """First hit at or after ``position``, wrapping around."""
-    return _hit_position(numbered, term, F.col("doc_line_no") >= position, F.min)
+    return _hit_position(numbered, term, position, forward=True)
 
 
-def find_next(numbered: DataFrame, term: str, position: int) -> DataFrame:
-    return _hit_position(numbered, term, F.col("doc_line_no") > position, F.min)
+def find_next(numbered: Numbered, term: str, position: int) -> DataFrame:
+    return _hit_position(numbered, term, position + 1, forward=True)
 
 
-def find_previous(numbered: DataFrame, term: str, position: int) -> DataFrame:
-    return _hit_position(numbered, term, F.col("doc_line_no") < position, F.max)
+def find_previous(numbered: Numbered, term: str, position: int) -> DataFrame:
+    return _hit_position(numbered, term, position - 1, forward=False)
 
 
 def find_spans(numbered: DataFrame, term: str) -> DataFrame:
@@ -72,8 +113,10 @@ def find_spans(numbered: DataFrame, term: str) -> DataFrame:
     return gaps.select("doc_line_no", start.cast("int").alias("start"), F.lit(width).alias("length"))
 
 
-def slice_lines(numbered: DataFrame, first: int, last: int) -> DataFrame:
+def slice_lines(numbered: Numbered, first: int, last: int) -> DataFrame:
     """Visible lines ``first`` to ``last``, both included."""
+    if isinstance(numbered, NumberedStore):
+        return numbered.between(first, last, NUMBER)
     return numbered.where(F.col("doc_line_no").between(first, last))
 
 
@@ -97,7 +140,7 @@ def entry_context(document: DataFrame, predicate: Column) -> DataFrame:
     return joins.whole_entries(document, hits, at_most=n_hits)
 
 
-def entry_at(document: DataFrame, numbered: DataFrame, position: int) -> DataFrame:
+def entry_at(document: DataFrame, numbered: Numbered, position: int) -> DataFrame:
     """All lines, visible or not, of the entry that owns the visible line at ``position``."""
-    owner = numbered.where(F.col("doc_line_no") == position).select("file_ord", "entry_no")
+    owner = slice_lines(numbered, position, position).select("file_ord", "entry_no")
     return document.join(F.broadcast(owner), ["file_ord", "entry_no"], "left_semi")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
-from logweave.functions.timestamps import TimestampFormat, with_match_flags
+from logweave.functions.timestamps import TimestampFormat, stamp_of, with_match_flags
 from logweave.session import store
 from logweave.sources.logs import LogSource, decoded_path
 
@@ -28,9 +28,10 @@ def earlier_runs() -> WindowSpec:
 
 @dataclass
 class StagedLines:
-    """``lines``: file, file_id, block_start, chunk, pos, flags, line.
+    """``lines``: file, file_id, block_start, chunk, pos, flags, stamp, line.
 
-    ``pos`` increases along each block; ``flags`` says which formats match.
+    ``pos`` increases along each block; ``flags`` says which formats match, and ``stamp`` is as much
+    of a line that matches one as its key needs, so that headers can be looked at without reading text.
     ``pieces``: file_ord, file, path, run key, offset, flags, n, first_pos, last_pos,
     one row per run and set of flags; ``n_pieces`` bounds the number of runs.
     """
@@ -66,7 +67,9 @@ def stage(source: LogSource, formats: list[TimestampFormat], run_bits: int = RUN
         "pos",
         "line",
     )
-    lines = store(with_match_flags(placed, formats), "lines")
+    flagged = with_match_flags(placed, formats)
+    stamp = F.when(F.col("flags").isNotNull(), stamp_of(formats, F.col("line")))
+    lines = store(flagged.withColumn("stamp", stamp).select("file", *RUN_KEY, "pos", "flags", "stamp", "line"), "lines")
     per_flags = lines.groupBy("file", *RUN_KEY, "flags").agg(
         F.count("*").alias("n"),
         F.min("pos").alias("first_pos"),

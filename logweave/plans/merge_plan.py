@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from logweave.functions.timestamps import TimestampFormat
 from logweave.operators.detect import file_formats, format_report
 from logweave.operators.entries import build_document
-from logweave.operators.merge import dedup_entries
+from logweave.operators.merge import dedup_entries, with_line_hashes
 from logweave.operators.sinks import write_merged
 from logweave.operators.staging import RUN_BITS, StagedLines, stage
 from logweave.session import store
@@ -36,13 +36,14 @@ class ParsedLogs:
 
 def parse_logs(
     source: LogSource, formats: list[TimestampFormat] | None = None,
-    dedup: bool = False, run_bits: int = RUN_BITS,
+    dedup: bool = False, run_bits: int = RUN_BITS, resume: DataFrame | None = None,
 ) -> ParsedLogs:
+    """``resume``: rows of ``RESUME_SCHEMA`` for files of which ``source`` holds only the lines that came later."""
     staged = stage(source, formats or BUILT_IN_FORMATS, run_bits)
-    formats_by_file = file_formats(staged)
-    document = build_document(staged, formats_by_file)
+    formats_by_file = file_formats(staged, resume=resume)
+    document = build_document(staged, formats_by_file, resume)
     if dedup:
-        document = dedup_entries(store(document, "document"))
+        document = dedup_entries(store(with_line_hashes(document), "document"))
     return ParsedLogs(document, staged, formats_by_file, source)
 
 

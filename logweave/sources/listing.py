@@ -69,33 +69,45 @@ def escape_glob(path: str) -> str:
 
 
 class Exclusion:
-    """Leaves out the output of an earlier run, whether a file or a folder of parts.
+    """Leaves out outputs of earlier runs, whether files or folders of parts.
 
     Local paths are compared by device and inode, so a link or another spelling still counts.
+    An output is looked up when the object is made; make a new one for each listing.
     """
 
-    def __init__(self, spark: SparkSession, output: str | None):
-        self.output = qualify(spark, output).rstrip("/") if output else None
-        self._local = local_path(self.output) if self.output else None
-        try:
-            self._inode = _inode(self._local) if self._local else None
-        except OSError:  # not written yet
-            self._inode = None
+    def __init__(self, spark: SparkSession | None, *outputs: str | None):
+        """Without a session the paths must be qualified."""
+        given = [path if spark is None else qualify(spark, path) for path in outputs if path]
+        self.outputs = [path.rstrip("/") for path in given]
+        found = (_inode(local_path(path)) for path in self.outputs if local_path(path) is not None)
+        self._inodes = {inode for inode in found if inode is not None}  # None: not written yet
 
-    def matches(self, path: str) -> bool:
-        if self.output is None:
-            return False
+    def is_output(self, path: str) -> bool:
+        """Whether ``path`` itself is an output."""
         local = local_path(path)
-        if self._local is None or local is None:
-            return path == self.output or path.startswith(self.output + "/")
-        try:
-            return self._inode is not None and _inode(local) == self._inode
-        except OSError:
-            return False
+        if local is None:
+            return path in self.outputs
+        return bool(self._inodes) and _inode(local) in self._inodes
 
-
-def _inode(path: str) -> tuple[int, int]:
-    found = os.stat(path)
+    def matches(self, path: str) -> bool:
+        """Whether ``path`` is an output or lies below one."""
+        if self.is_output(path):
+            return True
+        if local_path(path) is None:
+            return path.startswith(tuple(output + "/" for output in self.outputs))
+        above = os.path.dirname(path)
+        while len(above) > len("file:/"):
+            if self.is_output(above):
+                return True
+            above = os.path.dirname(above)
+        return False
+
+
+def _inode(path: str) -> tuple[int, int] | None:
+    try:
+        found = os.stat(path)
+    except OSError:
+        return None
     return found.st_dev, found.st_ino
 
 
@@ -107,20 +119,20 @@ def list_tree(
     exclusion = Exclusion(spark, exclude)
     local = local_path(qualified)
     if local is not None:
-        listing = _walk_local(local, exclusion, include_hidden)
+        listing = walk_local(local, exclusion, include_hidden)
     else:
         listing = _list_remote(spark, qualified, exclusion, include_hidden)
-    if any(_hidden(part) for f in listing.files for part in f.path[len(qualified):].split("/")[:-1]):
+    if any(is_hidden(part) for f in listing.files for part in f.path[len(qualified):].split("/")[:-1]):
         listing.root = None  # a file below a hidden folder, which Spark's listing would skip
     listing.files.sort(key=lambda f: os.fsencode(f.path))
     return listing
 
 
-def _hidden(name: str) -> bool:
+def is_hidden(name: str) -> bool:
     return name.startswith(".") or (name.startswith("_") and "=" not in name)
 
 
-def _walk_local(root: str, exclusion: Exclusion, include_hidden: bool) -> Listing:
+def walk_local(root: str, exclusion: Exclusion, include_hidden: bool) -> Listing:
     """Links to folders are not followed, links to files are read."""
     listing = Listing(root="file:" + root)
     pending = [root]
@@ -133,10 +145,10 @@ def _walk_local(root: str, exclusion: Exclusion, include_hidden: bool) -> Listin
             continue
         for entry in entries:
             path = "file:" + entry.path
-            if exclusion.matches(path):
+            if exclusion.is_output(path):
                 (listing.left_out_folders if entry.is_dir() else listing.left_out).append(path)
                 continue
-            if not include_hidden and _hidden(entry.name):
+            if not include_hidden and is_hidden(entry.name):
                 continue
             try:
                 if entry.is_dir():
@@ -191,9 +203,9 @@ def _list_remote(
                 for status in found:
                     path = status.getPath()
                     name = path.toString()
-                    if exclusion.matches(name):
+                    if exclusion.is_output(name):
                         (listing.left_out_folders if status.isDirectory() else listing.left_out).append(name)
-                    elif not include_hidden and _hidden(path.getName()):
+                    elif not include_hidden and is_hidden(path.getName()):
                         continue
                     elif status.isDirectory():
                         level.append(path)

@@ -7,12 +7,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logweave.functions.ascii import ascii_lower_str
 from logweave.session import local_table
 from logweave.sources.listing import (
-    WARNING_SCHEMA, Listing, LogFile, escape_glob, list_paths, list_tree,
+    WARNING_SCHEMA, Listing, LogFile, escape_glob, is_hidden, list_paths, list_tree,
 )
-from logweave.sources.rawfiles import can_open, gzip_states, read_raw
+from logweave.sources.rawfiles import can_open, gzip_states, is_gzip, read_ranges, read_raw
 
 # Suffixes Spark's text source would decode, other than .gz.
 _OTHER_CODECS = (".bz2", ".deflate", ".lz4", ".snappy", ".zst")
@@ -49,14 +48,9 @@ def decoded_path(file: Column) -> Column:
     return F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B")))
 
 
-def _is_gzip(path: str) -> bool:
-    return ascii_lower_str(path[-3:]) == ".gz"
-
-
 def _hidden_from_scan(path: str) -> bool:
     name = os.path.basename(path)
-    hidden = name.startswith(".") or (name.startswith("_") and "=" not in name)
-    return hidden or name.endswith("._COPYING_")
+    return is_hidden(name) or name.endswith("._COPYING_")
 
 
 def _read_by_hand(path: str) -> bool:
@@ -115,11 +109,11 @@ def read_lines(
     damaged one is left out with a warning instead of failing the scan.
     """
     distinct = list({f.path: f for f in files}.values())
-    gzip = [f for f in distinct if _is_gzip(f.path)]
-    plain_raw = [f for f in distinct if not _is_gzip(f.path) and _read_by_hand(f.path)]
+    gzip = [f for f in distinct if is_gzip(f.path)]
+    plain_raw = [f for f in distinct if not is_gzip(f.path) and _read_by_hand(f.path)]
     gzip_raw: list[LogFile] = []
     problems: list[tuple[str, str]] = []
-    filled = {f.path: f.length > 0 for f in distinct if not _is_gzip(f.path)}
+    filled = {f.path: f.length > 0 for f in distinct if not is_gzip(f.path)}
     if gzip and check_gzip:
         states = {r.path: r for r in gzip_states(spark, [f.path for f in gzip]).toLocalIterator()}
         problems = [(f.path, states[f.path].reason) for f in gzip if states[f.path].state == "unreadable"]
@@ -161,6 +155,20 @@ def read_lines(
     return LogSource(lines, units, problems)
 
 
+def read_stretches(spark: SparkSession, stretches: list[tuple[str, int, int]]) -> LogSource:
+    """The lines that begin in the byte ranges ``(path, begin, until)``, one for each file; gzip files are read whole."""
+    gzip = [path for path, _, _ in stretches if is_gzip(path)]
+    states = {r.path: r for r in gzip_states(spark, gzip).toLocalIterator()} if gzip else {}
+    bad = {path: r.reason for path, r in states.items() if r.state == "unreadable"}
+    ranges = [(path, begin, until, path in states and states[path].state != "plain") for path, begin, until in stretches if path not in bad]
+    lines = read_ranges(spark, ranges).select("file", "block_start", strip_cr(F.col("value")).alias("line"))
+    units = [
+        (path, path, place, 0, bool(states[path].n_bytes) if path in states else until > begin)
+        for place, (path, begin, until) in enumerate(stretches) if path not in bad
+    ]
+    return LogSource(lines, local_table(spark, units, UNIT_SCHEMA), list(bad.items()))
+
+
 def read_files(spark: SparkSession, paths: list[str], check_gzip: bool = True) -> LogSource:
     """Several log files in the given order; unusable ones are left out with a warning."""
     listing, problems = list_paths(spark, paths)
@@ -195,7 +203,7 @@ def read_merged(spark: SparkSession, path: str) -> LogSource:
     source = read_lines(spark, parts)
     bases, base = [], 0
     for part in parts:
-        bases.append((part.path, problems[0][0], 0, base, part.length > 0 and not _is_gzip(part.path)))
+        bases.append((part.path, problems[0][0], 0, base, part.length > 0 and not is_gzip(part.path)))
         base += part.length
     source.units = local_table(spark, bases, UNIT_SCHEMA)
     return source

@@ -33,11 +33,15 @@ _MAX_TASKS = 20_000
 _BOM = b"\xef\xbb\xbf"  # dropped at the start of a file, as Spark's text reader does
 
 
+def is_gzip(path: str) -> bool:
+    return path[-3:].isascii() and path[-3:].lower() == ".gz"
+
+
 def _tasks(jobs: list) -> int:
     return min(max(len(jobs), 1), _MAX_TASKS)
 
 
-def _open(path: str):
+def open_file(path: str):
     local = local_path(path)
     if local is not None:
         return open(local, "rb")
@@ -107,7 +111,7 @@ def gzip_states(spark: SparkSession, paths: list[str]) -> DataFrame:
             for path in batch.column("path").to_pylist():
                 end: dict = {}
                 try:
-                    with _open(path) as stream:
+                    with open_file(path) as stream:
                         n_bytes = sum(len(chunk) for chunk in _inflate(stream, end))
                     rows.append((path, end["end"], None, n_bytes))
                 except FileNotFoundError as error:
@@ -133,7 +137,7 @@ def _lines(chunks: Iterator[bytes]) -> Iterator[bytes]:
 
 def _range_lines(path: str, start: int, end: int) -> Iterator[bytes]:
     """The lines that begin inside ``[start, end)``."""
-    with _open(path) as stream:
+    with open_file(path) as stream:
         at = start
         if start > 0:
             stream.seek(start - 1)
@@ -154,7 +158,7 @@ def _range_lines(path: str, start: int, end: int) -> Iterator[bytes]:
 
 
 def _gzip_lines(path: str) -> Iterator[bytes]:
-    with _open(path) as stream:
+    with open_file(path) as stream:
         for number, line in enumerate(_lines(_inflate(stream, {}))):
             yield line.removeprefix(_BOM) if number == 0 else line
 
@@ -172,11 +176,19 @@ def _unless_gone(lines: Iterator[bytes]) -> Iterator[bytes]:
 
 def read_raw(spark: SparkSession, plain: list[LogFile], gzipped: list[LogFile]) -> DataFrame:
     """``(file, block_start, value)`` in file order within each block."""
+    return read_ranges(spark, [(f.path, 0, f.length, False) for f in plain] + [(f.path, 0, f.length, True) for f in gzipped])
+
+
+def read_ranges(spark: SparkSession, ranges: list[tuple[str, int, int, bool]]) -> DataFrame:
+    """The lines that begin in ``(path, begin, until, gzipped)``; gzip files are read whole.
+
+    ``begin`` must be the start of a line.
+    """
     jobs = [
-        (f.path, start, min(start + RANGE_BYTES, f.length), False)
-        for f in plain
-        for start in range(0, f.length, RANGE_BYTES)
-    ] + [(f.path, 0, f.length, True) for f in gzipped]
+        (path, start, min(start + RANGE_BYTES, until), False)
+        for path, begin, until, gzipped in ranges if not gzipped
+        for start in range(begin, until, RANGE_BYTES)
+    ] + [(path, 0, until, True) for path, _, until, gzipped in ranges if gzipped]
     schema = pa.schema([("file", pa.string()), ("block_start", pa.int64()), ("value", pa.binary())])
 
     def read(batches):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.filters import substring_filter
 from logweave.functions.timestamps import TimestampFormat
-from logweave.operators import search, stats
+from logweave.operators import entries as entries_module, search, stats
 from logweave.operators.detect import file_formats
 from logweave.operators.merge import dedup_entries, line_hash, merge_chronological
 from logweave.operators.entries import build_document, entry_contents
@@ -328,3 +328,22 @@ def test_a_merged_log_in_many_parts_is_one_log(spark, tmp_path):
     assert merged_entries(again.document) == model.merge([content], BUILT_IN_FORMATS)
     assert again.report().count() == 1
     assert len(merged_entries(reread_merged(spark, out, dedup=True).document)) == 300
+
+
+@pytest.mark.parametrize("part_bytes, block_lines", [(1, 2), (40, 3), (700, 5), (1 << 20, 2)])
+def test_long_entries_come_in_parts(spark, monkeypatch, part_bytes, block_lines):
+    monkeypatch.setattr(entries_module, "BLOCK_LINES", block_lines)
+    rows = [("k", 0, n, k, f"line {k} " + "é" * (k * n % 17)) for n, size in enumerate([1, 3, 60, 200]) for k in range(size)]
+    document = spark.createDataFrame(rows, "sort_key string, file_ord bigint, entry_no bigint, line_in_entry bigint, line string").repartition(5)
+    got = sorted(entry_contents(document, part_bytes).collect(), key=lambda r: (r.entry_no, r.part))
+    for n, size in enumerate([1, 3, 60, 200]):
+        own = [r for r in got if r.entry_no == n]
+        lines = [line for *_, entry, _, line in rows if entry == n]
+        assert "".join(r.content for r in own) == "".join(line + "\n" for line in lines)
+        assert {r.n_lines for r in own} == {size}
+        longest = max(len(line.encode()) + 1 for line in lines)
+        assert all(len(r.content.encode()) <= part_bytes + longest for r in own)
+        start = 0
+        for r in own:
+            assert r.part == start // part_bytes
+            start += len(r.content.encode())

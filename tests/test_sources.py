@@ -9,9 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweave.plans.merge_plan import merge_directory, merge_files, parse_logs
+from logweave.plans import refresh
 from logweave.plans.refresh import LogStore, watch
 from logweave.operators.changes import check_changes, snapshot_diff
 from logweave.operators.sinks import export_visible
+from logweave.operators.stats import level_counts, visible_headers
 from logweave.functions.filters import substring_filter
 from logweave.sources import rawfiles
 from logweave.sources.catalog import BUILT_IN_FORMATS, load_catalog
@@ -370,3 +372,44 @@ def test_a_large_tree_is_read_as_a_tree(spark, tmp_path):
     os.remove(root / "again")
     write(root, "_below/a.log", "below\n")
     assert lines_of(read_tree(spark, str(root), exclude=output)) == sorted([*expected, "below"])
+
+
+def test_a_mended_file_is_tried_again_though_it_looks_the_same(spark, tmp_path):
+    root = tmp_path / "logs"
+    write(root, "a.log", HEADER.format(1, "a"))
+    sound = gzip.compress(HEADER.format(2, "mended").encode() * 50)
+    path = write(root, "b.gz", sound[:30] + b"\0" * 30 + sound[60:])
+    times = (os.stat(path).st_atime, os.stat(path).st_mtime)
+    store = LogStore(spark, str(root), str(tmp_path / "store"))
+    assert len(store.refresh().problems) == 1
+    still = store.refresh()
+    assert (still.status, len(still.problems), store.version) == ("unchanged", 1, 0)
+    write(root, "b.gz", sound)
+    os.utime(path, times)
+    assert store.refresh().status == "changed"
+    assert store.document().count() == 51
+    assert store.refresh().status == "unchanged"
+
+
+def test_generations_are_merged_and_the_dead_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(refresh, "MAX_GENERATIONS", 3)
+    root, where = tmp_path / "logs", tmp_path / "store"
+    write(root, "large.log", "".join(HEADER.format(n % 10, f"x{n}") for n in range(3000)))
+    store = LogStore(spark, str(root), str(where), dedup=True)
+    for n in range(6):
+        write(root, f"{n}.log", HEADER.format(n, "same") + HEADER.format(n, n))
+        write(root, "again.log", HEADER.format(n, "same") * (n + 1))
+        if n == 4:
+            os.remove(root / "0.log")
+            store = LogStore(spark, str(root), str(where), dedup=True)
+        store.refresh()
+    want = parse_logs(read_tree(spark, str(root)), dedup=True).document
+    assert merged_entries(store.document()) == merged_entries(want)
+    levels = [tuple(r) for r in level_counts(visible_headers(want)).collect()]
+    assert [tuple(r) for r in store.level_counts().collect()] == levels
+    store.dedup = False
+    assert store.level_counts().collect() == level_counts(visible_headers(store.document())).collect()
+    for folder in ("lines", "prints"):
+        assert len([f for f in os.listdir(where / folder) if f.startswith("gen=")]) <= 6
+    assert len([f for f in os.listdir(where / "manifest") if f.startswith("v=")]) <= 5
+    assert 0 in set(store._gens.values())  # the large generation was never written again

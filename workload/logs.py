@@ -7,13 +7,17 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweave.operators.search import number_lines
+from logweave.operators.numbering import NumberedStore
+from logweave.operators.search import NUMBER, store_lines
 from logweave.plans.merge_plan import ParsedLogs, parse_logs
 from logweave.session import store
 from logweave.sources.logs import read_tree
 from workload.fixture import log_name, write_logs
 
 
+RUN_BITS = 9
+
+
 @dataclass(eq=False)
 class Logs:
     spark: SparkSession
@@ -31,14 +35,20 @@ class Logs:
         return parsed
 
     @cached_property
+    def positions(self) -> NumberedStore:
+        return store_lines(self.parsed.document)
+
+    @property
     def numbered(self) -> DataFrame:
-        return number_lines(self.parsed.document)
+        return self.positions.rows(NUMBER)
 
     @property
     def document(self) -> DataFrame:
         return self.parsed.document
 
     def parse(self, **options) -> ParsedLogs:
+        """Parsed in short runs, so that every log has several."""
+        options = {"run_bits": RUN_BITS, **options}
         return parse_logs(read_tree(self.spark, self.root, include_hidden=False), **options)
 
 

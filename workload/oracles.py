@@ -5,7 +5,7 @@ from __future__ import annotations
 from workload.fixture import (
     BODY_SQL, DUCKDB_LAYOUTS, FORMAT_NAMES, ROTATE_EVENTS, SERVICES,
 )
-from workload.queries import FIND_FROM, FIND_TERM, FRENCH_MONTHS
+from workload.queries import FIND_FROM, FIND_TERM, FRENCH_MONTHS, PART_BYTES
 
 _TIMESTAMP = " ".join(
     f"WHEN {n} THEN strftime(ts, '{layout}')" for n, layout in enumerate(DUCKDB_LAYOUTS)
@@ -201,9 +201,17 @@ FROM grouped WHERE grp > 0 GROUP BY file, grp""", "0"),
         "SELECT file, entry_no, line_in_entry, sort_key, line FROM doc WHERE entry_no = 0"
     ),
     "entry_content": _from_doc(
-        "SELECT file_ord, entry_no, len(lines) AS n_lines,"
+        "SELECT file_ord, entry_no, len(lines) AS n_lines, 0 AS part,"
         " array_to_string(lines, chr(10)) || chr(10) AS content FROM entries"
     ),
+    "entry_parts": _from_doc(f"""
+, placed AS (
+  SELECT *, (sum(strlen(line) + 1) OVER (PARTITION BY file_ord, entry_no ORDER BY line_in_entry) - strlen(line) - 1) // {PART_BYTES} AS part
+  FROM flat
+)
+SELECT file_ord, entry_no, any_value(n_lines) AS n_lines, CAST(part AS BIGINT) AS part,
+       string_agg(line || chr(10), '' ORDER BY line_in_entry) AS content
+FROM placed GROUP BY file_ord, entry_no, part"""),
     "concat_files": _from_doc("""
 SELECT file_ord, count(*) * 2 AS n_lines, count(*) FILTER (WHERE line_in_entry = 0) * 2 AS n_entries
 FROM doc GROUP BY file_ord"""),
@@ -296,5 +304,6 @@ renumbered AS (
 )
 SELECT file, entry_no, unnest(range(len(lines))) AS line_in_entry, sort_key, unnest(lines) AS line
 FROM renumbered"""),
+    "refreshed_levels": _from_doc(f"SELECT level, count(*) AS count FROM level_of WHERE NOT {_CHANGED} GROUP BY level"),
     "stream_new_files": _from_doc("SELECT file_ord, file, entry_no, line_in_entry, sort_key, line FROM doc"),
 }

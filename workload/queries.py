@@ -46,6 +46,7 @@ FILTER_EXPRESSION = 'error !"user=8 " || java:17) || WARNING && "user=1"'
 FILTER_REGEXP = r"^\d{4}-.*error.*id=\d*7\b || handler\.java:[12]\)$"
 FIND_TERM = "id=77"
 FIND_FROM = 900
+PART_BYTES = 100
 
 
 def _tree_lines(spark: SparkSession, root: str, **options) -> DataFrame:
@@ -345,7 +346,15 @@ def preamble_entry(spark, sf_dir):
 @query
 def entry_content(spark, sf_dir):
     return entry_contents(logs_of(spark, sf_dir).document).select(
-        "file_ord", "entry_no", "n_lines", "content"
+        "file_ord", "entry_no", "n_lines", "part", "content"
+    )
+
+
+@query
+def entry_parts(spark, sf_dir):
+    """Entries cut into short parts, as very long ones are."""
+    return entry_contents(logs_of(spark, sf_dir).document, part_bytes=PART_BYTES).select(
+        "file_ord", "entry_no", "n_lines", "part", "content"
     )
 
 
@@ -440,19 +449,19 @@ def number_lines(spark, sf_dir):
 
 @query
 def find_from(spark, sf_dir):
-    return search.find_from(logs_of(spark, sf_dir).numbered, FIND_TERM, FIND_FROM)
+    return search.find_from(logs_of(spark, sf_dir).positions, FIND_TERM, FIND_FROM)
 
 
 @query
 def find_next(spark, sf_dir):
     """From the last line on, so that the search wraps around."""
-    numbered = logs_of(spark, sf_dir).numbered
-    return search.find_next(numbered, FIND_TERM, numbered.count() - 1)
+    positions = logs_of(spark, sf_dir).positions
+    return search.find_next(positions, FIND_TERM, positions.count() - 1)
 
 
 @query
 def find_previous(spark, sf_dir):
-    return search.find_previous(logs_of(spark, sf_dir).numbered, FIND_TERM, FIND_FROM)
+    return search.find_previous(logs_of(spark, sf_dir).positions, FIND_TERM, FIND_FROM)
 
 
 @query
@@ -464,7 +473,7 @@ def find_spans(spark, sf_dir):
 @query
 def slice_lines(spark, sf_dir):
     """Lines 700 to 1200 of the lines that the filter leaves."""
-    visible = search.number_lines(logs_of(spark, sf_dir).document, substring_filter(FILTER_WORD))
+    visible = search.store_lines(logs_of(spark, sf_dir).document, substring_filter(FILTER_WORD))
     return search.slice_lines(visible, 700, 1200).select("doc_line_no", "line")
 
 
@@ -550,8 +559,7 @@ def check_changes_query(spark, sf_dir):
     return reduce(DataFrame.unionByName, rows)
 
 
-@query
-def refresh_incremental(spark, sf_dir):
+def _refreshed(spark: SparkSession, sf_dir: str) -> LogStore:
     """Logs are added and rewritten after the first merge; only those are parsed again."""
     before, after = _changed_lines(spark, sf_dir)
     root = write_logs(spark, sf_dir, lines=before)
@@ -560,7 +568,19 @@ def refresh_incremental(spark, sf_dir):
     rewritten = after.where("file LIKE 'svc-2%' OR file LIKE 'svc-4%'")
     _rewrite(spark, rewritten, root)
     log_store.refresh()
-    return named(log_store.document()).select("file", "entry_no", "line_in_entry", "sort_key", "line")
+    return log_store
+
+
+@query
+def refresh_incremental(spark, sf_dir):
+    document = _refreshed(spark, sf_dir).document()
+    return named(document).select("file", "entry_no", "line_in_entry", "sort_key", "line")
+
+
+@query
+def refreshed_levels(spark, sf_dir):
+    """Level counts of the refreshed store, from the summaries that its generations keep."""
+    return _refreshed(spark, sf_dir).level_counts()
 
 
 def _rewrite(spark: SparkSession, lines: DataFrame, root: str) -> None:
@@ -575,14 +595,16 @@ def _rewrite(spark: SparkSession, lines: DataFrame, root: str) -> None:
 
 @query
 def stream_new_files_query(spark, sf_dir):
-    """Two runs of the stream; the second one finds the logs added in between."""
+    """Two runs of the stream. In between logs are added, and a merged log is written into the tree and not read."""
     lines = log_lines(spark, sf_dir)
     late = "file LIKE 'svc-4%' OR file LIKE 'zz-%'"
     root = write_logs(spark, sf_dir, lines=lines.where(f"NOT ({late})"))
     out, checkpoint = scratch_path(spark, "streamed"), scratch_path(spark, "offsets")
-    stream_new_files(spark, root, out, checkpoint, once=True).awaitTermination()
+    options = {"once": True, "include_hidden": False, "exclude": f"{root}/merged.log"}
+    stream_new_files(spark, root, out, checkpoint, **options).awaitTermination()
+    merge_directory(spark, root, include_hidden=False)
     _rewrite(spark, lines.where(late), root)
-    stream_new_files(spark, root, out, checkpoint, once=True).awaitTermination()
+    stream_new_files(spark, root, out, checkpoint, **options).awaitTermination()
     return named(streamed_document(spark, out)).select(
         "file_ord", "file", "entry_no", "line_in_entry", "sort_key", "line"
     )
