@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweave.llm import decontaminate, langid, nearcopies, packing, quality
+from logweave.llm import decontaminate, langid, packing, quality, simhash
 from logweave.llm.common import fold, store, table
 
 
@@ -25,8 +25,8 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return nearcopies.drop_copies(docs)
+    """The document with the smallest id of each group whose fingerprints (four-word shingles) link at 4 or fewer bits."""
+    return simhash.deduplicate(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from logweave.operators.joins import join_groups
 from logweave.session import store
 
 
@@ -11,11 +12,12 @@ def _stars(pairs: DataFrame, large: bool) -> DataFrame:
     """One star step over directed rows (u, v): every neighbour is tied to the smallest node around ``u``.
 
     The large star ties the neighbours above ``u``, the small star those below it and ``u`` itself.
-    The minimum is pre-aggregated, so a hub with very many neighbours is combined before the shuffle.
+    The minimum is pre-aggregated, so a hub with very many neighbours is combined before the shuffle; and its neighbours
+    get it from a broadcast table of hubs, whose number is bounded by their share, instead of meeting in one task.
     """
     around = pairs if large else pairs.where("v < u")
-    least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    tied = around.join(least, "u")
+    least = store(around.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m")), "stars")
+    tied = join_groups(around, least, ["u"], weight="n")
     if large:
         return tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))

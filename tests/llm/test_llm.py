@@ -12,8 +12,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from logweave.llm import ann, boosting, decontaminate, langid, nearcopies, packing, ppm, quality, simhash, slots, toxicity, url_trie
+from logweave.llm import ann, boosting, components, decontaminate, langid, packing, ppm, quality, simhash, slots, toxicity, url_trie
 from logweave.llm.common import fold
+from logweave.operators import joins
 
 WORDS = "the cat sat on a mat while nine dogs ran over green hills and said hello to every bird in town today".split()
 
@@ -155,50 +156,57 @@ def test_links_of_dense_groups(spark, monkeypatch, small, block):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, seen.values()))
 
 
-def five_words(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", low(text))
-    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+def kept_ids(rows):
+    """Ids of the rows (id, text) that a plain search keeps: the smallest of each component, null ids last."""
+    prints = [(math.inf if i is None else i, plain_fingerprint(t)) for i, t in rows]
+    root, least = roots_of({f for _, f in prints}), {}
+    for i, f in prints:
+        least[root[f]] = min(i, least.get(root[f], math.inf))
+    return sorted(least.values())
 
 
-@pytest.mark.parametrize("block_words", [1 << 21, 3000])
-def test_near_copies_of_the_pipeline(spark, docs, empty, monkeypatch, block_words):
-    """Copies with more and more changed words, against all pairs; small blocks too."""
+def test_near_duplicate_stage_of_the_pipeline(spark, docs, empty):
+    """Copies with more and more changed words, against all pairs."""
     import corpus_pipeline
 
-    monkeypatch.setattr(nearcopies, "BLOCK_WORDS", block_words)
     rng = np.random.default_rng(8)
     vocabulary = [f"w{k}" for k in range(3000)]
     texts = []
     for group in range(12):
         words = rng.choice(vocabulary, 200)
-        for changes in (0, 0, 1, 2, 3, 4, 5, 8, 14):
+        for changes in (0, 0, 1, 1, 2, 3, 8):
             own = words.copy()
             own[rng.choice(200, changes, replace=False)] = rng.choice(vocabulary, changes)
             texts.append(" ".join(own))
     frame = docs.unionByName(spark.createDataFrame([(100 + i, t, "x", "y") for i, t in enumerate(texts)], docs.schema))
-    rows = [(r["doc_id"], five_words(r["text"])) for r in frame.collect()]
-    root = list(range(len(rows)))
-
-    def find(k):
-        while root[k] != k:
-            k = root[k]
-        return k
-
-    alike = [[not (a or b) or len(a & b) / max(1, len(a | b)) >= 0.8 for _, b in rows] for _, a in rows]
-    for i in range(len(rows)):
-        for j in range(i):
-            if alike[i][j]:
-                root[find(i)] = find(j)
-    least = {}
-    for k, (i, _) in enumerate(rows):
-        least.setdefault(find(k), []).append(math.inf if i is None else i)
-    want = sorted(min(ids) for ids in least.values())
     kept = corpus_pipeline.drop_near_duplicates(spark, frame, "")
     assert kept.columns == docs.columns
+    want = kept_ids([(r["doc_id"], r["text"]) for r in frame.collect()])
     assert sorted(math.inf if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == want
+    assert len(want) < len(texts)
     assert corpus_pipeline.drop_near_duplicates(spark, empty, "").count() == 0
 
 
+@pytest.mark.parametrize("broadcast_rows", [2_000_000, 5])
+def test_components_with_a_hub_of_half_the_edges(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(joins, "HOT_SHARE", 20)
+    rng = np.random.default_rng(1)
+    edges = [(500, k) for k in range(1000, 2000)] + [(int(a), int(a) + 1 + int(b)) for a, b in zip(rng.integers(3000, 5000, 1000), rng.integers(0, 3, 1000))]
+    parent = {n: n for e in edges for n in e}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        parent[high] = low
+    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in got} == {n: find(n) for n in parent}
+
+
 def test_hilbert_is_a_curve():
     grid = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     place = packing.hilbert(grid, 3)
