@@ -36,7 +36,7 @@ from logweave.llm import common
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 STEP = 1 << 21
 #: B's ids fit in so many bits; an id pair is A's id and B's id in one number.
 PAIR_BITS = 20
