@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from logweave.sources.listing import Listing
+from logweave.sources.snapshots import TreeSnapshot
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -41,3 +42,11 @@ def check_changes(baseline: Listing, current: Listing) -> ChangeCheck:
     if current.files == baseline.files:
         return ChangeCheck("unchanged", baseline)
     return ChangeCheck("changed", current)
+
+
+def check_snapshots(baseline: TreeSnapshot, current: TreeSnapshot) -> tuple[str, TreeSnapshot]:
+    """The status and the next baseline, as ``check_changes``, from trees that the executors listed."""
+    if current.skipped:
+        return "inconclusive", baseline
+    changed = not snapshot_diff(baseline.files, current.files).where("status <> 'same'").isEmpty()
+    return ("changed", current) if changed else ("unchanged", baseline)

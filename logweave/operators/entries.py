@@ -93,7 +93,7 @@ def build_document(
     runs = store(_runs(staged, formats_by_file, resume), "runs")
     formats = _formats_in_use(staged, runs)
     carried = store(_carried(staged, runs, formats), "carried")
-    lines = attach(staged.lines.drop("file"), carried, RUN_KEY, staged.n_pieces)
+    lines = attach(staged.lines.drop("file", "n_bytes"), carried, RUN_KEY, staged.n_pieces)
     header = matches_format(F.col("flags"), F.col("fmt_idx"))
     keyed = lines.select(
         "*",

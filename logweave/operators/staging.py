@@ -18,6 +18,7 @@ from logweave.sources.logs import LogSource, decoded_path
 
 RUN_BITS = 20
 RUN_KEY = ["file_id", "block_start", "chunk"]
+_MARK_BYTES = 3  # of a byte order mark, which readers drop
 
 
 def earlier_runs() -> WindowSpec:
@@ -28,11 +29,11 @@ def earlier_runs() -> WindowSpec:
 
 @dataclass
 class StagedLines:
-    """``lines``: file, file_id, block_start, chunk, pos, flags, stamp, line.
+    """``lines``: file, file_id, block_start, chunk, pos, flags, stamp, n_bytes, line.
 
     ``pos`` increases along each block; ``flags`` says which formats match, and ``stamp`` is as much
     of a line that matches one as its key needs, so that headers can be looked at without reading text.
-    ``pieces``: file_ord, file, path, run key, offset, flags, n, first_pos, last_pos,
+    ``pieces``: file_ord, file, path, run key, offset, flags, n, n_bytes, first_pos, last_pos,
     one row per run and set of flags; ``n_pieces`` bounds the number of runs.
     """
 
@@ -47,13 +48,17 @@ class StagedLines:
         return self.pieces.repartition("file_ord")
 
     def unread(self) -> DataFrame:
-        """``(path, reason)`` of files that must give lines and gave none.
+        """``(path, reason)`` of files that gave less than their listing says.
 
-        They were removed or closed to us after they had been listed.
+        They were removed, closed to us or cut short after they had been listed. The last newline may be missing, and a
+        byte order mark is not counted.
         """
-        listed = self.units.where("filled").select("path").distinct()
-        reason = F.lit("not read: it was gone or closed when it was scanned").alias("reason")
-        return listed.join(self.pieces.select("path"), "path", "left_anti").select("path", reason)
+        read = self.pieces.groupBy("path", "file_ord").agg(F.sum("n_bytes").alias("read"))
+        listed = self.units.where("filled").join(read, ["path", "file_ord"], "left")
+        cut = F.format_string("cut short: %d of %d bytes were there when it was scanned", "read", "length")
+        gone = F.lit("not read: it was gone or closed when it was scanned")
+        reason = F.when(F.col("read").isNull(), gone).when(F.col("read") + _MARK_BYTES < F.col("length"), cut)
+        return listed.select("path", reason.alias("reason")).where("reason IS NOT NULL").distinct()
 
 
 def stage(source: LogSource, formats: list[TimestampFormat], run_bits: int = RUN_BITS) -> StagedLines:
@@ -65,22 +70,24 @@ def stage(source: LogSource, formats: list[TimestampFormat], run_bits: int = RUN
         "block_start",
         F.shiftright("pos", run_bits).alias("chunk"),
         "pos",
+        "n_bytes",
         "line",
     )
     flagged = with_match_flags(placed, formats)
     stamp = F.when(F.col("flags").isNotNull(), stamp_of(formats, F.col("line")))
-    lines = store(flagged.withColumn("stamp", stamp).select("file", *RUN_KEY, "pos", "flags", "stamp", "line"), "lines")
+    lines = store(flagged.withColumn("stamp", stamp).select("file", *RUN_KEY, "pos", "flags", "stamp", "n_bytes", "line"), "lines")
     per_flags = lines.groupBy("file", *RUN_KEY, "flags").agg(
         F.count("*").alias("n"),
         F.min("pos").alias("first_pos"),
         F.max("pos").alias("last_pos"),
+        F.sum(F.col("n_bytes").cast("bigint") + 1).alias("n_bytes"),
     )
     pieces = store(
         per_flags.withColumn("path", decoded_path(F.col("file")))
         .drop("file")
         .join(source.units, "path")
         .withColumn("offset", F.col("base") + F.col("block_start"))
-        .drop("base", "filled"),
+        .drop("base", "filled", "length"),
         "pieces",
     )
     return StagedLines(lines, pieces, pieces.count(), source.units, formats)

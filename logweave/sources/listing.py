@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import stat as stat_module
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -132,44 +133,57 @@ def is_hidden(name: str) -> bool:
     return name.startswith(".") or (name.startswith("_") and "=" not in name)
 
 
+def entries_of(folder: str, exclusion: Exclusion, include_hidden: bool) -> Iterator[tuple[str, str, int, int]]:
+    """``(path, kind, mtime_us, length)`` of what a local folder holds.
+
+    Kinds are file, folder, link (to a folder, not to be followed), output, closed (a file we may not read), and skipped
+    (could not be looked at; the folder itself, if it could not be listed).
+    """
+    try:
+        entries = list(os.scandir(folder))
+    except OSError:
+        yield "file:" + folder, "skipped", 0, 0
+        return
+    for entry in entries:
+        path = "file:" + entry.path
+        if exclusion.is_output(path):
+            yield path, "output folder" if entry.is_dir() else "output", 0, 0
+            continue
+        if not include_hidden and is_hidden(entry.name):
+            continue
+        try:
+            if entry.is_dir():
+                yield path, "link" if entry.is_symlink() else "folder", 0, 0
+                continue
+            status = entry.stat()
+        except FileNotFoundError:  # a dangling link is not a regular file
+            continue
+        except OSError:
+            yield path, "skipped", 0, 0
+            continue
+        if stat_module.S_ISREG(status.st_mode):
+            kind = "file" if os.access(entry.path, os.R_OK) else "closed"
+            yield path, kind, status.st_mtime_ns // 1000, status.st_size
+
+
 def walk_local(root: str, exclusion: Exclusion, include_hidden: bool) -> Listing:
     """Links to folders are not followed, links to files are read."""
     listing = Listing(root="file:" + root)
     pending = [root]
     while pending:
-        try:
-            entries = list(os.scandir(pending.pop()))
-        except OSError:
-            listing.skipped += 1
-            listing.root = None
-            continue
-        for entry in entries:
-            path = "file:" + entry.path
-            if exclusion.is_output(path):
-                (listing.left_out_folders if entry.is_dir() else listing.left_out).append(path)
-                continue
-            if not include_hidden and is_hidden(entry.name):
-                continue
-            try:
-                if entry.is_dir():
-                    if entry.is_symlink():
-                        listing.root = None  # Spark's recursive listing would follow it
-                    else:
-                        pending.append(entry.path)
-                    continue
-                status = entry.stat()
-            except FileNotFoundError:  # a dangling link is not a regular file
-                continue
-            except OSError:
-                listing.skipped += 1
-                continue
-            if not stat_module.S_ISREG(status.st_mode):
-                continue
-            if not os.access(entry.path, os.R_OK):
-                listing.skipped += 1
+        folder = pending.pop()
+        for path, kind, mtime_us, length in entries_of(folder, exclusion, include_hidden):
+            if kind == "file":
+                listing.files.append(LogFile(path, mtime_us, length))
+            elif kind == "folder":
+                pending.append(path.removeprefix("file:"))
+            elif kind == "output folder":
+                listing.left_out_folders.append(path)
+            elif kind in ("output", "closed"):
                 listing.left_out.append(path)
-            else:
-                listing.files.append(LogFile(path, status.st_mtime_ns // 1000, status.st_size))
+            listing.skipped += kind in ("skipped", "closed")
+            if kind == "link" or kind == "skipped" and path == "file:" + folder:
+                listing.root = None  # Spark's recursive listing would follow it, or fail
     return listing
 
 

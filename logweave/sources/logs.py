@@ -16,17 +16,18 @@ from logweave.sources.rawfiles import can_open, gzip_states, is_gzip, read_range
 # Suffixes Spark's text source would decode, other than .gz.
 _OTHER_CODECS = (".bz2", ".deflate", ".lz4", ".snappy", ".zst")
 
-UNIT_SCHEMA = "path string, file string, file_ord bigint, base bigint, filled boolean"
+UNIT_SCHEMA = "path string, file string, file_ord bigint, base bigint, filled boolean, length bigint"
 
 
 @dataclass
 class LogSource:
     """Lines and the table that orders their files.
 
-    ``lines``: ``file`` (as the scan spells it), ``block_start``, ``line``; rows of one
-    block come in file order within their partition.
+    ``lines``: ``file`` (as the scan spells it), ``block_start``, ``line``, and ``n_bytes`` that the line took without its
+    newline; rows of one block come in file order within their partition.
     ``units``: path -> the log it belongs to, its place in the merge, the byte
-    offset of this path inside that log, and whether it must give lines.
+    offset of this path inside that log, whether it must give lines, and how many bytes they must
+    take (NULL if that is not known before, as for compressed files).
     """
 
     lines: DataFrame
@@ -43,6 +44,11 @@ def strip_cr(value: Column) -> Column:
     return F.when(value.endswith("\r"), value.substr(F.lit(1), F.length(value) - 1)).otherwise(value)
 
 
+def _counted(lines: DataFrame) -> DataFrame:
+    line = strip_cr(F.col("value")).alias("line")
+    return lines.select("file", "block_start", line, F.octet_length("value").alias("n_bytes"))
+
+
 def decoded_path(file: Column) -> Column:
     """The plain path behind the percent-encoded one a scan reports."""
     return F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B")))
@@ -57,12 +63,14 @@ def _read_by_hand(path: str) -> bool:
     return _hidden_from_scan(path) or path.endswith(_OTHER_CODECS)
 
 
-def _text(spark: SparkSession, paths: list[str], recursive: bool = False) -> DataFrame:
+def _text(spark: SparkSession, paths: list[str], counted: bool, recursive: bool = False) -> DataFrame:
     # Only "\n" ends a line: the default would also split at a lone "\r". A file that is gone when
-    # the scan runs does not end the job; staging reports it, as it gives none of the lines it must.
+    # the scan runs does not end the job, nor does one that was cut short, if it is known how many bytes its lines must
+    # take; staging reports both.
     return (
         spark.read.option("lineSep", "\n")
         .option("ignoreMissingFiles", True)
+        .option("ignoreCorruptFiles", counted)
         .option("recursiveFileLookup", recursive)
         .text([escape_glob(p) for p in paths])
         .select(
@@ -78,7 +86,7 @@ def _encoded_path(spark: SparkSession, path: str) -> str:
 
 
 def _native(
-    spark: SparkSession, paths: list[str], root: str | None, unwanted: list[str], folders: list[str]
+    spark: SparkSession, paths: list[str], root: str | None, unwanted: list[str], folders: list[str], counted: bool
 ) -> DataFrame:
     """The files that Spark reads itself.
 
@@ -86,8 +94,8 @@ def _native(
     checked path by path; conditions on the file path prune the listing.
     """
     if root is None:
-        return _text(spark, paths)
-    lines = _text(spark, [root], recursive=True)
+        return _text(spark, paths, counted)
+    lines = _text(spark, [root], counted, recursive=True)
     for path in folders:
         lines = lines.where(~F.col("file").startswith(_encoded_path(spark, path) + "/"))
     encoded = [_encoded_path(spark, path) for path in unwanted]
@@ -113,11 +121,13 @@ def read_lines(
     plain_raw = [f for f in distinct if not is_gzip(f.path) and _read_by_hand(f.path)]
     gzip_raw: list[LogFile] = []
     problems: list[tuple[str, str]] = []
+    inflated: dict[str, int] = {}
     filled = {f.path: f.length > 0 for f in distinct if not is_gzip(f.path)}
     if gzip and check_gzip:
         states = {r.path: r for r in gzip_states(spark, [f.path for f in gzip]).toLocalIterator()}
         problems = [(f.path, states[f.path].reason) for f in gzip if states[f.path].state == "unreadable"]
-        filled |= {f.path: bool(states[f.path].n_bytes) for f in gzip}
+        inflated = {f.path: states[f.path].n_bytes for f in gzip}
+        filled |= {path: bool(n) for path, n in inflated.items()}
         plain_raw += [f for f in gzip if states[f.path].state == "plain"]
         gzip_raw = [
             f for f in gzip
@@ -139,20 +149,21 @@ def read_lines(
     seen_by_scan = [p for p in [*by_hand, *left_out] if not _hidden_from_scan(p)]
     unwanted = [*(tree.left_out if tree else []), *seen_by_scan]
     folders = tree.left_out_folders if tree else []
-    parts = [_native(spark, native, root, unwanted, folders)] if native else []
+    counted = check_gzip or not gzip
+    parts = [_native(spark, native, root, unwanted, folders, counted)] if native else []
     if by_hand:
         parts.append(read_raw(spark, plain_raw, gzip_raw))
     lines = parts[0] if parts else _empty(spark)
     for part in parts[1:]:
         lines = lines.unionByName(part)
     kept = [f.path for f in files if f.path not in left_out]
+    lengths = {f.path: f.length for f in distinct if not is_gzip(f.path)} | inflated
     units = local_table(
         spark,
-        [(path, path, position, 0, filled.get(path, False)) for position, path in enumerate(kept)],
+        [(path, path, position, 0, filled.get(path, False), lengths.get(path)) for position, path in enumerate(kept)],
         UNIT_SCHEMA,
     )
-    lines = lines.select("file", "block_start", strip_cr(F.col("value")).alias("line"))
-    return LogSource(lines, units, problems)
+    return LogSource(_counted(lines), units, problems)
 
 
 def read_stretches(spark: SparkSession, stretches: list[tuple[str, int, int]]) -> LogSource:
@@ -161,12 +172,11 @@ def read_stretches(spark: SparkSession, stretches: list[tuple[str, int, int]]) -
     states = {r.path: r for r in gzip_states(spark, gzip).toLocalIterator()} if gzip else {}
     bad = {path: r.reason for path, r in states.items() if r.state == "unreadable"}
     ranges = [(path, begin, until, path in states and states[path].state != "plain") for path, begin, until in stretches if path not in bad]
-    lines = read_ranges(spark, ranges).select("file", "block_start", strip_cr(F.col("value")).alias("line"))
     units = [
-        (path, path, place, 0, bool(states[path].n_bytes) if path in states else until > begin)
+        (path, path, place, 0, bool(states[path].n_bytes) if path in states else until > begin, None if path in states else until - begin)
         for place, (path, begin, until) in enumerate(stretches) if path not in bad
     ]
-    return LogSource(lines, local_table(spark, units, UNIT_SCHEMA), list(bad.items()))
+    return LogSource(_counted(read_ranges(spark, ranges)), local_table(spark, units, UNIT_SCHEMA), list(bad.items()))
 
 
 def read_files(spark: SparkSession, paths: list[str], check_gzip: bool = True) -> LogSource:
@@ -203,7 +213,8 @@ def read_merged(spark: SparkSession, path: str) -> LogSource:
     source = read_lines(spark, parts)
     bases, base = [], 0
     for part in parts:
-        bases.append((part.path, problems[0][0], 0, base, part.length > 0 and not is_gzip(part.path)))
+        zipped = is_gzip(part.path)
+        bases.append((part.path, problems[0][0], 0, base, part.length > 0 and not zipped, None if zipped else part.length))
         base += part.length
     source.units = local_table(spark, bases, UNIT_SCHEMA)
     return source

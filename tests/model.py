@@ -4,11 +4,7 @@ from __future__ import annotations
 
 import re
 
-MONTHS = (
-    "jan feb mar apr may jun jul aug sep oct nov dec "
-    "janv. févr. mars avr. mai juin juil. août sept. oct. nov. déc."
-).split()
-WEEKDAYS = "mon tue wed thu fri sat sun lun. mar. mer. jeu. ven. sam. dim.".split()
+from logweave.functions.timestamps import MONTHS, WEEKDAYS
 
 
 def fold(text):
@@ -33,7 +29,7 @@ def match(pattern, line):
             if name is None:
                 return None
             if token == "MMM":
-                fields["MM"] = f"{MONTHS.index(name) % 12 + 1:02d}"
+                fields["MM"] = f"{MONTHS[name]:02d}"
             at += len(name)
             continue
         regex = {"yyyy": "[0-9]{4}", "SSS": "[0-9]+", "a": "[aApP][mM]"}.get(

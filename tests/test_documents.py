@@ -90,28 +90,28 @@ def test_empty_file_has_no_entries_and_no_format(spark, tmp_path):
 
 def test_majority_decides_and_pins_the_format(spark, tmp_path):
     path = write(tmp_path, "a.log", (
-        "2026-08-06 14:23:00 starting up\n2026-08-06 14:23:01.100 INFO a\n"
-        "2026-08-06 14:23:02.200 INFO b\n2026-08-06 14:23:03 INFO c\n"
+        "2031-02-03 04:05:06 cold start\n2031-02-03 04:05:07.1 pump on\n"
+        "2031-02-03 04:05:08.25 pump off\n2031-02-03 04:05:09 halted\n"
     ))
     parsed = parse(spark, [path], TWO_FORMATS)
     report = parsed.report().first()
     assert (report.format, report.votes) == ("logback", 2)
     assert [lines for _, lines in merged_entries(parsed.document)] == [
-        ["2026-08-06 14:23:00 starting up"],
-        ["2026-08-06 14:23:01.100 INFO a"],
-        ["2026-08-06 14:23:02.200 INFO b", "2026-08-06 14:23:03 INFO c"],
+        ["2031-02-03 04:05:06 cold start"],
+        ["2031-02-03 04:05:07.1 pump on"],
+        ["2031-02-03 04:05:08.25 pump off", "2031-02-03 04:05:09 halted"],
     ]
 
 
 def test_a_tie_goes_to_the_earlier_format(spark, tmp_path):
-    path = write(tmp_path, "a.log", "2026-08-06 14:23:00 x\n2026-08-06 14:23:01.100 a\n")
+    path = write(tmp_path, "a.log", "2031-02-03 04:05:00 x\n2031-02-03 04:05:01.100 a\n")
     assert parse(spark, [path], TWO_FORMATS).report().first().format == "logback"
     assert parse(spark, [path], TWO_FORMATS[::-1]).report().first().votes == 2
 
 
 def test_only_the_sample_votes(spark, tmp_path):
-    tail = "2026-08-06 14:23:00.5 x\n" * 9
-    path = write(tmp_path, "a.log", "2026-08-06 14:23:00 x\n" + "junk\n" * 4 + tail)
+    tail = "2031-02-03 04:05:00.5 x\n" * 9
+    path = write(tmp_path, "a.log", "2031-02-03 04:05:00 x\n" + "junk\n" * 4 + tail)
     for sample, expected in [(5, "plain"), (6, "logback"), (7, "logback")]:
         staged = stage(read_files(spark, [path]), TWO_FORMATS, run_bits=1)
         best = file_formats(staged, sample_lines=sample).first()
@@ -119,7 +119,7 @@ def test_only_the_sample_votes(spark, tmp_path):
 
 
 def test_late_format(spark, tmp_path):
-    path = write(tmp_path, "a.log", "junk\n" * 2500 + "2026-08-06 14:23:00 x\n" + "2026-08-06 14:23:00.5 x\n" * 9)
+    path = write(tmp_path, "a.log", "junk\n" * 2500 + "2031-02-03 04:05:00 x\n" + "2031-02-03 04:05:00.5 x\n" * 9)
     report = parse(spark, [path], TWO_FORMATS).report().first()
     assert (report.format, report.via, report.votes) == ("plain", "first_match", 0)
 

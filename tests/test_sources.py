@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from logweave.plans.merge_plan import merge_directory, merge_files, parse_logs
 from logweave.plans import refresh
 from logweave.plans.refresh import LogStore, watch
-from logweave.operators.changes import check_changes, snapshot_diff
+from logweave.operators.changes import check_changes, check_snapshots, snapshot_diff
 from logweave.operators.sinks import export_visible
 from logweave.operators.stats import level_counts, visible_headers
 from logweave.functions.filters import substring_filter
@@ -19,10 +19,11 @@ from logweave.sources import rawfiles
 from logweave.sources.catalog import BUILT_IN_FORMATS, load_catalog
 from logweave.sources.listing import Exclusion, Listing, LogFile, _list_remote, list_tree
 from logweave.sources.logs import decoded_path, read_files, read_lines, read_tree
+from logweave.sources.snapshots import _remote_entries, snapshot_tree
 from logweave.streaming.new_files import stream_new_files, streamed_document, streamed_warnings
 from tests.test_documents import merged_entries, write
 
-HEADER = "2026-08-06 14:23:0{} INFO {}\n"
+HEADER = "2031-02-03 04:05:0{} INFO {}\n"
 
 
 def lines_of(source):
@@ -34,11 +35,11 @@ def names(listing):
 
 
 def test_gzip_in_any_case_and_with_several_members(spark, tmp_path):
-    text = b"2026-08-06 14:23:01.100 INFO compressed\n\tat Thing.java:1\n"
+    text = b"2031-02-03 04:05:07.100 NOTE packed\n\tmore of it\n"
     one = write(tmp_path, "app.log.gz", gzip.compress(text))
     two = write(tmp_path, "APP.GZ", gzip.compress(b"a\n") + gzip.compress(b"b\n"))
     entries = merged_entries(parse_logs(read_files(spark, [one])).document)
-    assert entries == [("2026-08-06 14:23:01.100000000", text.decode().splitlines())]
+    assert entries == [("2031-02-03 04:05:07.100000000", text.decode().splitlines())]
     assert lines_of(read_files(spark, [two])) == ["a", "b"]
     assert lines_of(read_files(spark, [one], check_gzip=False)) == sorted(text.decode().splitlines())
 
@@ -413,3 +414,43 @@ def test_generations_are_merged_and_the_dead_removed(spark, tmp_path, monkeypatc
         assert len([f for f in os.listdir(where / folder) if f.startswith("gen=")]) <= 6
     assert len([f for f in os.listdir(where / "manifest") if f.startswith("v=")]) <= 5
     assert 0 in set(store._gens.values())  # the large generation was never written again
+
+
+def test_executors_list_what_the_driver_lists(spark, tmp_path):
+    root = tmp_path / "logs"
+    for name in ["b.log", "a b.log", "nested/c.log", "nested/deeper/d", ".hidden", "_x/y.log", "out/part-0", "empty/"]:
+        if name.endswith("/"):
+            os.makedirs(root / name)
+        else:
+            write(root, name, f"{name}\n")
+    os.symlink(root / "nested", root / "link")
+    os.symlink(root / "b.log", root / "z-link.log")
+    os.symlink(root / "nowhere", root / "dangling")
+    for hidden in (True, False):
+        near = list_tree(spark, str(root), str(root / "out"), hidden)
+        found = snapshot_tree(spark, str(root), str(root / "out"), include_hidden=hidden)
+        assert sorted(map(tuple, found.files.collect())) == sorted((f.path, f.mtime_us, f.length) for f in near.files)
+        assert found.skipped == 0
+    by_client = [r for r in _remote_entries(f"file://{root}", Exclusion(None, f"file://{root}/out"), False)]
+    assert sorted((os.path.basename(p), kind) for p, kind, *_ in by_client if "link" not in p) == [
+        ("a b.log", "file"), ("b.log", "file"), ("empty", "folder"), ("nested", "folder"), ("out", "output")]
+    before = snapshot_tree(spark, str(root))
+    assert check_snapshots(before, before)[0] == "unchanged"
+    os.remove(root / "nested/c.log")
+    assert check_snapshots(before, snapshot_tree(spark, str(root)))[0] == "changed"
+    status, kept = check_snapshots(before, snapshot_tree(spark, str(root / "none")))
+    assert status == "inconclusive" and kept is before
+
+
+def test_files_cut_short_after_the_listing_give_a_warning(spark, tmp_path):
+    content = HEADER.format(1, "x") * 200
+    for name in ("a.log", "b.log", ".c.log", "d.log", "e.log"):
+        write(tmp_path, name, content)
+    write(tmp_path, "f.log", b"\xef\xbb\xbf" + content.rstrip("\n").encode())
+    write(tmp_path, "g.log", HEADER.format(1, "x").replace("\n", "\r\n") * 9)
+    source = read_tree(spark, str(tmp_path))
+    for name in ("b.log", ".c.log"):
+        os.truncate(tmp_path / name, len(content) // 2)
+    os.remove(tmp_path / "e.log")
+    warned = {os.path.basename(r.path): r.reason.split(":")[0] for r in parse_logs(source).warnings().collect()}
+    assert warned == {"b.log": "cut short", ".c.log": "cut short", "e.log": "not read"}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,7 +13,7 @@ from logweave.functions.filters import regexp_filter, substring_filter
 from logweave.functions.levels import level_of
 from logweave.functions.timestamps import TimestampFormat
 from logweave.operators import search, stats
-from logweave.operators.changes import check_changes, snapshot_diff
+from logweave.operators.changes import check_snapshots, snapshot_diff
 from logweave.operators.detect import file_formats, format_report
 from logweave.operators.entries import entry_contents, entry_table
 from logweave.operators.merge import concat_logs, merge_chronological
@@ -26,6 +25,7 @@ from logweave.session import scratch_path
 from logweave.sources.catalog import BUILT_IN_FORMATS, load_catalog
 from logweave.sources.listing import list_tree
 from logweave.sources.logs import read_files, read_lines, read_tree
+from logweave.sources.snapshots import snapshot_tree
 from logweave.streaming.new_files import stream_new_files, streamed_document
 from workload import fixture
 from workload.fixture import log_lines, log_name, read_table, write_logs
@@ -517,7 +517,7 @@ def level_share(spark, sf_dir):
 
 @query
 def dir_snapshot(spark, sf_dir):
-    snapshot = list_tree(spark, logs_of(spark, sf_dir).root, include_hidden=False).snapshot(spark)
+    snapshot = snapshot_tree(spark, logs_of(spark, sf_dir).root, include_hidden=False).files
     return snapshot.select(log_name(F.col("path")).alias("file"), "length")
 
 
@@ -533,9 +533,8 @@ def _changed_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 def snapshot_diff_query(spark, sf_dir):
     """Snapshots of two folders compared by log name and length."""
     before, after = (
-        list_tree(spark, write_logs(spark, sf_dir, lines=lines), include_hidden=False)
-        .snapshot(spark)
-        .select(log_name(F.col("path")).alias("path"), F.lit(0).cast("bigint").alias("mtime_us"), "length")
+        snapshot_tree(spark, write_logs(spark, sf_dir, lines=lines), include_hidden=False)
+        .files.select(log_name(F.col("path")).alias("path"), F.lit(0).cast("bigint").alias("mtime_us"), "length")
         for lines in _changed_lines(spark, sf_dir)
     )
     return snapshot_diff(before, after).select(F.col("path").alias("file"), "status")
@@ -543,19 +542,17 @@ def snapshot_diff_query(spark, sf_dir):
 
 @query
 def check_changes_query(spark, sf_dir):
-    """A listing compared with itself, with a later one, and with one that missed something."""
+    """A snapshot compared with itself, with a later one, and with one that could not list its folder."""
     before, after = (
-        list_tree(spark, write_logs(spark, sf_dir, lines=lines), include_hidden=False)
+        snapshot_tree(spark, write_logs(spark, sf_dir, lines=lines), include_hidden=False)
         for lines in _changed_lines(spark, sf_dir)
     )
-    cases = {"same": before, "later": after, "incomplete": replace(after, skipped=1)}
-    outcomes = [(case, check_changes(before, listing)) for case, listing in cases.items()]
-    rows = [
-        outcome.baseline.snapshot(spark)
-        .agg(F.count("*").alias("baseline_files"), F.sum("length").alias("baseline_bytes"))
-        .select(F.lit(case).alias("case_name"), F.lit(outcome.status).alias("status"), "*")
-        for case, outcome in outcomes
-    ]
+    incomplete = snapshot_tree(spark, scratch_path(spark, "no-such-folder"))
+    rows = []
+    for case, current in {"same": before, "later": after, "incomplete": incomplete}.items():
+        status, baseline = check_snapshots(before, current)
+        sums = baseline.files.agg(F.count("*").alias("baseline_files"), F.sum("length").alias("baseline_bytes"))
+        rows.append(sums.select(F.lit(case).alias("case_name"), F.lit(status).alias("status"), "*"))
     return reduce(DataFrame.unionByName, rows)
 
 
