@@ -205,13 +205,13 @@ FROM grouped WHERE grp > 0 GROUP BY file, grp""", "0"),
         " array_to_string(lines, chr(10)) || chr(10) AS content FROM entries"
     ),
     "entry_parts": _from_doc(f"""
-, placed AS (
+, cut AS (
   SELECT *, (sum(strlen(line) + 1) OVER (PARTITION BY file_ord, entry_no ORDER BY line_in_entry) - strlen(line) - 1) // {PART_BYTES} AS part
   FROM flat
 )
 SELECT file_ord, entry_no, any_value(n_lines) AS n_lines, CAST(part AS BIGINT) AS part,
        string_agg(line || chr(10), '' ORDER BY line_in_entry) AS content
-FROM placed GROUP BY file_ord, entry_no, part"""),
+FROM cut GROUP BY file_ord, entry_no, part"""),
     "concat_files": _from_doc("""
 SELECT file_ord, count(*) * 2 AS n_lines, count(*) FILTER (WHERE line_in_entry = 0) * 2 AS n_entries
 FROM doc GROUP BY file_ord"""),
