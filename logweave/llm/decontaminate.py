@@ -27,6 +27,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same class in a text whose case was kept, and its complement.
 _KEPT_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WIDTH = 10
+ROW_BYTES = 16  # of a row number in a broadcast table
 BROADCAST_BYTES = 32 << 20
 
 
@@ -129,9 +130,14 @@ def _hit_spans(docs: DataFrame, benchmark: DataFrame, width: int, id_col: str, t
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that contain a benchmark window."""
+    """``docs`` without those that contain a benchmark window.
+
+    The numbers of the hit rows are broadcast while they take less than ``BROADCAST_BYTES``; then no text is shuffled.
+    """
     numbered, spans = _hit_spans(docs, benchmark, width, id_col, text_col)
-    return numbered.join(spans, "__row", "left_anti").drop("__row")
+    rows = store(spans.select("__row"), "hit-rows")
+    few = rows.count() * ROW_BYTES <= BROADCAST_BYTES
+    return numbered.join(F.broadcast(rows) if few else rows, "__row", "left_anti").drop("__row")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
