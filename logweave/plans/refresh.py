@@ -94,9 +94,8 @@ class LogStore:
 
     def _resume(self) -> None:
         """Go on from the last complete version written by an earlier session."""
-        manifests, filesystem = self._filesystem("manifest")
-        if not filesystem.exists(manifests):
-            return
+        if not all(filesystem.exists(path) for path, filesystem in map(self._filesystem, ("manifest", "levels"))):
+            return  # nothing yet, or a store without summaries: everything is parsed again
         rows = self.spark.read.schema(_MANIFEST + ", v bigint").parquet(f"{self._dir}/manifest")
         version = rows.where(F.col("path") == _MARK).agg(F.max("v")).first()[0]
         if version is None:
@@ -107,7 +106,7 @@ class LogStore:
         self.version = version
         self.baseline = Listing([f for f, *_ in files])
         self._gens = {f.path: gen for f, gen, _ in files if gen >= 0}
-        self._gen_bytes = {gen: n for _, gen, n in files if gen >= 0}
+        self._gen_bytes = {gen: n or 0 for _, gen, n in files if gen >= 0}
 
     def refresh(self) -> Refresh:
         """Bring the store up to date. A scan that misses something changes nothing.

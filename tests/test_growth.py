@@ -225,7 +225,7 @@ def test_a_mended_file_is_read_when_it_changes(spark, tmp_path):
 def test_states_are_gathered_now_and_then(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(new_files, "_ALL_STATES_EVERY", 2)
     root = tmp_path / "logs"
-    for n in range(5):
+    for n in range(3):
         write(root, f"{n}.log", HEADER.format(n, n))
         with open(root / "0.log", "a") as log:
             log.write(HEADER.format(n, "again"))

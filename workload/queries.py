@@ -418,7 +418,7 @@ def ascii_lower_query(spark, sf_dir):
 
 @query
 def ascii_iequals_query(spark, sf_dir):
-    """Neighbouring turns of a conversation by the same role, and what they share."""
+    """Each turn's role and text against their upper-case forms; accented letters make the difference."""
     turns = read_table(spark, sf_dir, "conversations")
     shouted = F.translate("role", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     return turns.select(
