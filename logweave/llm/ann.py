@@ -11,7 +11,7 @@ group is one task's work, with the best ``k`` per query of each pair merged by a
 keeping the ``k + 1`` smallest ids: ties go to smaller ids, so no other copy can be in any result. The random
 lines depend on nothing but the dimension; no index is fitted and every row is indexed.
 
-Recall against brute force is measured in the tests (``recall``) and stated in the README.
+The test compares with brute force on few rows, where ``LEAST`` has every row verified; the README says what larger tables gave.
 
 Cases: null vectors, zero vectors and those with null or non-finite components take no part, nor do rows with a null id; vectors of a
 length other than the most frequent one take no part; a query with no candidate has no rows; repeated ids are rows of
