@@ -3,10 +3,14 @@
 A benchmark item's windows are its runs of ``width`` consecutive words; an item of fewer words, but
 not none, is one window. The distinct windows form the hash set: a 64-bit key of a window's first,
 middle and last word. It is broadcast if its words take at most ``BROADCAST_BYTES``, which is measured
-first; a larger set is joined by shuffle, with the same rows as result. Documents are scanned
+first. Documents are scanned
 once: each word position makes one key per window length, the set is probed, and a probe that finds a
 key is verified word by word in the same join. Only verified hits leave the scan, besides one row per document.
 
+A larger set is joined by shuffle, with the same rows as result: only row, position, length and key of each window are
+shuffled, over ``SALTS`` parts of each key; then the texts that met a key are cut at the places found, and the words
+of each cut are joined with the windows themselves.
+
 Benchmark items that share a window, and documents that contain it, are never paired up: windows
 with the same items form a group, and the items of documents are looked up once per distinct set of groups.
 
@@ -29,6 +33,7 @@ _KEPT_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-
 WIDTH = 10
 ROW_BYTES = 16  # of a row number in a broadcast table
 BROADCAST_BYTES = 32 << 20
+SALTS = 16  # parts of a key in the joins by shuffle, as one key may hold a third of all rows
 
 
 def words_of(text: Column) -> Column:
@@ -60,14 +65,40 @@ def _groups(windows: DataFrame) -> DataFrame:
         "window", "length", "key", F.xxhash64("s.n", "s.x", "s.y").alias("group")), "window-groups")
 
 
+def _join_salted(rows: DataFrame, known: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join (row, at, length, ...) with one or more rows per key; the rows of one key go to ``SALTS`` tasks."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(SALTS)).cast("int"))
+    copies = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [*keys, "salt"], how).drop("salt")
+
+
+def _hits_by_shuffle(docs: DataFrame, groups: DataFrame, lengths: list[int]) -> DataFrame:
+    """What ``find_hits`` returns, of (row, doc_id, text), without a broadcast."""
+    numbered = store(docs, "numbered-texts")  # rows keep their numbers in both scans
+    of_doc = numbered.withColumn("words", words_of(F.col("text"))).drop("text").withColumn("n_words", F.size("words"))
+    places = of_doc.where("n_words > 0").select("row", "words", "n_words", F.explode(F.sequence(F.lit(0), F.col("n_words") - 1)).alias("at"))
+    places = places.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("length")).where("at + length <= n_words")
+    keyed = places.select("row", "at", "length", _key(F.col("words"), F.col("at"), F.col("length")).alias("key"))
+    met = _join_salted(keyed, groups.select("length", "key").distinct(), ["length", "key"], "left_semi")
+    met = met.groupBy("row").agg(F.collect_set(F.struct("at", "length")).alias("met"))  # bounded by the document's own words
+    cut = of_doc.join(met, "row").select("row", "doc_id", "n_words", "words", F.explode("met").alias("m")).select(
+        "row", "doc_id", "n_words", "m.at", "m.length", F.slice("words", F.col("m.at") + 1, F.col("m.length")).alias("window"))
+    hits = _join_salted(cut, groups.select("length", "window", "group"), ["length", "window"], "inner")
+    documents = of_doc.select("row", "doc_id", "n_words", F.lit(None).cast("int").alias("at"),
+                              F.lit(None).cast("int").alias("length"), F.lit(None).cast("long").alias("group"))
+    return documents.union(hits.select(documents.columns))
+
+
 def find_hits(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stored rows (row, doc_id, n_words, at, length, group): one per document with null ``at``,
     one per verified window."""
     lengths = [r[0] for r in groups.select("length").distinct().orderBy("length").collect()]  # at most ``width``
     heavy = groups.agg(F.coalesce(F.sum(F.octet_length(F.array_join("window", " ")) + 64), F.lit(0))).first()[0]
-    of_doc = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"),
-        words_of(F.col(f"`{text_col}`")).alias("words"))
+    texts = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    if lengths and heavy > BROADCAST_BYTES:
+        return store(_hits_by_shuffle(texts, groups, lengths), "hits")
+    of_doc = texts.select("row", "doc_id", words_of(F.col("text")).alias("words"))
     size = F.size("words")
     if not lengths:
         return store(of_doc.select("row", "doc_id", size.alias("n_words"), F.lit(None).cast("int").alias("at"),
@@ -80,10 +111,9 @@ def find_hits(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id", tex
         "row", "doc_id", "words", "at",
         F.when((F.col("probe") >= 0) & (F.col("at") + F.col("l") <= F.size("words")), _key(F.col("words"), F.col("at"), F.col("l"))).alias("k"),
         "l", "probe")
-    known = F.broadcast(groups) if heavy <= BROADCAST_BYTES else groups
     verified = (F.col("k") == F.col("key")) & (F.col("l") == F.col("length")) & (
         F.slice("words", F.greatest("at", F.lit(0)) + 1, "l") == F.col("window"))
-    found = keyed.join(known, verified, "left").where(F.col("group").isNotNull() | (F.col("probe") == -1))
+    found = keyed.join(F.broadcast(groups), verified, "left").where(F.col("group").isNotNull() | (F.col("probe") == -1))
     return store(found.select("row", "doc_id", F.size("words").alias("n_words"),
                               F.when(F.col("group").isNotNull(), F.col("at")).alias("at"), "length", "group"), "hits")
 

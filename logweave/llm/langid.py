@@ -8,7 +8,8 @@ similarity that 99 % of the centroid's own sampled texts reach and the one that
 with one language it is ``ALONE`` times the former.
 
 Document frequencies cover all training documents: each task sums a vector of ``DIMS`` counts. What reaches the
-driver are those sums and about ``SAMPLE`` sparse vectors per language at most. Scoring is one pass, no shuffle.
+driver are those sums and about ``SAMPLE`` sparse vectors per language at most, drawn by a hash of id and text, so that
+neither an id with many rows nor a row with many copies adds to them. Scoring is one pass, no shuffle.
 
 Cases: a null text or one without a letter is ``und``, score 0, rejected; a null language teaches nothing; repeated rows
 are judged one by one; with nothing to learn from every text is ``und``. Other columns are kept.
@@ -40,6 +41,7 @@ ALONE = 0.6
 PROBES = 200
 UNKNOWN = "und"
 _ROUNDS = 12
+_DRAWS = 1 << 60
 _LETTER = regex.compile(r"\p{L}")
 # Letters a-z and the bytes of other scripts stay; everything else is a gap.
 _PLAIN = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -116,12 +118,13 @@ def train(docs: DataFrame, trained: Column, *, lang_col: str = "lang", text_col:
     """Learn from the documents for which ``trained`` holds and the language is not null."""
     rows = docs.where(trained & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(
         F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"),
-        F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit("sample")), F.lit(1 << 30)).alias("draw"))
+        F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.lit("sample")), F.lit(_DRAWS)).alias("draw"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one per language
-    below = {lang: (1 << 30) * bound / n for lang, n in sizes.items()}
+    below = {lang: _DRAWS * bound / n for lang, n in sizes.items()}
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(DIMS, dtype=np.int64)
+        drawn: set[tuple[str, int]] = set()
         for batch in batches:
             out = []
             for lang, text, draw in zip(batch["lang"], batch["text"], batch["draw"]):
@@ -129,7 +132,8 @@ def train(docs: DataFrame, trained: Column, *, lang_col: str = "lang", text_col:
                     continue
                 counts = _counts(text)
                 seen += counts > 0
-                if draw < below[lang]:
+                if draw < below[lang] and (lang, draw) not in drawn:
+                    drawn.add((lang, draw))
                     slots = np.flatnonzero(counts)
                     out.append((lang, draw, slots, counts[slots]))
             if out:
@@ -143,8 +147,9 @@ def train(docs: DataFrame, trained: Column, *, lang_col: str = "lang", text_col:
         seen[r["slot"]] = r["n"]
     idf = np.log((1 + sum(sizes.values())) / (1 + seen)).astype(np.float32) + 1
     centre, names, reached, probes = [], [], [], {}
+    drawn = found.where("lang is not null").dropDuplicates(["lang", "draw"]).orderBy("lang", "draw").toPandas()
     for lang in sorted(sizes):
-        sample = found.where(F.col("lang") == lang).orderBy("draw").select("slots", "counts").toPandas()
+        sample = drawn[drawn["lang"] == lang]
         x = np.zeros((len(sample), DIMS), dtype=np.float32)
         for i, (slots, counts) in enumerate(zip(sample["slots"], sample["counts"])):
             x[i, slots] = counts

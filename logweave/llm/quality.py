@@ -1,8 +1,9 @@
 """Quality classifier: boosted trees over document statistics.
 
 Statistics are counts and ratios of the whole text; language, source and id play no part. Labels
-are learned from at most about ``SAMPLE`` labelled rows, picked by a hash of the id: the documented bound of
-what reaches the driver, which fits the trees. The fitted forest (a few kB of arrays) is
+are learned from about ``SAMPLE`` labelled rows, picked by a hash of the id, and at most ``SLACK`` times as many: the documented
+bound of what reaches the driver, which fits the trees. Where ids repeat so much that more rows belong to the picked ids,
+equal rows count once and the others are picked by a hash of id and text. The fitted forest (a few kB of arrays) is
 broadcast with the scoring function, and every text is scored in one pass without a shuffle.
 
 Cases: null and empty texts have statistics zero and a score like any other; a null label teaches nothing; an id with
@@ -27,6 +28,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Labelled rows that the classifier is fitted on, at most (in expectation of the hash).
 SAMPLE = 20_000
+#: Rows that may belong to the picked ids, as a multiple of the bound.
+SLACK = 2
 _CLASSES = [
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ", b"\n", b".", b",", b"!", b"?", b"'\"",
     b"#$%&*", b"|", b"<>{}[]()", b"@/:_-=+\\~^;`", bytes(range(128, 256)),
@@ -71,16 +74,21 @@ def sample_labels(labels: DataFrame, label: str, trained: Column, bound: int, id
     return picked.groupBy(F.col(f"`{id_col}`").alias("doc_id")).agg(F.max(F.col(f"`{label}`").cast("double")).alias("y"))
 
 
-def labelled_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, y) of the sampled ids; the sample is bounded, hence broadcast."""
+def labelled_texts(docs: DataFrame, sample: DataFrame, bound: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, y) of the sampled ids, about ``SLACK`` times ``bound`` rows at most; the sample is bounded, hence broadcast."""
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return texts.join(F.broadcast(sample), "doc_id")
+    found = texts.join(F.broadcast(sample), "doc_id")
+    if texts.select("doc_id").join(F.broadcast(sample), "doc_id").count() <= SLACK * bound:
+        return found
+    pairs = found.select("doc_id", F.xxhash64("text")).distinct().count()
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    return common.sampled(found, key, pairs, bound).distinct()
 
 
 def train(docs: DataFrame, labels: DataFrame, trained: Column, *, label: str = "quality", bound: int = SAMPLE,
           id_col: str = "doc_id", text_col: str = "text") -> Forest:
     """Fit on the labelled rows for which ``trained`` (a condition on the labels' id) holds."""
-    rows = labelled_texts(docs, sample_labels(labels, label, trained, bound), id_col, text_col)
+    rows = labelled_texts(docs, sample_labels(labels, label, trained, bound), bound, id_col, text_col)
 
     @F.pandas_udf("array<double>")
     def measure(series: pd.Series) -> pd.Series:

@@ -298,7 +298,7 @@ def train(docs: DataFrame, labels: DataFrame, trained: Column, *, label: str = "
           id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn from the labelled rows for which ``trained`` (a condition on the labels' id) holds."""
     rows = common.store(quality.labelled_texts(
-        docs, quality.sample_labels(labels, label, trained, bound), id_col, text_col), "toxicity-sample")
+        docs, quality.sample_labels(labels, label, trained, bound), bound, id_col, text_col), "toxicity-sample")
     terms = learn_terms(rows)
 
     @F.pandas_udf("array<string>")
