@@ -123,7 +123,7 @@ class LogStore:
         todo = [f for f in current.files if known.get(f.path) != f]
         parsed = parse_logs(read_lines(self.spark, todo), self.formats)
         document = self._write(parsed.document, version)
-        problems = [(r.path, r.reason) for r in parsed.warnings().toLocalIterator()]
+        problems = [(r.path, r.reason) for r in parsed.warnings().collect()]
         unread = {path for path, _ in problems}
         fresh = {f.path: version for f in todo if f.path not in unread}
         if check.status == "unchanged" and not fresh and self.version >= 0:

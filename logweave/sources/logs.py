@@ -124,7 +124,7 @@ def read_lines(
     inflated: dict[str, int] = {}
     filled = {f.path: f.length > 0 for f in distinct if not is_gzip(f.path)}
     if gzip and check_gzip:
-        states = {r.path: r for r in gzip_states(spark, [f.path for f in gzip]).toLocalIterator()}
+        states = {r.path: r for r in gzip_states(spark, gzip).collect()}
         problems = [(f.path, states[f.path].reason) for f in gzip if states[f.path].state == "unreadable"]
         inflated = {f.path: states[f.path].n_bytes for f in gzip}
         filled |= {path: bool(n) for path, n in inflated.items()}
@@ -168,8 +168,8 @@ def read_lines(
 
 def read_stretches(spark: SparkSession, stretches: list[tuple[str, int, int]]) -> LogSource:
     """The lines that begin in the byte ranges ``(path, begin, until)``, one for each file; gzip files are read whole."""
-    gzip = [path for path, _, _ in stretches if is_gzip(path)]
-    states = {r.path: r for r in gzip_states(spark, gzip).toLocalIterator()} if gzip else {}
+    gzip = [LogFile(path, 0, until) for path, _, until in stretches if is_gzip(path)]
+    states = {r.path: r for r in gzip_states(spark, gzip).collect()} if gzip else {}
     bad = {path: r.reason for path, r in states.items() if r.state == "unreadable"}
     ranges = [(path, begin, until, path in states and states[path].state != "plain") for path, begin, until in stretches if path not in bad]
     units = [

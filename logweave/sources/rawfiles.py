@@ -27,9 +27,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GZIP_STATES = "path string, state string, reason string, n_bytes bigint"
 RANGE_BYTES = 128 << 20
+#: A task reads files of about so many bytes; opening one counts as some, and gzip files hold more than their length.
+TASK_BYTES = 64 << 20
+OPEN_BYTES = 1 << 20
+GZIP_RATIO = 8
 _CHUNK = 1 << 20
 _BATCH_LINES = 1 << 15
-_MAX_TASKS = 20_000
 _BOM = b"\xef\xbb\xbf"  # dropped at the start of a file, as Spark's text reader does
 
 
@@ -37,8 +40,18 @@ def is_gzip(path: str) -> bool:
     return path[-3:].isascii() and path[-3:].lower() == ".gz"
 
 
-def _tasks(jobs: list) -> int:
-    return min(max(len(jobs), 1), _MAX_TASKS)
+def dealt(spark: SparkSession, rows: list[tuple], schema: str, weights: list[int]) -> DataFrame:
+    """The rows dealt to tasks in order, so that small files share a task and every core has one; a heavy row is alone in its task."""
+    weights = [OPEN_BYTES + weight for weight in weights]
+    most = min(TASK_BYTES, max(OPEN_BYTES, sum(weights) // max(spark.sparkContext.defaultParallelism, 1)))
+    tasks, task, held = [], 0, 0
+    for weight in weights:
+        if held and held + weight > most:
+            task, held = task + 1, 0
+        tasks.append(task)
+        held += weight
+    placed = [(*row, task) for row, task in zip(rows, tasks)]
+    return local_table(spark, placed, f"{schema}, task int").repartitionById(task + 1, "task").drop("task")
 
 
 def open_file(path: str):
@@ -99,7 +112,7 @@ def _inflate(stream, state: dict) -> Iterator[bytes]:
             data = stream.read(_CHUNK)
 
 
-def gzip_states(spark: SparkSession, paths: list[str]) -> DataFrame:
+def gzip_states(spark: SparkSession, files: list[LogFile]) -> DataFrame:
     """Label each gzip file by streaming it once, on the executors."""
     schema = pa.schema([
         ("path", pa.string()), ("state", pa.string()), ("reason", pa.string()), ("n_bytes", pa.int64()),
@@ -122,8 +135,8 @@ def gzip_states(spark: SparkSession, paths: list[str]) -> DataFrame:
                 {name: [row[i] for row in rows] for i, name in enumerate(schema.names)}, schema=schema
             )
 
-    table = local_table(spark, [(p,) for p in paths], "path string")
-    return table.repartition(_tasks(paths)).mapInArrow(label, GZIP_STATES)
+    table = dealt(spark, [(f.path,) for f in files], "path string", [f.length * GZIP_RATIO for f in files])
+    return table.mapInArrow(label, GZIP_STATES)
 
 
 def _lines(chunks: Iterator[bytes]) -> Iterator[bytes]:
@@ -214,8 +227,7 @@ def read_ranges(spark: SparkSession, ranges: list[tuple[str, int, int, bool]]) -
                 if pending:
                     yield flush()
 
-    table = local_table(spark, jobs, "path string, start bigint, end bigint, gzipped boolean")
-    lines = table.repartition(_tasks(jobs)).mapInArrow(
-        read, "file string, block_start bigint, value binary"
-    )
+    weights = [(end - start) * (GZIP_RATIO if gzipped else 1) for _, start, end, gzipped in jobs]
+    table = dealt(spark, jobs, "path string, start bigint, end bigint, gzipped boolean", weights)
+    lines = table.mapInArrow(read, "file string, block_start bigint, value binary")
     return lines.selectExpr("file", "block_start", "CAST(value AS STRING) AS value")

@@ -90,6 +90,19 @@ def test_executors_need_not_have_the_package(tmp_path):
     assert "['fine', 'hidden']" in done.stdout, done.stderr[-2000:]
 
 
+def test_small_files_share_a_task(spark, tmp_path):
+    files = [LogFile(write(tmp_path, f"f{n:02}.gz", gzip.compress(b"line %d\n" % n)), 0, 30) for n in range(40)]
+    labelled = rawfiles.gzip_states(spark, files)
+    assert labelled.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert sorted((r.path, r.state, r.n_bytes) for r in labelled.collect()) == [(f.path, "ok", 7 + (n > 9)) for n, f in enumerate(files)]
+    lines = rawfiles.read_ranges(spark, [(f.path, 0, f.length, True) for f in files])
+    assert lines.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert sorted(int(r.value.split()[1]) for r in lines.collect()) == list(range(40))
+    heavy = rawfiles.dealt(spark, [(n,) for n in range(9)], "n int", [0] * 4 + [1 << 30] + [0] * 4)
+    assert [[r.n for r in task] for task in heavy.rdd.glom().collect() if task] == [[0, 1, 2, 3], [4], [5, 6, 7, 8]]
+    assert rawfiles.dealt(spark, [], "n int", []).count() == 0
+
+
 def test_tree_order_links_and_hidden_names(spark, tmp_path):
     root = tmp_path / "logs"
     for name in ["b.log", "a.log", "nested/c.log", "nested/deeper/no-suffix", ".hidden", "_x/y.log", "B.log"]:
