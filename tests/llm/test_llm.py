@@ -262,6 +262,24 @@ def test_ppm_base_scores(spark, docs, empty):
     assert all(r["n_known"] == 0 for r in ppm.score(docs, F.lit(False)).collect())
 
 
+def test_ppm_keeps_every_context(spark, monkeypatch):
+    texts = [low(sentence(20 + 3 * s, s)) for s in range(40)] + ["", "zz", "zz", "q\u00e9 xyzzy", None, "xyzzy plugh " * 3]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for share in (1 << 22, 8):
+        monkeypatch.setattr(ppm, "STRING_SHARE", share)
+        for modulus in (3, 1000, 1):  # some held out, one, all
+            taught = [t for i, t in enumerate(texts) if i % modulus]
+            string, n = np.unique(ppm.positions([(t or "").encode() for t in taught])[0], return_counts=True) if taught else (np.empty(0, np.int64),) * 2
+            levels = {}
+            for k in range(1, ppm.ORDER + 2):
+                own, where = np.unique(string & ((1 << (9 * k)) - 1), return_inverse=True)
+                levels[k] = own, np.bincount(where, n, len(own)).astype(np.int64)
+            trie = ppm.build(levels, int(n.sum()), len(taught))
+            got = {r["doc_id"]: r["score"] for r in ppm.score(docs, F.col("doc_id") % modulus != 0).collect()}
+            want = [trie.score(ppm.positions([(t or "").encode()])[0]).sum() for t in texts]
+            assert [round(got[i], 6) for i in range(len(texts))] == [round(float(w), 6) for w in want]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     vectors = [(i, rng.normal(size=16).tolist(), "x") for i in range(400)]
