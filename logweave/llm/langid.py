@@ -8,7 +8,7 @@ similarity that 99 % of the centroid's own sampled texts reach and the one that
 with one language it is ``ALONE`` times the former.
 
 Document frequencies cover all training documents: each task sums a vector of ``DIMS`` counts. What reaches the
-driver are those sums and about ``SAMPLE`` sparse vectors per language at most, drawn by a hash of id and text, so that
+driver are those sums and, one language at a time and as Arrow arrays, about ``SAMPLE`` sparse vectors per language at most, drawn by a hash of id and text, so that
 neither an id with many rows nor a row with many copies adds to them. Scoring is one pass, no shuffle.
 
 Cases: a null text or one without a letter is ``und``, score 0, rejected; a null language teaches nothing; repeated rows
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
@@ -113,6 +114,15 @@ def rejection_limit(own: np.ndarray, others: np.ndarray) -> float:
     return (low + min(low, float(np.median(others)))) / 2 if len(others) else ALONE * low
 
 
+def _dense(sample: pa.Table) -> np.ndarray:
+    """One row for each sparse vector, from the flat arrays of the table."""
+    slots, counts = (sample.column(name).combine_chunks() for name in ("slots", "counts"))
+    x = np.zeros((sample.num_rows, DIMS), dtype=np.float32)
+    owner = np.repeat(np.arange(sample.num_rows), np.asarray(slots.value_lengths()))
+    x[owner, np.asarray(slots.flatten())] = np.asarray(counts.flatten())
+    return x
+
+
 def train(docs: DataFrame, trained: Column, *, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id",
           bound: int = SAMPLE, centroids: int = CENTROIDS) -> Centroids:
     """Learn from the documents for which ``trained`` holds and the language is not null."""
@@ -135,24 +145,22 @@ def train(docs: DataFrame, trained: Column, *, lang_col: str = "lang", text_col:
                 if draw < below[lang] and (lang, draw) not in drawn:
                     drawn.add((lang, draw))
                     slots = np.flatnonzero(counts)
-                    out.append((lang, draw, slots, counts[slots]))
+                    out.append((lang, draw, slots.astype(np.int16), counts[slots], None))
             if out:
-                yield pd.DataFrame(out, columns=["lang", "draw", "slots", "counts"])
-        yield pd.DataFrame({"lang": [None], "draw": [0], "slots": [np.arange(DIMS)], "counts": [seen.astype(np.float64)]})
+                yield pd.DataFrame(out, columns=["lang", "draw", "slots", "counts", "seen"])
+        yield pd.DataFrame({"lang": [None], "draw": [0], "slots": [None], "counts": [None], "seen": [seen]})
 
-    found = common.store(rows.mapInPandas(gather, "lang string, draw long, slots array<int>, counts array<double>"), "language-counts")
+    found = common.store(rows.mapInPandas(gather, "lang string, draw long, slots array<short>, counts array<float>, seen array<long>"),
+                         "language-counts")
     seen = np.zeros(DIMS)
-    sums = found.where("lang is null").select(F.posexplode("counts").alias("slot", "n")).groupBy("slot").agg(F.sum("n").alias("n"))
+    sums = found.where("lang is null").select(F.posexplode("seen").alias("slot", "n")).groupBy("slot").agg(F.sum("n").alias("n"))
     for r in sums.collect():  # DIMS rows
         seen[r["slot"]] = r["n"]
     idf = np.log((1 + sum(sizes.values())) / (1 + seen)).astype(np.float32) + 1
     centre, names, reached, probes = [], [], [], {}
-    drawn = found.where("lang is not null").dropDuplicates(["lang", "draw"]).orderBy("lang", "draw").toPandas()
+    drawn = found.where("lang is not null").dropDuplicates(["lang", "draw"]).select("lang", "draw", "slots", "counts")
     for lang in sorted(sizes):
-        sample = drawn[drawn["lang"] == lang]
-        x = np.zeros((len(sample), DIMS), dtype=np.float32)
-        for i, (slots, counts) in enumerate(zip(sample["slots"], sample["counts"])):
-            x[i, slots] = counts
+        x = _dense(drawn.where(F.col("lang") == lang).orderBy("draw").select("slots", "counts").toArrow())
         x *= idf
         if not len(x):
             continue

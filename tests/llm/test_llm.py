@@ -232,6 +232,19 @@ def test_packing(spark, docs, empty, monkeypatch):
     assert packing.pack(empty).count() == 0
 
 
+def test_language_samples_reach_the_driver_as_arrays(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, sentence(12, i), "ab"[i % 2]) for i in range(60)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(type(docs), "toPandas", lambda self: pytest.fail("rows of Python numbers on the driver"))
+    taken = []
+    monkeypatch.setattr(langid, "cluster", lambda x, k, run=langid.cluster: taken.append(x) or run(x, k))
+    model = langid.train(docs, F.lit(True))
+    idf = model.idf
+    want = [langid.vectors([r["text"] for r in docs.collect() if r["lang"] == lang], idf) for lang in "ab"]
+    for got, own in zip(taken, want):
+        assert got.shape == own.shape and np.allclose(np.sort(got.sum(axis=1)), np.sort(own.sum(axis=1)), rtol=1e-5)
+    assert set(model.lang) == {"a", "b"}
+
+
 def test_ppm_probabilities_sum_to_one():
     texts = [low(sentence(60, s)).encode() for s in range(8)] + [b"", b"zz"]
     keys, sizes = ppm.positions(texts)
