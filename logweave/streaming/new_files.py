@@ -9,6 +9,7 @@ keys that a parse of the whole file would give them.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,9 +20,9 @@ from logweave.operators.entries import RESUME_SCHEMA
 from logweave.operators.joins import join_groups
 from logweave.operators.numbering import with_number
 from logweave.plans.merge_plan import parse_logs
-from logweave.session import local_table
+from logweave.session import local_table, store
 from logweave.sources.listing import WARNING_SCHEMA, qualify
-from logweave.sources.logs import read_stretches
+from logweave.sources.logs import decoded_path, read_stretches
 from logweave.streaming.growth import GrowthSource
 
 _LINES = (
@@ -67,10 +68,12 @@ def stream_new_files(
     def append(batch: DataFrame, batch_id: int) -> None:
         states = _states(spark, out, batch_id)
         parts = -(-batch.count() // max_files)
+        known = []
         for part in range(max(parts, 1)):
             mode = "append" if part else "overwrite"
             own = batch.where(F.pmod(F.xxhash64("path"), F.lit(max(parts, 1))) == part)
-            _append(spark, own, states, out, batch_id, formats, mode)
+            known.append(_append(spark, own, states, out, batch_id, formats, mode))
+        _write_states(spark, reduce(DataFrame.unionByName, known), out, batch_id)
         if batch_id % _ALL_STATES_EVERY == _ALL_STATES_EVERY - 1:
             _states(spark, out, batch_id + 1).write.mode("overwrite").parquet(f"{out}/{_ALL_STATES}/batch={batch_id}")
 
@@ -81,8 +84,8 @@ def stream_new_files(
 def _append(
     spark: SparkSession, gains: DataFrame, states: DataFrame, out: str, batch_id: int,
     formats: list[TimestampFormat] | None, mode: str,
-) -> None:
-    """Parse some files' new lines and write them with the files' new states."""
+) -> DataFrame:
+    """Parse some files' new lines and write them; returns the files with their formats."""
     # As many rows as files are parsed together. Of two stretches of one file, the batch holds both.
     stretches = gains.groupBy("path").agg(
         F.max("gen").alias("gen"), F.min_by("begin", F.struct(-F.col("gen"), "begin")).alias("begin"),
@@ -104,19 +107,24 @@ def _append(
     document.select(*[name.split()[0] for name in _LINES.split(", ")]).write.mode(mode).parquet(f"{out}/batch={batch_id}")
     parsed.warnings().write.mode(mode).parquet(f"{out}/{_WARNINGS}/batch={batch_id}")
 
-    # The end of each file from what was just written, without its text.
-    ends = parsed.document.groupBy("file_ord").agg(
-        F.first("file").alias("file"), F.count("*").alias("n"), F.max("entry_no").alias("headers"),
+    found = known.join(parsed.formats_by_file.select("file_ord", "fmt_idx"), "file_ord", "left")
+    return store(found.drop("file_ord"), "stream-files")
+
+
+def _write_states(spark: SparkSession, known: DataFrame, out: str, batch_id: int) -> None:
+    """The end of each file of a batch from what was written of it, without its text and without parsing it again."""
+    ends = spark.read.schema(_LINES).parquet(f"{out}/batch={batch_id}").groupBy("file").agg(
+        F.count("*").alias("n"), F.max("entry_no").alias("headers"),
         F.max(F.struct("entry_no", "line_in_entry", "sort_key")).alias("last"),
-    )
+    ).withColumn("path", decoded_path(F.col("file")))
     lines = F.col("lines_before") + F.col("n")
-    state = known.join(ends, "file_ord", "left").join(parsed.formats_by_file.select("file_ord", "fmt_idx"), "file_ord", "left").select(
+    state = known.join(ends, "path", "left").select(
         "path", "file", "gen", "since",
         F.coalesce(lines, F.lit(0)).alias("lines"),  # a file that gave nothing is read from its start when it changes
         F.coalesce("headers", F.lit(0)).alias("headers"), "fmt_idx", F.col("last.sort_key").alias("open_key"),
         (lines - 1 - F.col("last.line_in_entry")).alias("open_line"),
     )
-    state.write.mode(mode).parquet(f"{out}/{_STATES}/batch={batch_id}")
+    state.write.mode("overwrite").parquet(f"{out}/{_STATES}/batch={batch_id}")
 
 
 def _states(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:

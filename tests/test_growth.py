@@ -222,6 +222,33 @@ def test_a_mended_file_is_read_when_it_changes(spark, tmp_path):
     assert followed(spark, root, tmp_path).count() == 100
 
 
+def test_states_come_from_what_was_written(spark, tmp_path, monkeypatch):
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    root.mkdir()
+    for n in range(6):
+        (root / f"a b+{n}.log").write_text("".join(f"2031-02-03 04:05:0{k} INFO {n}\n\tmore\n" for k in range(n)))
+    parsed = []
+
+    def watched(*args, **options):
+        parsed.append(new_files_parse(*args, **options))
+        return parsed[-1]
+
+    new_files_parse = new_files.parse_logs
+    monkeypatch.setattr(new_files, "parse_logs", watched)
+    write = new_files._write_states
+
+    def unparsed(*args):
+        for one in parsed:
+            one.document = one.staged = None
+        write(*args)
+
+    monkeypatch.setattr(new_files, "_write_states", unparsed)
+    stream_new_files(spark, str(root), out, str(tmp_path / "offsets"), once=True, max_files=2).awaitTermination()
+    states = {r.path[-5]: (r.lines, r.headers, r.open_line) for r in new_files._states(spark, out).collect()}
+    assert states == {str(n): (2 * n, n, 2 * n - 2) for n in range(1, 6)}
+    assert len(parsed) == 3
+
+
 def test_states_are_gathered_now_and_then(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(new_files, "_ALL_STATES_EVERY", 2)
     root = tmp_path / "logs"
