@@ -313,6 +313,25 @@ def test_neighbours(spark):
     assert ann.search(frame.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_neighbours_verify_a_falling_share():
+    """Two tables of which most rows are not verified: recall holds, and a query's verified rows grow slower than the table."""
+    verified = {}
+    for n in (6_000, 24_000):
+        rows = np.random.default_rng(n).normal(size=(n, 64))
+        rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+        asked = rows[:40]
+        best = np.argsort(-(asked @ rows.T), axis=1)[:, :20]
+        found = [set() for _ in asked]
+        for block in np.array_split(np.arange(n), -(-n // ann.BLOCK)):
+            near = ann.Index(rows[block], 1.0).near(asked, ann.share_of(n))
+            for own, hit in zip(found, near):
+                own |= set(block[hit].tolist())
+        verified[n] = np.mean([len(own) for own in found])
+        assert np.mean([len(set(b.tolist()) & own) / 20 for b, own in zip(best, found)]) >= 0.9
+        assert verified[n] < 0.45 * n
+    assert verified[24_000] < 0.8 * 4 * verified[6_000]
+
+
 def test_boosting_learns_an_interaction():
     x = np.random.default_rng(0).normal(size=(3000, 4))
     y = ((x[:, 0] > 0) ^ (x[:, 2] > 0.5)).astype(float)
