@@ -246,15 +246,15 @@ def _also_matches(first: TimestampFormat, other: TimestampFormat) -> str:
     return "1" if len(others) <= len(mine) else "?"
 
 
-def with_match_flags(lines: DataFrame, formats: list[TimestampFormat]) -> DataFrame:
+def with_match_flags(lines: DataFrame, formats: list[TimestampFormat], column: str = "line") -> DataFrame:
     """Add ``flags``: one character per format, ``1`` where it matches the line; NULL
-    when none does.
+    when none does. ``column`` holds the line, or its stamp, which the same formats match.
 
     A single regex tells the first matching format of a line. Mostly that settles
     the others: ``yyyy-MM-dd HH:mm:ss.SSS`` implies ``yyyy-MM-dd HH:mm:ss`` and rules
     out ``dd/MMM/yyyy``. Only what the patterns leave open is tested line by line.
     """
-    line = F.col("line")
+    line = F.col(column)
     taken = {step[1] for fmt in formats for step in _elements(fmt)[:1]}
     mark = next(chr(c) for c in range(ord("|"), 0x10FFFF) if chr(c) not in taken)
     # The group of the first matching format captures one character, the other groups nothing.

@@ -65,20 +65,23 @@ def _formats_in_use(staged: StagedLines, runs: DataFrame) -> dict[int, Timestamp
 def _carried(
     staged: StagedLines, runs: DataFrame, formats: dict[int, TimestampFormat]
 ) -> DataFrame:
-    """Runs with the sort key that is still open when they begin. Reads stamps, not lines."""
+    """Runs with the sort key that is still open when they begin. Reads stamps, not lines.
+
+    A position is of one line only, so it is all that is matched.
+    """
     closing_lines = attach(
-        staged.lines.where("flags IS NOT NULL").select(*RUN_KEY, "pos", "stamp"),
-        runs.where("last_header IS NOT NULL"), RUN_KEY, staged.n_pieces,
-    ).where("pos = last_header")
-    closed = closing_lines.withColumn(
-        "closing_key", key_for(formats, F.col("fmt_idx"), F.col("stamp")).cast("string")
+        staged.lines.where("flags IS NOT NULL").select("pos", "stamp"),
+        runs.where("last_header IS NOT NULL").withColumn("pos", F.col("last_header")), ["pos"], staged.n_pieces,
     )
-    headerless = runs.where("last_header IS NULL").withColumn("closing_key", F.lit(None).cast("string"))
+    headerless = runs.where("last_header IS NULL").withColumn("stamp", F.lit(None).cast("string"))
+    closing_key = F.when(F.col("stamp").isNotNull(), key_for(formats, F.col("fmt_idx"), F.col("stamp"))).cast("string")
     return (
-        closed.select(*headerless.columns)
+        closing_lines.select(*headerless.columns)
         .unionByName(headerless)
+        .repartition("file_ord")
+        .withColumn("closing_key", closing_key)
         .withColumn("open_key", F.coalesce(F.last("closing_key", ignorenulls=True).over(earlier_runs()), "resumed_key"))
-        .drop("closing_key", "last_header", "offset", "resumed_key")
+        .drop("closing_key", "stamp", "last_header", "offset", "resumed_key")
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 
 from logweave.operators.merge import merge_chronological
+from logweave.session import store
 
 
 def write_merged(document: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -13,5 +14,8 @@ def write_merged(document: DataFrame, path: str, mode: str = "overwrite") -> Non
 
 
 def export_visible(document: DataFrame, predicate: Column, path: str) -> None:
-    """Write the lines a filter leaves, replacing what is there."""
-    write_merged(document.where(predicate), path, mode="overwrite")
+    """Write the lines a filter leaves, replacing what is there.
+
+    They are stored unsorted first: the sort looks at its input twice, and the filter is to see each line once.
+    """
+    write_merged(store(document.where(predicate), "visible"), path, mode="overwrite")

@@ -73,8 +73,9 @@ def stage(source: LogSource, formats: list[TimestampFormat], run_bits: int = RUN
         "n_bytes",
         "line",
     )
-    flagged = with_match_flags(placed, formats)
-    stamp = F.when(F.col("flags").isNotNull(), stamp_of(formats, F.col("line")))
+    # The formats are looked for in the stamp: a regex takes time for every character it is given.
+    flagged = with_match_flags(placed.withColumn("stamp", stamp_of(formats, F.col("line"))), formats, "stamp")
+    stamp = F.when(F.col("flags").isNotNull(), F.col("stamp"))
     lines = store(flagged.withColumn("stamp", stamp).select("file", *RUN_KEY, "pos", "flags", "stamp", "n_bytes", "line"), "lines")
     per_flags = lines.groupBy("file", *RUN_KEY, "flags").agg(
         F.count("*").alias("n"),

@@ -16,6 +16,10 @@ from logweave.sources.rawfiles import can_open, gzip_states, is_gzip, read_range
 # Suffixes Spark's text source would decode, other than .gz.
 _OTHER_CODECS = (".bz2", ".deflate", ".lz4", ".snappy", ".zst")
 
+# Spark lists many folders with a task for each, up to this setting; a task takes longer to start than a folder to list.
+_LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+_TASKS_PER_CORE = 4
+
 UNIT_SCHEMA = "path string, file string, file_ord bigint, base bigint, filled boolean, length bigint"
 
 
@@ -67,17 +71,22 @@ def _text(spark: SparkSession, paths: list[str], counted: bool, recursive: bool
     # Only "\n" ends a line: the default would also split at a lone "\r". A file that is gone when
     # the scan runs does not end the job, nor does one that was cut short, if it is known how many bytes its lines must
     # take; staging reports both.
-    return (
+    reader = (
         spark.read.option("lineSep", "\n")
         .option("ignoreMissingFiles", True)
         .option("ignoreCorruptFiles", counted)
         .option("recursiveFileLookup", recursive)
-        .text([escape_glob(p) for p in paths])
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block_start"),
-            "value",
-        )
+    )
+    most = spark.conf.get(_LISTING_TASKS)
+    spark.conf.set(_LISTING_TASKS, str(min(int(most), _TASKS_PER_CORE * spark.sparkContext.defaultParallelism)))
+    try:
+        lines = reader.text([escape_glob(p) for p in paths])  # lists at once
+    finally:
+        spark.conf.set(_LISTING_TASKS, most)
+    return lines.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        "value",
     )
 
 

@@ -15,6 +15,7 @@ from logweave.operators.changes import check_changes, check_snapshots, snapshot_
 from logweave.operators.sinks import export_visible
 from logweave.operators.stats import level_counts, visible_headers
 from logweave.functions.filters import substring_filter
+from logweave.session import store
 from logweave.sources import rawfiles
 from logweave.sources.catalog import BUILT_IN_FORMATS, load_catalog
 from logweave.sources.listing import Exclusion, Listing, LogFile, _list_remote, list_tree
@@ -193,6 +194,36 @@ def test_export_replaces_its_target(spark, tmp_path):
         assert spark.read.text(out).count() == expected
 
 
+def test_export_filters_each_line_once(spark, tmp_path):
+    path = write(tmp_path, "a.log", "".join(HEADER.format(i, i) for i in range(1, 9)))
+    document = store(merge_files(spark, [path]).document, "document")
+    seen = spark.sparkContext.accumulator(0)
+
+    def visible(line):
+        seen.add(1)
+        return True
+
+    export_visible(document, F.udf(visible, "boolean")("line"), str(tmp_path / "out"))
+    assert seen.value == document.count() == spark.read.text(str(tmp_path / "out")).count()
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    root = tmp_path / "tree"
+    for i in range(70):
+        (root / f"d{i}").mkdir(parents=True)
+        (root / f"d{i}" / "a.log").write_text("x\n")
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.sparkContext.setJobGroup("listing", "listing")
+    source = read_tree(spark, str(root))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(job).stageIds]
+    assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(key) == before
+    assert source.lines.count() == 70
+
+
 @pytest.mark.parametrize("content, reason", [
     (None, "PATH_NOT_FOUND"), ("{", ""), ("[]", "defines no"), ('[{"name": "x"}]', "lacks"),
     ('[{"name": "x", "pattern": "yyyy"}]', "must give"), ('{"name": "x"}', "lacks"), ("7", ""),
