@@ -128,7 +128,7 @@ class LogStore:
         fresh = {f.path: version for f in todo if f.path not in unread}
         if check.status == "unchanged" and not fresh and self.version >= 0:
             return Refresh("unchanged", problems=current.problems(self.root) + problems)
-        self._summarise(document, version)
+        self._summarise(document, parsed.staged.units.select("file_ord", "file").distinct(), version)
         kept = {f.path: self._gens[f.path] for f in current.files if known.get(f.path) == f}
         self._gen_bytes[version] = sum(f.length for f in todo if f.path in fresh)
         # What was merged is the new baseline, so a change during the merge is seen next time.
@@ -140,20 +140,25 @@ class LogStore:
             write_merged(self.document(), self.output)
         return Refresh("changed", [f.path for f in todo], current.problems(self.root) + problems)
 
-    def _summarise(self, document: DataFrame, gen: int) -> None:
-        """Fingerprints and levels of a generation's entries, and its entries per file and level with the first of them."""
+    def _summarise(self, document: DataFrame, files: DataFrame, gen: int) -> None:
+        """Fingerprints and levels of a generation's entries, and its entries per file and level with the first of them.
+
+        Entries meet by the number of their file; its path joins one row per entry afterwards.
+        """
         level = F.max(F.when(F.col("line_in_entry") == 0, level_code(F.col("line")))).alias("level")
         path = f"{self._dir}/prints/gen={gen}"
-        fingerprints(document, by="file", more=[level]).write.mode("overwrite").parquet(path)
+        entries = fingerprints(document, more=[level]).join(F.broadcast(files), "file_ord").drop("file_ord")  # a list on the driver
+        entries.write.mode("overwrite").parquet(path)
         prints = self.spark.read.schema(_PRINTS.rsplit(",", 1)[0]).parquet(path)
         first = F.min(F.struct("sort_key", "entry_no")).alias("first")
         prints.groupBy("file", "level").agg(F.count("*").alias("n"), first).select(
             "file", "level", "n", "first.*").write.mode("overwrite").parquet(f"{self._dir}/levels/gen={gen}")
 
     def _write(self, document: DataFrame, gen: int) -> DataFrame:
+        """Lines of a generation; the numbers of their files hold in this generation only and are read just to summarise it."""
         path = f"{self._dir}/lines/gen={gen}"
-        document.drop("file_ord").write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(_LINES.rsplit(",", 1)[0]).parquet(path)
+        document.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema("file_ord bigint, " + _LINES.rsplit(",", 1)[0]).parquet(path)
 
     def _commit(self, version: int, files: list[LogFile], gens: dict[str, int]) -> None:
         rows = [(f.path, f.mtime_us, f.length, g := gens.get(f.path, -1), self._gen_bytes.get(g, 0)) for f in files]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.filters import substring_filter
 from logweave.functions.timestamps import TimestampFormat
-from logweave.operators import entries as entries_module, search, stats
+from logweave.operators import entries as entries_module, joins, search, stats
 from logweave.operators.detect import file_formats
 from logweave.operators.merge import dedup_entries, line_hash, merge_chronological
 from logweave.operators.entries import build_document, entry_contents
@@ -243,6 +243,20 @@ def position(df):
     return df.first().position
 
 
+def test_runs_are_looked_up_by_one_number(spark, monkeypatch):
+    rows = spark.range(60).select((F.col("id") % 7).alias("a"), (F.col("id") % 3 - 1).alias("b"), "id")
+    table = spark.createDataFrame([(0, -1, "x"), (1, 0, "y"), (6, 1, "z"), (9, 9, "none")], "a bigint, b bigint, v string")
+    expected = rows.join(table, ["a", "b"])
+    for hashes in (F.xxhash64, lambda *keys: F.lit(7).cast("bigint")):  # also if all keys share a hash
+        with monkeypatch.context() as patch:
+            patch.setattr(F, "xxhash64", hashes)
+            joined = joins.attach(rows, table, ["a", "b"], 4)
+        assert joined.columns == expected.columns
+        assert sorted(joined.collect()) == sorted(expected.collect())
+    plan = joins.attach(rows, table, ["a", "b"], 4)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [key_hash" in plan
+
+
 def test_numbering_and_slices(spark, sample):
     numbered = search.number_lines(sample)
     assert [(r.doc_line_no, r.line) for r in numbered.orderBy("doc_line_no").collect()] == list(
