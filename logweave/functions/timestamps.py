@@ -8,8 +8,9 @@ captured fields out as the sort key, so most keys take one regex evaluation.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -57,6 +58,12 @@ _FIELDS = {
 }
 
 
+_NAMES = {"EEE": WEEKDAYS, "MMM": list(MONTHS)}
+
+# Month names of three letters, each with its number.
+_SHORT_MONTHS = "".join(f"{name}{number:02d}" for name, number in MONTHS.items() if len(name) == 3)
+
+
 @dataclass(frozen=True)
 class TimestampFormat:
     name: str
@@ -127,6 +134,95 @@ class TimestampFormat:
     def _month_name(self) -> bool:
         return [t for t in self.tokens if t in ("MM", "MMM")][-1] == "MMM"
 
+    @cached_property
+    def _layout(self) -> tuple[dict[str, int], list[tuple[int, str]], list[int | str], int | None] | None:
+        """Where fields begin if each name has three characters, as English ones do.
+
+        Field -> place; the literals ``(place, character)`` that show that a name has three; per place what is there, a
+        literal or the place itself; and where the fraction begins. None if the pattern leaves that open: if
+        fields follow the fraction, or a name is followed by what another name may go on with.
+        """
+        places, guards, at, fraction = {}, [], [], None
+        for number, token in enumerate(self.tokens):
+            field, _, width = _FIELDS.get(token, ("literal", token, 1))
+            if fraction is not None and field != "literal":
+                return None
+            if token in _NAMES:
+                after = self.tokens[number + 1] if number + 1 < len(self.tokens) else "."
+                if after in _FIELDS or any(name[3:4] == after.lower() for name in _NAMES[token]):
+                    return None
+                guards.append((len(at) + 3, after))
+                width = 3
+            if field == "fraction":
+                fraction = len(at)
+                continue
+            if field not in (None, "literal"):
+                places[field] = len(at)
+            at += [token] if field == "literal" else range(len(at), len(at) + width)
+        return places, guards, at, fraction
+
+    def _by_place(self, line: Column, by_place: Column, by_regex: Callable[[], Column]) -> Column:
+        """The first value where names have three characters, else the second."""
+        names = [F.substring(line, place + 1, 1) == literal for place, literal in self._layout[1]]
+        return F.when(reduce(Column.__and__, names), by_place).otherwise(by_regex()) if names else by_place
+
+    def _n_digits(self, line: Column) -> Column:
+        """Length of the fraction."""
+        tail = F.substr(line, F.lit(self._layout[3] + 1))
+        return F.octet_length(tail) - F.octet_length(F.ltrim(tail, F.lit("0123456789")))
+
+    def _placed_key(self, line: Column) -> Column:
+        """The key from characters at fixed places, without a regex."""
+        places, _, at, fraction = self._layout
+        parts: list[Column | str | tuple[int, int]] = []
+
+        def add(text: str | None, place: int = -1, width: int = 1) -> None:
+            last = parts[-1] if parts else None
+            if text is not None and isinstance(last, tuple) and [text] == at[last[1]:last[1] + 1]:
+                place, text = last[1], None  # the line has this literal here too
+            if text is not None:
+                parts.append(text)
+            elif isinstance(last, tuple) and last[1] == place:
+                parts[-1] = (last[0], place + width)
+            else:
+                parts.append((place, place + width))
+
+        def field(name: str, width: int = 2) -> None:
+            add(None, places[name], width)
+
+        if "year" in places:
+            field("year", 4)
+        else:
+            add("0000")
+        add("-")
+        if self._month_name:
+            name = F.lower(F.substring(line, places["month"] + 1, 3))
+            parts.append(F.substr(F.lit(_SHORT_MONTHS), F.instr(F.lit(_SHORT_MONTHS), name) + 3, F.lit(2)))
+        else:
+            field("month")
+        add("-")
+        field("day")
+        add(" ")
+        if "hour12" in places:
+            hour = F.substring(line, places["hour12"] + 1, 2).cast("int") % 12
+            if "half" in places:
+                hour = hour + F.when(F.upper(F.substring(line, places["half"] + 1, 2)) == "PM", 12).otherwise(0)
+            parts.append(F.lpad(hour.cast("string"), 2, "0"))
+        else:
+            field("hour")
+        add(":")
+        field("minute")
+        add(":")
+        field("second")
+        if fraction is not None:
+            add(".")
+            digits = F.substr(line, F.lit(fraction + 1), F.least(self._n_digits(line), F.lit(FRACTION_DIGITS)))
+            parts.append(F.rpad(digits, FRACTION_DIGITS, "0"))
+        return F.concat(*[
+            F.lit(p) if isinstance(p, str) else F.substring(line, p[0] + 1, p[1] - p[0]) if isinstance(p, tuple) else p
+            for p in parts
+        ])
+
     def matches(self, line: Column) -> Column:
         return line.rlike(self.regex)
 
@@ -137,6 +233,11 @@ class TimestampFormat:
         Built as text without range checks, so that odd but well-formed values
         (month 99) still give a key.
         """
+        if self._layout is None:
+            return self._regex_key(line)
+        return self._by_place(line, self._placed_key(line), lambda: self._regex_key(line))
+
+    def _regex_key(self, line: Column) -> Column:
         # The rest of the line goes with (?s:.*+): a class such as [\s\S] is far slower in Java.
         key = F.regexp_replace(line, self.regex + "(?s:.*+)", self._template)
         if "fraction" in self._groups:
@@ -159,7 +260,15 @@ class TimestampFormat:
         """Bytes taken by the timestamp of a line known to match."""
         if self.fixed_width is not None:
             return F.lit(self.fixed_width)
-        return F.octet_length(F.regexp_extract(line, self.regex, 0))
+
+        def by_regex() -> Column:
+            return F.octet_length(F.regexp_extract(line, self.regex, 0))
+
+        if self._layout is None:
+            return by_regex()
+        _, _, at, fraction = self._layout
+        width = F.lit(sum(len(c.encode()) if isinstance(c, str) else 1 for c in at))
+        return self._by_place(line, width if fraction is None else width + self._n_digits(line), by_regex)
 
     def span(self, line: Column) -> Column:
         """Bytes taken by the timestamp, 0 when there is none."""
@@ -255,20 +364,21 @@ def with_match_flags(lines: DataFrame, formats: list[TimestampFormat], column: s
     out ``dd/MMM/yyyy``. Only what the patterns leave open is tested line by line.
     """
     line = F.col(column)
-    taken = {step[1] for fmt in formats for step in _elements(fmt)[:1]}
-    mark = next(chr(c) for c in range(ord("|"), 0x10FFFF) if chr(c) not in taken)
-    # The group of the first matching format captures one character, the other groups nothing.
-    tests = "|".join(f"(?={fmt.body})((?s:.))" for fmt in formats)
-    template = mark.join(f"${i}" for i in range(1, len(formats) + 1)) + mark
-    marks = F.regexp_replace(line, f"\\A(?:{tests}|)(?s:.*+)", template)
+    literals = {step[1] for fmt in formats for step in _elements(fmt)}
+    border = next(chr(c) for c in range(ord("|"), 0x10FFFF) if chr(c) not in literals)
+    # Behind the line, and a border that no format matches, stands a character for each format. The regex of a format goes
+    # on to its character, so one group tells which was first; to read that from a group for each format takes twice as long.
+    signs = [chr(i + (ord("!") if i < 64 else 0x100)) for i in range(len(formats))]
+    tests = "|".join(f"{fmt.body}(?s:.*)(?={java_literal(sign)})" for fmt, sign in zip(formats, signs))
+    sign = F.regexp_extract(F.concat(line, F.lit(border + "".join(signs))), f"\\A(?:{tests})((?s:.))", 1)
     settled = [
         "0" * i + "1" + "".join(_also_matches(fmt, other) for other in formats[i + 1:])
         for i, fmt in enumerate(formats)
     ]
     by_first = F.array(*[F.lit(flags) for flags in settled])
-    lines = lines.withColumn("marks", marks).withColumn(
-        "flags", F.get(by_first, F.length("marks") - F.length(F.ltrim("marks", F.lit(mark))))
-    ).drop("marks")
+    lines = lines.withColumn("sign", sign).withColumn(
+        "flags", F.when(F.col("sign") != "", F.get(by_first, F.instr(F.lit("".join(signs)), F.col("sign")) - 1))
+    ).drop("sign")
     unsettled = [i for i in range(len(formats)) if any(flags[i] == "?" for flags in settled)]
     if not unsettled:
         return lines

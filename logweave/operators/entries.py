@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logweave.functions.timestamps import TimestampFormat, key_for, matches_format, span_for
 from logweave.operators.joins import attach, whole_entries, without_entries
-from logweave.operators.staging import RUN_KEY, StagedLines, earlier_runs
+from logweave.operators.staging import LINE, RUN_KEY, StagedLines, earlier_runs
 from logweave.session import local_table, store
 
 # Text of an entry that is put into one value, and lines of a longer one that are summed up together.
@@ -82,6 +82,7 @@ def _carried(
         .withColumn("closing_key", closing_key)
         .withColumn("open_key", F.coalesce(F.last("closing_key", ignorenulls=True).over(earlier_runs()), "resumed_key"))
         .drop("closing_key", "stamp", "last_header", "offset", "resumed_key")
+        .withColumn("run", F.monotonically_increasing_id())
     )
 
 
@@ -96,29 +97,34 @@ def build_document(
     runs = store(_runs(staged, formats_by_file, resume), "runs")
     formats = _formats_in_use(staged, runs)
     carried = store(_carried(staged, runs, formats), "carried")
-    lines = attach(staged.lines.drop("file", "n_bytes"), carried, RUN_KEY, staged.n_pieces)
+    # Only what a line needs for its key goes through the shuffle; the rest of its run joins it afterwards.
+    lines = attach(
+        staged.lines.select(*RUN_KEY, "pos", "flags", "stamp", "rest"), carried.select(*RUN_KEY, "run", "fmt_idx"), RUN_KEY, staged.n_pieces
+    )
     header = matches_format(F.col("flags"), F.col("fmt_idx"))
     keyed = lines.select(
-        "*",
-        header.alias("is_header"),
-        (F.col("lines_before") + F.col("pos") - F.col("run_pos")).alias("line_no"),
+        "run",
+        "pos",
+        F.when(header, F.col("pos")).alias("header_pos"),
         F.when(header, key_for(formats, F.col("fmt_idx"), F.col("stamp"))).cast("string").alias("key"),
         F.when(header, span_for(formats, F.col("fmt_idx"), F.col("stamp")))
         .otherwise(0).alias("timestamp_length"),
+        F.expr(LINE).alias("line"),
     )
-    so_far = (
-        Window.partitionBy("file_ord", *RUN_KEY).orderBy("pos")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = Window.partitionBy("run").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    grouped = keyed.select(
+        "run", "pos", "timestamp_length", "line",
+        F.last("key", ignorenulls=True).over(so_far).alias("own_key"),
+        F.last("header_pos", ignorenulls=True).over(so_far).alias("own_start"),
+        F.count("header_pos").over(so_far).alias("headers"),
     )
-    own_key = F.last("key", ignorenulls=True).over(so_far)
-    own_start = F.last(F.when(F.col("is_header"), F.col("line_no")), ignorenulls=True).over(so_far)
-    headers = F.count(F.when(F.col("is_header"), 1)).over(so_far)
-    return keyed.select(
+    since_open = F.col("lines_before") + F.col("pos") - F.col("run_pos") - F.col("open_line")
+    return attach(grouped, carried.drop(*RUN_KEY, "fmt_idx"), ["run"], staged.n_pieces).select(
         "file",
         "file_ord",
-        (F.col("headers_before") + headers).alias("entry_no"),
-        (F.col("line_no") - F.coalesce(own_start, "open_line")).alias("line_in_entry"),
-        F.coalesce(own_key, "open_key", F.lit("")).alias("sort_key"),
+        (F.col("headers_before") + F.col("headers")).alias("entry_no"),
+        F.coalesce(F.col("pos") - F.col("own_start"), since_open).alias("line_in_entry"),
+        F.coalesce("own_key", "open_key", F.lit("")).alias("sort_key"),
         "timestamp_length",
         "line",
     )

@@ -20,6 +20,9 @@ RUN_BITS = 20
 RUN_KEY = ["file_id", "block_start", "chunk"]
 _MARK_BYTES = 3  # of a byte order mark, which readers drop
 
+#: A stored line again, from its stamp and the rest.
+LINE = "concat(coalesce(stamp, ''), rest)"
+
 
 def earlier_runs() -> WindowSpec:
     """Over the table of runs only: the runs of one file before this one."""
@@ -29,10 +32,11 @@ def earlier_runs() -> WindowSpec:
 
 @dataclass
 class StagedLines:
-    """``lines``: file, file_id, block_start, chunk, pos, flags, stamp, n_bytes, line.
+    """``lines``: escaped, file_id, block_start, chunk, pos, flags, stamp, n_bytes, rest.
 
     ``pos`` increases along each block; ``flags`` says which formats match, and ``stamp`` is as much
-    of a line that matches one as its key needs, so that headers can be looked at without reading text.
+    of a line that matches one as its key needs, so that headers can be looked at without reading text. ``rest`` is
+    what follows the stamp; see ``LINE``. ``escaped`` is the path as the scan spells it, if that is not the plain one.
     ``pieces``: file_ord, file, path, run key, offset, flags, n, n_bytes, first_pos, last_pos,
     one row per run and set of flags; ``n_pieces`` bounds the number of runs.
     """
@@ -65,7 +69,8 @@ def stage(source: LogSource, formats: list[TimestampFormat], run_bits: int = RUN
     """Scan the files once. Later steps read the columns they need from the stored table."""
     position = F.monotonically_increasing_id()
     placed = source.lines.withColumn("pos", position).select(
-        "file",
+        # A name without escapes is found by its hash; to write a path with every line costs as much as to write its text.
+        F.when(F.contains("file", F.lit("%")), F.col("file")).alias("escaped"),
         F.xxhash64("file").alias("file_id"),
         "block_start",
         F.shiftright("pos", run_bits).alias("chunk"),
@@ -75,20 +80,22 @@ def stage(source: LogSource, formats: list[TimestampFormat], run_bits: int = RUN
     )
     # The formats are looked for in the stamp: a regex takes time for every character it is given.
     flagged = with_match_flags(placed.withColumn("stamp", stamp_of(formats, F.col("line"))), formats, "stamp")
-    stamp = F.when(F.col("flags").isNotNull(), F.col("stamp"))
-    lines = store(flagged.withColumn("stamp", stamp).select("file", *RUN_KEY, "pos", "flags", "stamp", "n_bytes", "line"), "lines")
-    per_flags = lines.groupBy("file", *RUN_KEY, "flags").agg(
+    matched = F.col("flags").isNotNull()
+    stamp = F.when(matched, F.col("stamp")).alias("stamp")
+    rest = F.when(matched, F.substr("line", F.length("stamp") + 1)).otherwise(F.col("line")).alias("rest")
+    lines = store(flagged.select("escaped", *RUN_KEY, "pos", "flags", stamp, "n_bytes", rest), "lines")
+    per_flags = lines.groupBy("escaped", *RUN_KEY, "flags").agg(
         F.count("*").alias("n"),
         F.min("pos").alias("first_pos"),
         F.max("pos").alias("last_pos"),
         F.sum(F.col("n_bytes").cast("bigint") + 1).alias("n_bytes"),
     )
+    path_id = F.when(F.col("escaped").isNull(), F.col("file_id")).otherwise(F.xxhash64(decoded_path(F.col("escaped"))))
     pieces = store(
-        per_flags.withColumn("path", decoded_path(F.col("file")))
-        .drop("file")
-        .join(source.units, "path")
+        per_flags.withColumn("path_id", path_id)
+        .join(source.units.withColumn("path_id", F.xxhash64("path")), "path_id")
         .withColumn("offset", F.col("base") + F.col("block_start"))
-        .drop("base", "filled", "length"),
+        .drop("escaped", "path_id", "base", "filled", "length"),
         "pieces",
     )
     return StagedLines(lines, pieces, pieces.count(), source.units, formats)

@@ -2,7 +2,8 @@
 
 The store holds parsed lines by *generation*: each refresh parses only the files
 that are new or changed and writes them as one generation, with the fingerprints of their entries. A manifest says, per
-file, which generation is current, so nothing that was written is ever touched.
+file, which generation is current and which number the file has there, so nothing that was written is ever touched.
+Rows name their file by that number: a path is longer than most lines.
 
 Small and half-dead generations are merged now and then, as in a log-structured tree: the number of generations
 stays logarithmic in the number of refreshes. Generations that no recent version refers to are removed.
@@ -17,7 +18,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweave.functions.levels import label_of, level_code
+from logweave.functions.levels import label_of, level_code, level_word
 from logweave.functions.timestamps import TimestampFormat
 from logweave.operators.changes import check_changes
 from logweave.operators.joins import join_groups
@@ -38,20 +39,20 @@ LEAST_LIVE = 0.5
 #: So many versions can still be read by others while newer ones are written.
 KEPT_VERSIONS = 2
 
-_MANIFEST = "path string, mtime_us bigint, length bigint, gen bigint, gen_bytes bigint"
+_MANIFEST = "path string, mtime_us bigint, length bigint, gen bigint, place bigint, gen_bytes bigint"
 _LINES = (
-    "file string, entry_no bigint, line_in_entry bigint, sort_key string, "
-    "timestamp_length int, line string, gen bigint"
+    "place int, entry_no bigint, line_in_entry bigint, sort_key string, "
+    "timestamp_length int, line string, gen int"
 )
 _PRINTS = (
-    "file string, entry_no bigint, sort_key string, n_lines bigint, n_bytes bigint, print_a bigint, "
-    "print_b bigint, level int, gen bigint"
+    "place int, entry_no bigint, sort_key string, n_lines bigint, n_bytes bigint, print_a bigint, "
+    "print_b bigint, level int, gen int"
 )
-_LEVELS = "file string, level int, n bigint, sort_key string, entry_no bigint, gen bigint"
+_LEVELS = "place int, level int, n bigint, sort_key string, entry_no bigint, gen int"
 _TABLES = (
-    ("lines", _LINES, ["file", "entry_no", "line_in_entry"]),
-    ("prints", _PRINTS, ["file", "entry_no"]),
-    ("levels", _LEVELS, ["file", "level"]),
+    ("lines", _LINES, ["place", "entry_no", "line_in_entry"]),
+    ("prints", _PRINTS, ["place", "entry_no"]),
+    ("levels", _LEVELS, ["place", "level"]),
 )
 
 # A manifest row that marks the version as complete, also when there are no files.
@@ -85,7 +86,9 @@ class LogStore:
         self.version = -1
         self.baseline = Listing()
         self._gens: dict[str, int] = {}
+        self._places: dict[str, int] = {}  # the number of each current file in its generation
         self._gen_bytes: dict[int, int] = {}
+        self._outdated = -1
         self._resume()
 
     def _filesystem(self, folder: str):
@@ -94,19 +97,23 @@ class LogStore:
 
     def _resume(self) -> None:
         """Go on from the last complete version written by an earlier session."""
-        if not all(filesystem.exists(path) for path, filesystem in map(self._filesystem, ("manifest", "levels"))):
-            return  # nothing yet, or a store without summaries: everything is parsed again
+        path, filesystem = self._filesystem("manifest")
+        if not filesystem.exists(path):
+            return
         rows = self.spark.read.schema(_MANIFEST + ", v bigint").parquet(f"{self._dir}/manifest")
-        version = rows.where(F.col("path") == _MARK).agg(F.max("v")).first()[0]
-        if version is None:
+        version = F.when(F.col("place").isNotNull(), F.col("v"))
+        found, last = rows.where(F.col("path") == _MARK).agg(F.max(version), F.max("v")).first()
+        if found is None:  # nothing yet, or a store by paths, as it was written before: everything is parsed again
+            self._outdated = -1 if last is None else last
             return
-        current = rows.where((F.col("v") == version) & (F.col("path") != _MARK))
-        files = [(LogFile(r.path, r.mtime_us, r.length), r.gen, r.gen_bytes) for r in current.toLocalIterator()]
+        current = rows.where((F.col("v") == found) & (F.col("path") != _MARK))
+        files = [(LogFile(r.path, r.mtime_us, r.length), r.gen, r.place, r.gen_bytes) for r in current.toLocalIterator()]
         files.sort(key=lambda item: item[0].path.encode(errors="surrogateescape"))
-        self.version = version
+        self.version = found
         self.baseline = Listing([f for f, *_ in files])
-        self._gens = {f.path: gen for f, gen, _ in files if gen >= 0}
-        self._gen_bytes = {gen: n or 0 for _, gen, n in files if gen >= 0}
+        self._gens = {f.path: gen for f, gen, *_ in files if gen >= 0}
+        self._places = {f.path: place for f, gen, place, _ in files if gen >= 0}
+        self._gen_bytes = {gen: n or 0 for _, gen, _, n in files if gen >= 0}
 
     def refresh(self) -> Refresh:
         """Bring the store up to date. A scan that misses something changes nothing.
@@ -118,7 +125,7 @@ class LogStore:
         failed = [f for f in current.files if f.path not in self._gens]
         if self.version >= 0 and (check.status == "inconclusive" or check.status == "unchanged" and not failed):
             return Refresh(check.status, problems=current.problems(self.root))
-        version = self.version + 1
+        version = max(self.version, self._outdated) + 1
         known = {f.path: f for f in self.baseline.files if f.path in self._gens}
         todo = [f for f in current.files if known.get(f.path) != f]
         parsed = parse_logs(read_lines(self.spark, todo), self.formats)
@@ -128,8 +135,9 @@ class LogStore:
         fresh = {f.path: version for f in todo if f.path not in unread}
         if check.status == "unchanged" and not fresh and self.version >= 0:
             return Refresh("unchanged", problems=current.problems(self.root) + problems)
-        self._summarise(document, parsed.staged.units.select("file_ord", "file").distinct(), version)
+        self._summarise(document, version)
         kept = {f.path: self._gens[f.path] for f in current.files if known.get(f.path) == f}
+        self._places |= {r.path: r.file_ord for r in parsed.staged.units.select("path", "file_ord").collect()}  # as long as the listing
         self._gen_bytes[version] = sum(f.length for f in todo if f.path in fresh)
         # What was merged is the new baseline, so a change during the merge is seen next time.
         self.baseline = Listing(current.files) if not current.skipped else self.baseline
@@ -140,29 +148,31 @@ class LogStore:
             write_merged(self.document(), self.output)
         return Refresh("changed", [f.path for f in todo], current.problems(self.root) + problems)
 
-    def _summarise(self, document: DataFrame, files: DataFrame, gen: int) -> None:
-        """Fingerprints and levels of a generation's entries, and its entries per file and level with the first of them.
-
-        Entries meet by the number of their file; its path joins one row per entry afterwards.
-        """
-        level = F.max(F.when(F.col("line_in_entry") == 0, level_code(F.col("line")))).alias("level")
+    def _summarise(self, document: DataFrame, gen: int) -> None:
+        """Fingerprints and levels of a generation's entries, and its entries per file and level with the first of them."""
+        word = F.when(F.col("line_in_entry") == 0, level_word(F.col("line")))
+        levelled = document.withColumn("word", word).withColumn("level", level_code(F.col("word")))
         path = f"{self._dir}/prints/gen={gen}"
-        entries = fingerprints(document, more=[level]).join(F.broadcast(files), "file_ord").drop("file_ord")  # a list on the driver
-        entries.write.mode("overwrite").parquet(path)
+        fingerprints(levelled, by="place", more=[F.max("level").alias("level")]).write.mode("overwrite").parquet(path)
         prints = self.spark.read.schema(_PRINTS.rsplit(",", 1)[0]).parquet(path)
         first = F.min(F.struct("sort_key", "entry_no")).alias("first")
-        prints.groupBy("file", "level").agg(F.count("*").alias("n"), first).select(
-            "file", "level", "n", "first.*").write.mode("overwrite").parquet(f"{self._dir}/levels/gen={gen}")
+        prints.groupBy("place", "level").agg(F.count("*").alias("n"), first).select(
+            "place", "level", "n", "first.*").write.mode("overwrite").parquet(f"{self._dir}/levels/gen={gen}")
 
     def _write(self, document: DataFrame, gen: int) -> DataFrame:
-        """Lines of a generation; the numbers of their files hold in this generation only and are read just to summarise it."""
-        path = f"{self._dir}/lines/gen={gen}"
-        document.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema("file_ord bigint, " + _LINES.rsplit(",", 1)[0]).parquet(path)
+        """Lines of a generation, with the number of their file in it."""
+        path, schema = f"{self._dir}/lines/gen={gen}", _LINES.rsplit(",", 1)[0]
+        numbered = document.withColumn("place", F.col("file_ord").cast("int"))
+        numbered.select(*[name.split()[0] for name in schema.split(", ")]).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
 
     def _commit(self, version: int, files: list[LogFile], gens: dict[str, int]) -> None:
-        rows = [(f.path, f.mtime_us, f.length, g := gens.get(f.path, -1), self._gen_bytes.get(g, 0)) for f in files]
-        manifest = local_table(self.spark, [(_MARK, 0, 0, -1, 0), *rows], _MANIFEST)
+        self._places = {path: self._places[path] for path in gens}
+        rows = [
+            (f.path, f.mtime_us, f.length, g := gens.get(f.path, -1), self._places.get(f.path, -1), self._gen_bytes.get(g, 0))
+            for f in files
+        ]
+        manifest = local_table(self.spark, [(_MARK, 0, 0, -1, -1, 0), *rows], _MANIFEST)
         manifest.write.mode("overwrite").parquet(f"{self._dir}/manifest/v={version}")
         self.version = version
         self._gens = gens
@@ -190,9 +200,10 @@ class LogStore:
         version = self.version + 1
         moved = {path for path, gen in self._gens.items() if gen in merged}
         for folder, schema, order in _TABLES:
-            rows = self._live(folder, schema, merged).drop("file_ord", "gen")
-            lined_up = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+            rows = self._live(folder, schema, merged).withColumn("place", F.col("file_ord").cast("int"))
+            lined_up = rows.drop("file", "file_ord", "gen").repartitionByRange(*order).sortWithinPartitions(*order)
             lined_up.write.mode("overwrite").parquet(f"{self._dir}/{folder}/gen={version}")
+        self._places |= {path: place for place, path in enumerate(self._in_order()) if path in moved}
         self._gen_bytes[version] = sum(live[gen] for gen in merged)
         self._commit(version, self.baseline.files, {path: version if path in moved else gen for path, gen in self._gens.items()})
         self._remove_dead()
@@ -215,12 +226,18 @@ class LogStore:
     def _live(self, folder: str, schema: str, gens: list[int] | None = None) -> DataFrame:
         """Rows of the current generation of each file, with ``file_ord``; of some generations, if given."""
         sizes = {f.path: f.length for f in self.baseline.files}
-        by_path = sorted(self._gens.items(), key=lambda item: item[0].encode(errors="surrogateescape"))
-        current = [(path, gen, place, sizes.get(path, 0)) for place, (path, gen) in enumerate(by_path) if gens is None or gen in gens]
-        files = local_table(self.spark, current, "file string, gen bigint, file_ord bigint, length bigint")
-        named = sorted({gen for _, gen, _, _ in current})  # other generations are not scanned
+        current = [
+            (path, self._gens[path], self._places[path], number, sizes.get(path, 0))
+            for number, path in enumerate(self._in_order()) if gens is None or self._gens[path] in gens
+        ]
+        files = local_table(self.spark, current, "file string, gen int, place int, file_ord bigint, length bigint")
+        named = sorted({gen for _, gen, *_ in current})  # other generations are not scanned
         rows = self.spark.read.schema(schema).parquet(f"{self._dir}/{folder}").where(F.col("gen").isin(named))
-        return join_groups(rows, files, ["file", "gen"], weight="length")
+        return join_groups(rows, files, ["gen", "place"], weight="length").drop("place")
+
+    def _in_order(self) -> list[str]:
+        """The current files; a file's place in the list is its ``file_ord``."""
+        return sorted(self._gens, key=lambda path: path.encode(errors="surrogateescape"))
 
     def document(self) -> DataFrame:
         """The current lines of all current files, deduplicated if the store is set to.

@@ -361,3 +361,16 @@ def test_long_entries_come_in_parts(spark, monkeypatch, part_bytes, block_lines)
         for r in own:
             assert r.part == start // part_bytes
             start += len(r.content.encode())
+
+
+def test_paths_are_not_written_with_every_line(spark, tmp_path):
+    names = ["plain.log", "odd 50% é+.log", "more+.log"]
+    broken = b"2031-02-03 04:05:06." + b"1" * 40 + b" \xff\xc3 long\n"
+    paths = [write(tmp_path, name, b"first\n2031-02-03 04:05:06.5 " + b"x" * 60 + b"\xff\xe9\n\tmore\n\n" + broken) for name in names]
+    staged = stage(read_files(spark, paths), BUILT_IN_FORMATS, run_bits=1)
+    assert "file" not in staged.lines.columns
+    assert {r.escaped is None for r in staged.lines.where("escaped IS NULL OR escaped LIKE '%odd%'").collect()} == {True, False}
+    document = build_document(staged, file_formats(staged)).selectExpr("file", "entry_no", "line_in_entry", "hex(line) AS line")
+    for name, path in zip(names, paths):
+        lines = document.where(F.col("file").endswith("/" + name)).orderBy("entry_no", "line_in_entry").collect()
+        assert b"".join(bytes.fromhex(r.line) + b"\n" for r in lines) == open(path, "rb").read(), path

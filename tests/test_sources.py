@@ -498,3 +498,29 @@ def test_files_cut_short_after_the_listing_give_a_warning(spark, tmp_path):
     os.remove(tmp_path / "e.log")
     warned = {os.path.basename(r.path): r.reason.split(":")[0] for r in parse_logs(source).warnings().collect()}
     assert warned == {"b.log": "cut short", ".c.log": "cut short", "e.log": "not read"}
+
+
+def test_a_store_names_files_by_number_and_takes_over_one_by_paths(spark, tmp_path):
+    root, where = tmp_path / "logs", tmp_path / "store"
+    write(root, "a.log", HEADER.format(2, "a") + "  more\n" + HEADER.format(3, "b"))
+    write(root, "odd 50% é+.log", HEADER.format(1, "c"))
+    for gen in (0, 7):  # as it was written before, with a path in every row
+        older = "path string, mtime_us bigint, length bigint, gen bigint, gen_bytes bigint"
+        files = [("", 0, 0, -1, 0), (str(root / "a.log"), 1, 1, gen, 1)]
+        spark.createDataFrame(files, older).write.parquet(str(where / f"manifest/v={gen}"))
+        for folder in ("lines", "prints", "levels"):
+            spark.createDataFrame([("old", 1)], "file string, entry_no bigint").write.parquet(str(where / folder / f"gen={gen}"))
+    for status in ("changed", "unchanged"):
+        store = LogStore(spark, str(root), str(where))
+        assert (store.refresh().status, store.version) == (status, 8)
+        rows = store.document().select("file", "entry_no", "line_in_entry", "line").orderBy("sort_key", "line_in_entry").collect()
+        assert [(os.path.basename(r.file), r.entry_no, r.line_in_entry) for r in rows] == [
+            ("odd 50% é+.log", 1, 0), ("a.log", 1, 0), ("a.log", 1, 1), ("a.log", 2, 0)]
+    for folder in ("lines", "prints", "levels"):
+        stored = spark.read.parquet(str(where / folder / "gen=8"))
+        assert "file" not in stored.columns and stored.where("place IS NULL").count() == 0
+    store.compact()
+    again = LogStore(spark, str(root), str(where))
+    assert [os.path.basename(r.file) for r in again.document().orderBy("sort_key", "line_in_entry").collect()] == [
+        os.path.basename(r.file) for r in rows]
+    assert [tuple(r) for r in again.level_counts().collect()] == [tuple(r) for r in store.level_counts().collect()]

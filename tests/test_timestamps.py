@@ -123,3 +123,32 @@ def test_flags_of_overlapping_formats(spark, order):
     for row in with_match_flags(spark.createDataFrame(lines, "line string"), formats).collect():
         hits = "".join("1" if model.match(f.pattern, row.line) else "0" for f in formats)
         assert (row.flags or "0" * len(formats)) == hits, row.line
+
+
+def test_keys_at_fixed_places_equal_those_by_regex(spark):
+    """Names of three letters stand at fixed places; longer ones, and patterns that leave places open, take the regex."""
+    tails = ["", " x", "7", ".", "é" * 60, "9" * 30]
+    heads = {
+        "EEE": ["Mon", "lun.", "SUN"], "MMM": ["Jan", "mai", "mars", "sept.", "DEC", "août"], "a": ["AM", "pm"],
+        "SSS": ["1", "123456789", "12345678901234567890"],
+    }
+    values = {"yyyy": "2031", "MM": "12", "dd": "03", "HH": "14", "hh": "12", "mm": "06", "ss": "07"}
+    patterns = [fmt.pattern for fmt in BUILT_IN_FORMATS] + [p for p, _, _ in CASES] + ["MMMd dd HH:mm:ss", "é MMM€dd HH:mm:ss.SSS]", "SSS MM-dd HH:mm:ss"]
+    for pattern in dict.fromkeys(patterns):
+        fmt = TimestampFormat("x", pattern)
+        lines = [""]
+        for token in fmt.tokens:
+            lines = [line + text for line in lines for text in heads.get(token, [values.get(token, token)])]
+        df = spark.createDataFrame([(line + tail,) for line in lines for tail in tails], "line string").where(fmt.matches(F.col("line")))
+        line = F.col("line")
+        by_regex = F.octet_length(F.regexp_extract(line, fmt.regex, 0))
+        wrong = df.where(~(fmt.matched_key(line).eqNullSafe(fmt._regex_key(line)) & fmt.matched_span(line).eqNullSafe(by_regex)))
+        assert df.count() > 0 and wrong.count() == 0, (pattern, wrong.first())
+
+
+def test_keys_of_plain_formats_take_no_regex(spark):
+    line = F.col("line")
+    for fmt in BUILT_IN_FORMATS:
+        if not {"EEE", "MMM"} & set(fmt.tokens):
+            df = spark.createDataFrame([("",)], "line string").select(fmt.matched_key(line), fmt.matched_span(line))
+            assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString(), fmt.name

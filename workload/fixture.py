@@ -58,15 +58,16 @@ def event_headers(spark: SparkSession, sf_dir: str, layout: int | None = None) -
     return events.select("*", F.concat(stamp, F.expr(BODY_SQL)).alias("header"))
 
 
-def log_lines(spark: SparkSession, sf_dir: str, layout: int | None = None) -> DataFrame:
-    """``(file, pos, line)``: the lines of all log files."""
-    segment = F.lpad(F.floor(F.col("event_id") / ROTATE_EVENTS).cast("string"), 6, "0")
-    events = event_headers(spark, sf_dir, layout).withColumn("segment", segment)
-    own = events.withColumn(
-        "file", F.concat(F.lit("svc-"), F.col("service"), F.lit("-"), F.col("segment"), F.lit(".log"))
-    )
+def log_lines(spark: SparkSession, sf_dir: str, layout: int | None = None, services: list[int] | None = None) -> DataFrame:
+    """``(file, pos, line)``: the lines of all log files, or of those of some services."""
+    events = event_headers(spark, sf_dir, layout).withColumn("segment", F.floor(F.col("event_id") / ROTATE_EVENTS))
+    if services is not None:
+        events = events.where(F.col("service").isin(services))
+    segment = F.lpad(F.col("segment").cast("string"), 6, "0")
+    own_name = F.concat(F.lit("svc-"), F.col("service"), F.lit("-"), segment, F.lit(".log")).alias("file")
+    own = events.select("*", own_name)
     mirrored = events.where("service = 0 AND event_id % 3 = 0").withColumn(
-        "file", F.concat(F.lit("zz-mirror-"), F.col("segment"), F.lit(".log"))
+        "file", F.concat(F.lit("zz-mirror-"), segment, F.lit(".log"))
     )
     start = (F.col("event_id") % 7 * 1_000_000_000 + F.col("event_id")) * 4
     trace = F.when(
@@ -81,7 +82,7 @@ def log_lines(spark: SparkSession, sf_dir: str, layout: int | None = None) -> Da
         ),
     ).otherwise(F.array("header"))
     entries = own.unionByName(mirrored).select("file", start.alias("start"), F.posexplode(trace).alias("at", "line"))
-    banners = own.select("file").distinct().select(
+    banners = events.select("service", "segment").distinct().select(own_name).select(
         "file", F.lit(0).cast("bigint").alias("start"),
         F.posexplode(
             F.array(

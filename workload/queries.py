@@ -521,11 +521,10 @@ def dir_snapshot(spark, sf_dir):
     return snapshot.select(log_name(F.col("path")).alias("file"), "length")
 
 
-def _changed_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """All logs but the last service's, and later all but the first one's with half of service 2's lines."""
-    lines = log_lines(spark, sf_dir)
-    before = lines.where("file NOT LIKE 'svc-4%'")
-    after = lines.where("file NOT LIKE 'svc-0%' AND NOT (file LIKE 'svc-2%' AND pos % 8 >= 4)")
+def _changed_lines(spark: SparkSession, sf_dir: str, later: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """All logs but the last service's, and later all but the first one's with half of service 2's lines; or those of some services."""
+    before = log_lines(spark, sf_dir).where("file NOT LIKE 'svc-4%'")
+    after = log_lines(spark, sf_dir, services=later).where("file NOT LIKE 'svc-0%' AND NOT (file LIKE 'svc-2%' AND pos % 8 >= 4)")
     return before, after
 
 
@@ -558,11 +557,10 @@ def check_changes_query(spark, sf_dir):
 
 def _refreshed(spark: SparkSession, sf_dir: str) -> LogStore:
     """Logs are added and rewritten after the first merge; only those are parsed again."""
-    before, after = _changed_lines(spark, sf_dir)
+    before, rewritten = _changed_lines(spark, sf_dir, later=[2, 4])
     root = write_logs(spark, sf_dir, lines=before)
     log_store = LogStore(spark, root, scratch_path(spark, "store"), include_hidden=False)
     log_store.refresh()
-    rewritten = after.where("file LIKE 'svc-2%' OR file LIKE 'svc-4%'")
     _rewrite(spark, rewritten, root)
     log_store.refresh()
     return log_store
